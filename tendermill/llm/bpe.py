@@ -21,7 +21,9 @@ rows are encoded like any others; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,12 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tendermill.llm.common import text_bytes
-
-#: Pieces whose tokens a task keeps; beyond, it starts anew.
-CACHE = 500_000
-#: Longer pieces are encoded each time.
-CACHED_CHARS = 64
-
+from tendermill.llm.pieces import TextEncoder
 
 class Vocabulary:
     """Ranks of byte strings, with what the prefix tables need."""
@@ -138,19 +135,15 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-class Encoder:
+class Encoder(TextEncoder):
     """Whole texts to the bytes of their ids (little-endian unsigned 32-bit) and back."""
 
-    #: Characters of text whose pieces are held at a time.
-    CHUNK = 1 << 20
+    def __init__(self, vocabulary: Vocabulary, pattern: str):
+        super().__init__(pattern, self._encode_pieces)
+        self.vocabulary = vocabulary
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, cache: int = CACHE):
-        self.vocabulary, self.size = vocabulary, cache
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encode new pieces in order, each table keeping the prefix that it shares with the one before."""
+    def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
+        """Encode pieces in order, each table keeping the prefix that it shares with the one before."""
         vocabulary, out = self.vocabulary, {}
         before, last = b"", []
         for piece in sorted(pieces):
@@ -163,36 +156,12 @@ class Encoder:
                 same -= 1
             vocabulary.extend(last, raw, same)
             before = raw
-            out[piece] = np.array(vocabulary.walk(last), "<u4").tobytes()
-        return out
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.split, texts))
-        new = set().union(*cut) - self.known.keys()
-        long = {p for p in new if len(p) > CACHED_CHARS}
-        if len(self.known) + len(new) > self.size:
-            self.known = {}
-            new = set().union(*cut)
-        self.known |= self._learn(new)
-        out = [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
-        for p in long:
-            self.known.pop(p, None)
+            out[piece] = array("I", vocabulary.walk(last)).tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_many([text])[0]
 
-    def encode_stream(self, texts: Iterator[str]) -> Iterator[bytes]:
-        """Encode texts in order, some at a time."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= self.CHUNK:
-                yield from self.encode_many(held)
-                held, size = [], 0
-        yield from self.encode_many(held)
-
     def decode(self, ids: bytes) -> bytes:
         return self.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
 
@@ -224,8 +193,6 @@ class PrefixText:
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace ``text[start:end]`` by ``new``."""
-        import bisect
-
         self.text = self.text[:start] + new + self.text[end:]
         shift = len(new) - (end - start)
         first = max(0, bisect.bisect_right(self.starts, start) - 1 - self.BACK)

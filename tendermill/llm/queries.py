@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import bpe, mixing, pii, quality_rules, simhash
+from tendermill.llm import bpe, mixing, passages, pii, quality_rules, simhash, token_files
 from tendermill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -38,15 +42,21 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), found="n_replaced")
 
 
 QUERIES: dict[str, Query] = {
+    "op1_passages": op1_passages,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
+    "op7_token_files": op7_token_files,
     "op10_pii": op10_pii,
 }
 
