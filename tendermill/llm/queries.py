@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import bpe, mixing, passages, pii, quality_rules, simhash, token_files
+from tendermill.llm import bpe, mixing, passages, pii, quality_rules, quality_trees, simhash, token_files, toxicity
 from tendermill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,18 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json")))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_trees.classify(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), found="n_replaced")
 
@@ -57,6 +69,8 @@ QUERIES: dict[str, Query] = {
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality_trees": op9_quality_trees,
     "op10_pii": op10_pii,
 }
 
