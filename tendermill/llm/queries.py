@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import bpe, mixing, passages, pii, quality_rules, quality_trees, simhash, token_files, toxicity
+from tendermill.llm import ann, bpe, mixing, passages, pii, quality_rules, quality_trees, simhash, token_files, toxicity
 from tendermill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op1_passages": op1_passages,
     "op2_quality_rules": op2_quality_rules,
     "op3_mixing": op3_mixing,
+    "op4_ann": op4_ann,
     "op5_simhash": op5_simhash,
     "op6_bpe": op6_bpe,
     "op7_token_files": op7_token_files,
