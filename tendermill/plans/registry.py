@@ -1,19 +1,7 @@
 """Name to query, and name to the SQL that must agree with it."""
 
-from __future__ import annotations
+from tendermill.plans.tender_queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
+FLAGSHIP = "go_no_go"
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _open_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-
-
-FLAGSHIP = "orders_by_status"
-QUERIES: dict[str, Query] = {FLAGSHIP: _open_orders}
-ORACLE_SQL: dict[str, str] = {FLAGSHIP: "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"}
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
