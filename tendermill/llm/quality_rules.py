@@ -189,4 +189,6 @@ def keep(docs: DataFrame) -> DataFrame:
     learnt = learn(with_votes(with_counts(docs.select("text"))))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
     scored = with_posterior(with_votes(with_counts(whole)), learnt)
-    return scored.where(~base_failed() & (F.col("p_good") >= 0.5)).select("row.*")
+    # A filter would be pushed below the projections with all of their expressions written out in it.
+    kept = F.when(~base_failed() & (F.col("p_good") >= 0.5), F.array("row"))
+    return scored.select(F.inline(kept))
