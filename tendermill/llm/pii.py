@@ -30,17 +30,22 @@ MARK, ESC = "\u0001", "\u0002"
 EMAIL = r"[A-Za-z0-9À-ɏ._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}"
 IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
+# A number's groups share one separator, and none of them begins another value that follows it.
+CARD = r"\d{13,19}|\d{4} \d{4} \d{4} \d{1,4}|\d{4}-\d{4}-\d{4}-\d{1,4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"
+NO_CARD = r"(?!\d{4} \d{4} \d{4} \d|\d{4}-\d{4}-\d{4}-\d|\d{4}[ -]\d{6}[ -]\d{5})"
+PHONE = (
+    r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|"
+    r"\+\d{1,3}(?: " + NO_CARD + r"\d{1,4}(?![\d]|[.-]\d)){2,5}|\+\d{1,3}(?:\.\d{1,4}){2,5}|\+\d{1,3}(?:-\d{1,4}){2,5}|\+\d{7,15}"
+)
 SSN = r"\d{3}-\d{2}-\d{4}"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}"
 DMY_DATE = r"\d{2}[./]\d{2}[./]\d{4}"
-CARD = r"\d(?:[ -]?\d){12,18}"
 SECRET = r"(?:token = \"[0-9a-f]{16,}\"|password=[^\s\"|]{6,}|AKIA[0-9A-Z]{16})"
 
 EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9@])(?<![0-9][.,-])", r"(?![A-Za-z0-9@])(?![.,-][0-9])"
 PHONE_LEFT = r"(?<![A-Za-z0-9+])"
 CANDIDATE = (
-    f"{SECRET}|{EMAIL}|{PHONE_LEFT}{PHONE}(?![0-9])|"
+    f"{SECRET}|{EMAIL}|{PHONE_LEFT}(?:{PHONE})(?![0-9])|"
     f"{EDGE_LEFT}(?:{IP}|{IBAN}|{SSN}|{ISO_DATE}|{DMY_DATE}|{CARD}){EDGE_RIGHT}"
 )
 
@@ -152,11 +157,11 @@ def iban(key: str, text: Column) -> Column:
 
 
 def phone(key: str, text: Column) -> Column:
-    """The country code stays; 7 to 15 digits in all are a valid number."""
+    """The country code stays; seven digits or more in all are a valid number."""
     code = F.regexp_extract(text, r"^\+\d{1,3}(?=[ .(-])", 0)
     code = F.when(code == "", F.substring(text, 1, 3)).otherwise(code)
     rest = F.substring(text, F.char_length(code) + 1, F.char_length(text))
-    valid = F.char_length(digits_of(text)).between(7, 15) & (F.char_length(digits_of(rest)) >= 4)
+    valid = (F.char_length(digits_of(text)) >= 7) & (F.char_length(digits_of(rest)) >= 4)
     return F.when(valid, F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest))))).otherwise(text)
 
 
