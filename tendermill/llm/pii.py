@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tendermill.llm.common import let
+
 ROUNDS = 8
 DEFAULT_KEY = "tendermill-pseudonyms"
 
@@ -50,11 +52,6 @@ CANDIDATE = (
 )
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _prf(key: str, *parts: Column) -> Column:
     """Keyed pseudo-random 48-bit number of ``parts``."""
     digest = F.sha2(F.concat_ws("/", F.lit(key), *[p.cast("string") for p in parts]), 256)

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import WORD, materialise, words_of
+from tendermill.llm.common import WORD, let, materialise, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -59,26 +59,32 @@ RULES = (
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _windows(make) -> Column:
-    """``make(start)`` for every window start, an empty array for short texts."""
-    last = F.size("words") - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), make))
+def _window_hashes() -> Column:
+    """Hash of every window: hashes of one word are joined to two, four and eight."""
+    both = lambda x, y: F.xxhash64(x, y)
+    from_ = lambda h, at: F.slice(h, at + 1, F.greatest(F.size("words"), F.lit(1)))
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    for size in (1, 2, 4):
+        hashes = let(hashes, lambda h: F.zip_with(h, from_(h, size), both))  # noqa: B023
+    return F.when(F.size("words") >= WINDOW, F.slice(hashes, F.lit(1), F.greatest(F.size("words") - WINDOW + 1, F.lit(0))))
 
 
 def with_counts(df: DataFrame) -> DataFrame:
     """Add the counts that the rules read; ``text`` must be a column of ``df``."""
-    gram = lambda i: F.slice("words", i + 1, WINDOW)
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = df.withColumn("words", words_of(F.col("text")))
-    # Hashes only rule repeats out; texts that may have some compare the words themselves.
-    hashes = _windows(lambda i: F.xxhash64(gram(i)))
-    df = df.withColumn("hashes", F.coalesce(hashes, F.array().cast("array<bigint>")))
-    df = df.withColumn("may_repeat", F.size(F.array_distinct("hashes")) < F.size("hashes")).drop("hashes")
-    grams = _windows(lambda i: F.struct(F.array_join(gram(i), " ").alias("g"), i.alias("i")))
-    df = df.withColumn("grams", F.when(F.col("may_repeat"), F.array_sort(grams)))
+    df = df.withColumn("words", words_of(F.col("text"))).withColumn("hashes", _window_hashes())
+    may_repeat = F.size(F.array_distinct("hashes")) < F.size("hashes")
+    # Hashes only rule repeats out; windows that share one compare the words themselves.
+    pairs = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn("pairs", F.when(may_repeat, F.sort_array(pairs))).drop("hashes")
+    twin = lambda x, k: F.coalesce(F.get("pairs", k)["h"] == x["h"], F.lit(False))
+    df = df.withColumn("pairs", F.filter("pairs", lambda x, k: twin(x, k - 1) | twin(x, k + 1)))
+    gram = lambda i: F.array_join(F.slice("words", i + 1, WINDOW), " ")
+    grams = F.transform("pairs", lambda x: F.struct(x["h"].alias("h"), gram(x["i"]).alias("g"), x["i"].alias("i")))
+    df = df.withColumn("grams", F.sort_array(grams)).drop("pairs")
     same = lambda x, k: F.get("grams", k)["g"] == x["g"]
     at = F.filter("grams", lambda x, k: F.coalesce(same(x, k - 1), F.lit(False)) | F.coalesce(same(x, k + 1), F.lit(False)))
-    df = df.withColumn("at", F.sort_array(F.transform(at, lambda x: x["i"]))).drop("grams", "may_repeat")
+    df = df.withColumn("at", F.sort_array(F.transform(at, lambda x: x["i"]))).drop("grams")
     covered = F.aggregate(
         "at",
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -88,18 +94,21 @@ def with_counts(df: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     joined = F.array_join("words", "")
     df = df.withColumns({"lines": lines, "joined": joined, "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long")})
+    # The characters that rules count, in a string of their own, which is short.
+    marks = F.regexp_replace("joined", r"[^#*$%&|<>!?A-Z]+", "")
+    df = df.withColumn("marks", marks)
     return df.withColumns(
         {
             "n_words": F.size("words").cast("long"),
             "word_chars": F.char_length("joined").cast("long"),
-            "n_symbols": F.regexp_count("joined", F.lit(r"[#*$%&|<>]")).cast("long"),
+            "n_symbols": F.regexp_count("marks", F.lit(r"[#*$%&|<>]")).cast("long"),
             "n_lines": F.size("lines").cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-            "n_upper": F.regexp_count("joined", F.lit(r"[A-Z]")).cast("long"),
-            "n_shouts": F.regexp_count("joined", F.lit(r"[!?]")).cast("long"),
-            "n_bars": F.regexp_count("joined", F.lit(r"[|]")).cast("long"),
+            "n_upper": F.regexp_count("marks", F.lit(r"[A-Z]")).cast("long"),
+            "n_shouts": F.regexp_count("marks", F.lit(r"[!?]")).cast("long"),
+            "n_bars": F.regexp_count("marks", F.lit(r"[|]")).cast("long"),
         }
-    ).drop("words", "at", "lines", "joined")
+    ).drop("words", "at", "lines", "joined", "marks")
 
 
 def vote(rule: Rule) -> Column:
@@ -183,12 +192,10 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``.
 
-    The texts are counted twice, once to learn and once to filter, which costs
-    less than moving or writing every text between the two passes.
+    Counts and texts are written once; the estimation reads the votes alone.
     """
-    learnt = learn(with_votes(with_counts(docs.select("text"))))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    scored = with_posterior(with_votes(with_counts(whole)), learnt)
-    # A filter would be pushed below the projections with all of their expressions written out in it.
-    kept = F.when(~base_failed() & (F.col("p_good") >= 0.5), F.array("row"))
-    return scored.select(F.inline(kept))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    counted = with_counts(docs.select(row, F.col("text"))).drop("text")
+    voted = materialise(with_votes(counted), "counted-rows")
+    scored = with_posterior(voted, learn(voted))
+    return scored.where(~base_failed() & (F.col("p_good") >= 0.5)).select("row.*")
