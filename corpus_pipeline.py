@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tendermill.llm import bpe, mixing, pii, quality_rules, simhash
+from tendermill.llm import bpe, mixing, near_copies, pii, quality_rules
 from tendermill.llm.common import documents, materialise
 from tendermill.llm.queries import tokenizer_file
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
