@@ -123,17 +123,21 @@ class Network:
 
 
 def score_many(docs: list[np.ndarray], net: Network, tables: list[list[np.ndarray]]) -> np.ndarray:
-    """Scores of whole texts; positions past the end of one see its padding."""
+    """Scores of whole texts; windows begin on words, and past a text's end they see its padding."""
     ids = np.concatenate(docs)
-    starts = np.concatenate(([0], np.cumsum([len(d) for d in docs])[:-1]))
+    ends = np.cumsum([len(d) for d in docs])
+    starts = np.concatenate(([0], ends[:-1]))
     odds, rows = net.odds(ids)[:, None], ids & _LOW
     tops = []
     for f, table in zip(net.filters, tables):
         total = table[0][rows] + odds * f[0, 0]
         for j in range(1, len(f)):
             total[:-j] += table[j][rows[j:]] + odds[j:] * f[j, 0]
+        for j in range(1, max(WIDTHS)):
+            total[ends - j] = -np.inf
         tops.append(np.maximum.reduceat(total, starts, axis=0))
-    z = np.maximum(np.concatenate(tops, axis=1) + net.bias, 0) @ net.out + net.out_bias
+    # Summed by row: the last bits of a matrix product depend on the number of rows.
+    z = (np.maximum(np.concatenate(tops, axis=1) + net.bias, 0) * net.out).sum(axis=1) + net.out_bias
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
@@ -191,7 +195,7 @@ def _train_step(net: Network, docs: list[np.ndarray], odds: np.ndarray, y: np.nd
         x = vectors @ f[0]
         for j in range(1, len(f)):
             x[:-j] += vectors[j:] @ f[j]
-        where = np.array([s + x[s:e].argmax(axis=0) for s, e in zip(starts, ends)])
+        where = np.array([s + x[s : e - max(WIDTHS) + 1].argmax(axis=0) for s, e in zip(starts, ends)])
         wheres.append(where)
         tops.append(np.take_along_axis(x, where, axis=0))
     top = np.concatenate(tops, axis=1) + net.bias
@@ -204,7 +208,7 @@ def _train_step(net: Network, docs: list[np.ndarray], odds: np.ndarray, y: np.nd
         d = d_top[:, n * FILTERS : (n + 1) * FILTERS]
         g = np.zeros_like(f)
         for j in range(len(f)):
-            at = np.minimum(where + j, len(ids) - 1)
+            at = where + j
             g[j] = np.einsum("bk,bkd->dk", d, vectors[at])
             touched.append(ids[at].ravel())
             pieces.append((d[:, :, None] * f[j, 1:].T[None]).reshape(-1, DIM))
