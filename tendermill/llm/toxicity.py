@@ -17,7 +17,7 @@ held out; repeated rows score alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,12 +32,13 @@ BUCKETS = 1 << 17
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Labelled rows for the fit, and words of each that it reads; scoring has no such bounds.
+#: Labelled rows for the fit, which reads their whole texts; scoring has no such bound.
 SAMPLE = 12_000
-SAMPLE_WORDS = 3000
 #: Passes over the sample: at least, at most, and the steps aimed at between.
 EPOCHS, MOST_EPOCHS, STEPS = 3, 12, 1500
 BATCH = 32
+#: Words held at once, unless one text alone has more.
+BATCH_WORDS = 1 << 17
 FOLDS = 5
 PAD = 0
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -141,6 +142,19 @@ def score_many(docs: list[np.ndarray], net: Network, tables: list[list[np.ndarra
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
 
+def batched(items: Iterable, words: Callable, most: int | None = None) -> Iterator[list]:
+    """Lists of at most ``most`` items, each list ended once it holds ``BATCH_WORDS`` words."""
+    held, size = [], 0
+    for x in items:
+        held.append(x)
+        size += words(x)
+        if size >= BATCH_WORDS or len(held) == most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def train(rows: list[tuple[bytes, int, str]], seed: int = 7) -> Network:
     """Fit on all of ``rows`` but a tenth, which calibrates the thresholds.
 
@@ -149,7 +163,7 @@ def train(rows: list[tuple[bytes, int, str]], seed: int = 7) -> Network:
     """
     rng = np.random.default_rng(seed)
     ids = WordIds()
-    docs = [word_ids(raw, ids)[:SAMPLE_WORDS] for raw, _, _ in rows]
+    docs = [word_ids(raw, ids) for raw, _, _ in rows]
     y = np.array([label for _, label, _ in rows], np.float64)
     order = rng.permutation(len(docs))
     hold, fit = order[: len(docs) // 10], order[len(docs) // 10 :]
@@ -162,13 +176,13 @@ def train(rows: list[tuple[bytes, int, str]], seed: int = 7) -> Network:
     bias_moment, step = [0.0, 0.0], 0
     for _ in range(min(MOST_EPOCHS, max(EPOCHS, STEPS * BATCH // max(1, len(fit))))):
         fit = rng.permutation(fit)
-        for at in range(0, len(fit), BATCH):
+        for part in batched(fit.tolist(), lambda i: len(docs[i]), BATCH):
             step += 1
-            part = fit[at : at + BATCH]
             odds = np.concatenate([other[half[i]](docs[i]) for i in part])
             _train_step(net, [docs[i] for i in part], odds, y[part], moments, bias_moment, step)
     if len(hold):
-        scores = score_many([docs[i] for i in hold], net, net.tables())
+        tables = net.tables()
+        scores = np.concatenate([score_many(part, net, tables) for part in batched([docs[i] for i in hold], len)])
         langs = [rows[i][2] for i in hold]
         for lang in sorted({x for x in langs if x}):
             here = np.array([x == lang for x in langs])
@@ -235,15 +249,8 @@ def _score(shared):
         net, tables = shared.value
         ids = WordIds()
         for batch in batches:
-            scores, held, size = [], [], 0
-            for raw in batch["raw"]:
-                held.append(word_ids(raw.as_py(), ids))
-                size += len(held[-1])
-                if size > 1 << 17:
-                    scores.append(score_many(held, net, tables))
-                    held, size = [], 0
-            if held:
-                scores.append(score_many(held, net, tables))
+            texts = (word_ids(raw.as_py(), ids) for raw in batch["raw"])
+            scores = [score_many(part, net, tables) for part in batched(texts, len)]
             if scores:
                 limits = [net.thresholds.get(x, 0.5) for x in batch["lang"].to_pylist()]
                 all_ = np.concatenate(scores)

@@ -41,3 +41,18 @@ def test_a_training_step_does_not_read_the_next_text():
     toxicity._train_step(net, [mine, other], np.zeros(6, np.float32), np.array([1.0, fits]), moments, [0.0, 0.0], 1)
     at = other & toxicity._LOW
     assert np.allclose(net.embed[at], before[at], atol=1e-4)
+
+
+def test_words_at_the_end_of_long_texts_are_learnt():
+    rng = np.random.default_rng(4)
+    text = lambda words, end: " ".join([*(f"w{x}" for x in rng.integers(0, 97, words)), end]).encode()
+    net = trained([(text(3100, "wicked" if i % 2 else "plain"), i % 2, "en") for i in range(90)])
+    ids = toxicity.WordIds()
+    wicked, plain = (toxicity.score_many([toxicity.word_ids(text(40, x), ids)], net, net.tables())[0] for x in ("wicked", "plain"))
+    assert plain < 0.5 < wicked
+
+
+def test_batches_end_by_words_and_by_rows(monkeypatch):
+    monkeypatch.setattr(toxicity, "BATCH_WORDS", 10)
+    assert list(toxicity.batched([3, 3, 30, 9, 1, 2], lambda x: x)) == [[3, 3, 30], [9, 1], [2]]
+    assert list(toxicity.batched([1, 1, 1], lambda x: x, 2)) == [[1, 1], [1]]
