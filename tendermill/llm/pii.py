@@ -11,6 +11,9 @@ and secrets have no number format; they get a keyed digest of fixed form.
 No row depends on another, so there is no shuffle.  The key is a parameter;
 anybody without it cannot invert the permutation.
 
+Left out: national phone numbers other than of three, three and four digits, and
+secrets without a name (token, password) or the prefix AKIA.
+
 Defined results: NULL texts stay NULL, empty texts stay empty, candidates that
 fail validation stay as they are, repeated rows are treated alike and other
 columns pass through.
@@ -31,9 +34,10 @@ MARK, ESC = "\u0001", "\u0002"
 
 EMAIL = r"[A-Za-z0-9À-ɏ._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}"
-IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}"
+IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?! ?[A-Z0-9])"
 # A number's groups share one separator, and none of them begins another value that follows it.
 CARD = r"\d{13,19}|\d{4} \d{4} \d{4} \d{1,4}|\d{4}-\d{4}-\d{4}-\d{1,4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"
+NATIONAL = r"\(\d{3}\) ?\d{3}[ .-]\d{4}|[2-9]\d{2}-[2-9]\d{2}-\d{4}|[2-9]\d{2}\.[2-9]\d{2}\.\d{4}"
 NO_CARD = r"(?!\d{4} \d{4} \d{4} \d|\d{4}-\d{4}-\d{4}-\d|\d{4}[ -]\d{6}[ -]\d{5})"
 PHONE = (
     r"\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{3,4}[ .-]?\d{4}|"
@@ -42,12 +46,18 @@ PHONE = (
 SSN = r"\d{3}-\d{2}-\d{4}"
 ISO_DATE = r"\d{4}-\d{2}-\d{2}"
 DMY_DATE = r"\d{2}[./]\d{2}[./]\d{4}"
-SECRET = r"(?:token = \"[0-9a-f]{16,}\"|password=[^\s\"|]{6,}|AKIA[0-9A-Z]{16})"
+# Names in any case; = or : with or without blanks, and quotes around the value.
+SECRET_HEAD = r"(?:(?i:token)\s{0,3}[=:]\s{0,3}[\"']?(?=[0-9A-Fa-f]{16})|(?i:password)\s{0,3}[=:]\s{0,3}[\"']?|(?i:AKIA)(?=[0-9A-Za-z]{16}(?![0-9A-Za-z])))"
+SECRET = (
+    r"(?:(?i:token)\s{0,3}[=:]\s{0,3}(?:\"[0-9A-Fa-f]{16,}\"|'[0-9A-Fa-f]{16,}'|[0-9A-Fa-f]{16,})|"
+    r"(?i:password)(?:=|\s{0,3}[=:]\s{0,3}(?=[\"'])|\s{0,3}[=:]\s{0,3}(?=\S*[0-9]))(?:\"[^\s\"|]{6,}\"|'[^\s'|]{6,}'|[^\s\"'|][^\s\"|]{5,})|"
+    r"AKIA[0-9A-Z]{16}|(?<![A-Za-z0-9])akia[0-9a-z]{16}(?![A-Za-z0-9]))"
+)
 
 EDGE_LEFT, EDGE_RIGHT = r"(?<![A-Za-z0-9@])(?<![0-9][.,-])", r"(?![A-Za-z0-9@])(?![.,-][0-9])"
 PHONE_LEFT = r"(?<![A-Za-z0-9+])"
 CANDIDATE = (
-    f"{SECRET}|{EMAIL}|{PHONE_LEFT}(?:{PHONE})(?![0-9])|"
+    f"{SECRET}|{EMAIL}|{PHONE_LEFT}(?:{PHONE})(?![0-9])|{EDGE_LEFT}(?:{NATIONAL}){EDGE_RIGHT}|"
     f"{EDGE_LEFT}(?:{IP}|{IBAN}|{SSN}|{ISO_DATE}|{DMY_DATE}|{CARD}){EDGE_RIGHT}"
 )
 
@@ -146,6 +156,13 @@ def mod97(text: Column) -> Column:
 
 
 def iban(key: str, text: Column) -> Column:
+    """Grouped values get the pseudonym of the unspaced form in their own groups."""
+    spaced = lambda n: F.trim(F.regexp_replace(n, "(.{4})", "$1 "))
+    told = lambda p, n: F.when(n == p, text).when(text.contains(" "), spaced(n)).otherwise(n)
+    return let(F.replace(text, F.lit(" "), F.lit("")), lambda p: let(_iban(key, p), lambda n: told(p, n)))
+
+
+def _iban(key: str, text: Column) -> Column:
     country, bban = F.substring(text, 1, 2), F.substring(text, F.lit(5), F.char_length(text) - 4)
     valid = (mod97(F.concat(bban, F.substring(text, 1, 4))) == 1) & (F.char_length(digits_of(bban)) >= 2)
     check = lambda b: F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
@@ -154,12 +171,23 @@ def iban(key: str, text: Column) -> Column:
 
 
 def phone(key: str, text: Column) -> Column:
-    """The country code stays; seven digits or more in all are a valid number."""
+    """The country code stays; seven digits or more in all are a valid number.
+
+    National numbers have ten digits; without brackets, area and exchange begin with
+    2 to 9.  Both first digits stay, so that pseudonyms are such numbers again.
+    """
     code = F.regexp_extract(text, r"^\+\d{1,3}(?=[ .(-])", 0)
     code = F.when(code == "", F.substring(text, 1, 3)).otherwise(code)
     rest = F.substring(text, F.char_length(code) + 1, F.char_length(text))
     valid = (F.char_length(digits_of(text)) >= 7) & (F.char_length(digits_of(rest)) >= 4)
-    return F.when(valid, F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest))))).otherwise(text)
+    abroad = F.when(valid, F.concat(code, refill(rest, permute_digits(key, "phone", digits_of(rest))))).otherwise(text)
+
+    def national(d: Column) -> Column:
+        first, fourth = F.substring(d, 1, 1), F.substring(d, 4, 1)
+        new = permute_digits(key, "national", F.concat(F.substring(d, 2, 2), F.substring(d, 5, 6)))
+        return let(new, lambda n: F.concat(first, F.substring(n, 1, 2), fourth, F.substring(n, 3, 6)))
+
+    return F.when(text.startswith("+"), abroad).otherwise(refill(text, let(digits_of(text), national)))
 
 
 def ssn(key: str, text: Column) -> Column:
@@ -199,16 +227,19 @@ def email(key: str, text: Column) -> Column:
 
 def secret(key: str, text: Column) -> Column:
     digest = F.sha2(F.concat_ws("/", F.lit(key), F.lit("secret"), text), 256)
-    value = F.regexp_extract(text, r'^(token = "|password=|AKIA)(.*?)("?)$', 2)
-    head, tail = F.regexp_extract(text, r'^(token = "|password=|AKIA)', 1), F.regexp_extract(text, r'"$', 0)
+    head = F.regexp_extract(text, f"^{SECRET_HEAD}", 0)
+    quoted = F.substring(head, -1, 1).isin('"', "'")
+    tail = F.when(quoted, F.substring(head, -1, 1)).otherwise("")
+    value = F.substring(text, F.char_length(head) + 1, F.char_length(text) - F.char_length(head) - F.char_length(tail))
     new = F.substring(F.repeat(digest, 1 + F.floor(F.char_length(value) / 64).cast("int")), F.lit(1), F.char_length(value))
-    return F.concat(head, F.when(head == "AKIA", F.upper(new)).otherwise(new), tail)
+    capital = (value == F.upper(value)) & value.rlike("[A-Z]") & ~F.lower(head).startswith("password")
+    return F.concat(head, F.when((head == "AKIA") | capital, F.upper(new)).otherwise(new), tail)
 
 
 def kind_of(text: Column) -> Column:
     whole = lambda p: text.rlike(f"^(?:{p})$")
     return (
-        F.when(whole(SECRET), "secret").when(whole(EMAIL), "email").when(whole(PHONE), "phone").when(whole(IP), "ip")
+        F.when(whole(SECRET), "secret").when(whole(EMAIL), "email").when(whole(f"{PHONE}|{NATIONAL}"), "phone").when(whole(IP), "ip")
         .when(whole(IBAN), "iban").when(whole(SSN), "ssn").when(whole(ISO_DATE), "iso").when(whole(DMY_DATE), "dmy")
         .when(whole(CARD), "card")
     )
