@@ -35,6 +35,12 @@ from pyspark.sql import DataFrame
 from tendermill.llm.common import text_bytes
 from tendermill.llm.pieces import TextEncoder
 
+#: Bytes of ids handed to Spark at a time.
+OUT_BYTES = 8 << 20
+#: Pairs of tokens whose border is remembered.
+PAIRS = 1_000_000
+
+
 class Vocabulary:
     """Ranks of byte strings, with what the prefix tables need."""
 
@@ -75,7 +81,7 @@ class Vocabulary:
         """Whether the bytes of a and b, encoded together, give a and b."""
         known = self._apart.get((a, b))
         if known is None:
-            if len(self._apart) > 4_000_000:
+            if len(self._apart) > PAIRS:
                 self._apart.clear()
             known = self._apart[a, b] = self._stay_apart(a, b)
         return known
@@ -139,28 +145,14 @@ class Encoder(TextEncoder):
     """Whole texts to the bytes of their ids (little-endian unsigned 32-bit) and back."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        super().__init__(pattern, self._encode_pieces)
         self.vocabulary = vocabulary
+        super().__init__(pattern, self._encode_piece)
 
-    def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        """Encode pieces in order, each table keeping the prefix that it shares with the one before."""
-        vocabulary, out = self.vocabulary, {}
-        before, last = b"", []
-        for piece in sorted(pieces):
-            raw = piece.encode()
-            if (whole := vocabulary.ranks.get(raw)) is not None:
-                out[piece] = whole.to_bytes(4, "little")
-                continue
-            same = min(len(before), len(raw))
-            while before[:same] != raw[:same]:
-                same -= 1
-            vocabulary.extend(last, raw, same)
-            before = raw
-            out[piece] = array("I", vocabulary.walk(last)).tobytes()
-        return out
+    def _encode_piece(self, piece: str) -> bytes:
+        return array("I", self.vocabulary.encode_piece(piece.encode())).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_text(text)
 
     def decode(self, ids: bytes) -> bytes:
         return self.vocabulary.decode(np.frombuffer(ids, "<u4").tolist())
@@ -239,10 +231,15 @@ def _ids(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
         for batch in batches:
-            texts = (raw.as_py().decode("utf-8", "replace") for raw in batch["raw"])
-            for doc_id, found in zip(batch["doc_id"], enc.encode_stream(texts)):
-                ids = np.frombuffer(found, "<u4").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id.as_py()], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            held, size, at = [], 0, 0
+            for i, raw in enumerate(batch["raw"]):
+                held.append(enc.encode_text(raw.as_py().decode("utf-8", "replace")))
+                size += len(held[-1])
+                if size >= OUT_BYTES or i + 1 == batch.num_rows:
+                    ids = pa.array(np.frombuffer(b"".join(held), "<i4"))
+                    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in held]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(at, len(held)), pa.ListArray.from_arrays(offsets, ids)], names=["doc_id", "ids"])
+                    held, size, at = [], 0, i + 1
 
     return run
 

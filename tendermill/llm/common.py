@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks.  On UTF-8
@@ -50,6 +54,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def as_uri(path: str) -> str:
+    """``path`` as a URI for ``pyarrow.fs``; plain paths are those of the file system that all executors share."""
+    if "://" in path:
+        return path
+    return f"file://{path.removeprefix('file:')}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
@@ -58,5 +69,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_arrays(uri: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays as one file; it is moved into place whole, so a repeated task replaces its own."""
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    fs.create_dir(os.path.dirname(path), recursive=True)
+    attempt = f"{path}.{uuid.uuid4().hex}"
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    with fs.open_output_stream(attempt) as f:
+        f.write(held.getbuffer())
+    fs.move(attempt, path)
+
+
+def get_arrays(uri: str) -> dict[str, np.ndarray]:
+    fs, path = pa.fs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return dict(np.load(io.BytesIO(f.read())))
+
+
+def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Add ``number``, from 1, to the rows of each group of ``keys``, in any order.
+
+    Rows are counted by group and partition, so no task holds a whole group.
+    """
+    rows = materialise(df.withColumn("_part", F.spark_partition_id()), name)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    sizes = sizes.withColumnsRenamed({k: f"_{k}" for k in keys} | {"_part": "_of"})
+    same = F.col("_part") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    own = Window.partitionBy(*keys, "_part").orderBy(F.lit(0))
+    met = rows.join(sizes, same).withColumn("number", F.col("_base") + F.row_number().over(own))
+    return met.select(*df.columns, "number")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,8 +3,13 @@
 A tokenizer's pattern never joins the two sides of a space or line break that
 stands alone between two other characters, so a text whose blanks are of that
 kind is the sequence of its space-separated chunks, each encoded for itself.
-Texts with other blanks are cut by the pattern as they are.  Distinct chunks and
-pieces are encoded once while they fit within a bound.
+Texts with other blanks are cut by the pattern as they are.  A run of letters,
+with or without a space before it, must be one piece, and so must be one other
+character after it; this is asked of the pattern at the start.
+
+Ids of chunks are kept in two generations: a lookup that misses the young one
+takes the entry over from the old one or encodes the chunk; once the young one
+is full it becomes the old one.  Frequent chunks stay, memory is bounded.
 """
 
 from __future__ import annotations
@@ -13,75 +18,81 @@ from collections.abc import Callable, Iterable, Iterator
 
 import regex
 
-#: Chunks, and pieces, whose ids are kept; beyond, a task starts anew.
-KEPT = 400_000
-#: Longer ones are encoded each time.
-KEPT_CHARS = 64
+#: Chunks in a generation; a task keeps two of each of the two kinds.
+KEPT = 300_000
+#: Longer chunks are encoded each time.
+KEPT_CHARS = 48
+
+
+class _Blank(Exception):
+    """A chunk that is empty or holds a blank at an end: its text is cut as a whole."""
+
+
+class Chunks(dict):
+    """Id bytes of chunks that follow ``lead``, made as they are looked up; ``cut`` takes all but plain words."""
+
+    def __init__(self, lead: str, encode_piece: Callable[[str], bytes], cut: Callable[[str], bytes], tail: Chunks | None, kept: int):
+        self.lead, self.encode_piece, self.cut, self.kept, self.old = lead, encode_piece, cut, kept, {}
+        #: Chunks without a lead, for the character after a run of letters.
+        self.tail = self if tail is None else tail
 
-Pieces = Callable[[set[str]], dict[str, bytes]]
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk.isalpha():
+                ids = self.encode_piece(self.lead + chunk)
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                raise _Blank
+            elif chunk[:-1].isalpha():
+                ids = self[chunk[:-1]] + self.tail[chunk[-1]]
+            else:
+                ids = self.cut(self.lead + chunk)
+            if len(chunk) > KEPT_CHARS:
+                return ids
+        self[chunk] = ids
+        return ids
+
+    def turn(self) -> None:
+        if len(self) >= self.kept:
+            self.old = dict(self)
+            self.clear()
 
 
 class TextEncoder:
-    #: Characters of text in hand at a time.
-    CHUNK = 1 << 20
-
-    def __init__(self, pattern: str, encode_pieces: Pieces, kept: int = KEPT):
-        """``encode_pieces`` gives the id bytes of each piece; they must not depend on other pieces."""
-        self.split, self.encode_pieces, self.kept = regex.compile(pattern).findall, encode_pieces, kept
-        self.pieces: dict[str, bytes] = {}
-        # Chunks at the start of a line and chunks after a space; None: not for itself.
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
-        self.long: list[tuple[dict, str]] = []
-
-    def _learn_pieces(self, wanted: set[str]) -> None:
-        new = {x for x in wanted if x not in self.pieces}
-        if len(self.pieces) + len(new) > self.kept:
-            self.pieces.clear()
-            new = wanted
-        self.pieces |= self.encode_pieces(new)
-        self.long += [(self.pieces, x) for x in new if len(x) > KEPT_CHARS]
-
-    def _learn(self, known: dict[str, bytes | None], wanted: set[str], lead: str) -> None:
-        new = {x for x in wanted if x not in known}
-        if len(known) + len(new) > self.kept:
-            known.clear()
-            new = wanted
-        cut = {x: None if not x or x[0].isspace() or x[-1].isspace() else self.split(lead + x) for x in new}
-        self._learn_pieces(set().union(*(p for p in cut.values() if p)))
-        get = self.pieces.__getitem__
-        known |= {x: p and b"".join(map(get, p)) for x, p in cut.items()}
-        self.long += [(known, x) for x in new if len(x) > KEPT_CHARS]
-
-    def _whole(self, text: str) -> bytes:
+    """Texts to id bytes; ``encode_piece`` gives those of a piece, which must not depend on other pieces."""
+
+    def __init__(self, pattern: str, encode_piece: Callable[[str], bytes], kept: int = KEPT):
+        self.split, self.encode_piece = regex.compile(pattern).findall, encode_piece
+        #: Chunks at the start of a line and chunks after a space.
+        self.first = Chunks("", encode_piece, self._cut, None, kept)
+        self.rest = Chunks(" ", encode_piece, self._cut, self.first, kept)
+        self.line_break = encode_piece("\n")
+        if [self.split(x) for x in (" ab", "ab", " ab'", "ab1")] != [[" ab"], ["ab"], [" ab", "'"], ["ab", "1"]]:
+            raise ValueError("runs of letters are no pieces of this pattern")
+
+    def _cut(self, text: str) -> bytes:
         cut = self.split(text)
-        self._learn_pieces(set(cut))
-        return b"".join(map(self.pieces.__getitem__, cut))
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        lines = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        self._learn(self.first, {x[0] for text in lines for x in text}, "")
-        self._learn(self.rest, {y for text in lines for x in text for y in x[1:]}, " ")
-        line_break = self._whole("\n")
-        first, rest, out = self.first, self.rest.__getitem__, []
-        for text, cut in zip(texts, lines):
-            try:
-                out.append(line_break.join([first[x[0]] + b"".join(map(rest, x[1:])) for x in cut]))
-            except TypeError:  # a None among the chunks
-                out.append(self._whole(text))
-        for known, x in self.long:
-            known.pop(x, None)
-        self.long.clear()
-        return out
+        return self.encode_piece(text) if len(cut) == 1 else b"".join(map(self._piece, cut))
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isspace():
+            return self.encode_piece(piece)
+        return self.rest[piece[1:]] if piece[0] == " " else self.first[piece]
+
+    def encode_text(self, text: str) -> bytes:
+        if not text:
+            return b""
+        first, rest, lines = self.first, self.rest.__getitem__, []
+        try:
+            for line in text.split("\n"):
+                head, *others = line.split(" ")
+                lines.append(first[head] + b"".join(map(rest, others)))
+            ids = self.line_break.join(lines)
+        except _Blank:
+            ids = b"".join(map(self._piece, self.split(text)))
+        self.first.turn()
+        self.rest.turn()
+        return ids
 
     def encode_stream(self, texts: Iterable[str]) -> Iterator[bytes]:
-        """Encode texts in order, some at a time."""
-        held, size = [], 0
-        for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= self.CHUNK:
-                yield from self.encode_many(held)
-                held, size = [], 0
-        if held:
-            yield from self.encode_many(held)
+        return map(self.encode_text, texts)

@@ -14,7 +14,7 @@ greatest id; prefix sums of its counts give every document's global position.
 
 Defined results: NULL and empty texts hold the end id alone; rows with a NULL
 id come last and are read in order, but not by key; repeated ids lie together,
-ordered by text, and a keyed read returns all of them; extra columns are
+ordered by a hash of their text, and a keyed read returns all of them; extra columns are
 ignored; an empty table gives an empty manifest.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise, new_path, text_bytes
+from tendermill.llm.common import as_uri, materialise, new_path, text_bytes
 from tendermill.llm.pieces import TextEncoder
 
 MAGIC = b"TMIX0001"
 #: Bits a key in a level of the hash: more is faster and larger.
 GAMMA = 2.0
 END_ID = 2
+#: Bytes of text in a shard, at most about; its keys are held in one task.
+SHARD_BYTES = 128 << 20
 
 
 def scatter(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -150,6 +153,17 @@ class Shard:
         return self.read(int(first[0]), int(count[0])) if count[0] else []
 
 
+class Spelling(dict):
+    """Characters as the library's model spells them: one letter for each byte."""
+
+    def __init__(self, level):
+        self.level = level
+
+    def __missing__(self, code: int) -> str:
+        found = self[code] = self.level.pre_tokenize_str(chr(code))[0][0]
+        return found
+
+
 class LibraryEncoder(TextEncoder):
     """The ``tokenizers`` library over distinct pieces; texts with special tokens go to it whole."""
 
@@ -160,38 +174,20 @@ class LibraryEncoder(TextEncoder):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
-        super().__init__(self.PATTERN, self._encode_pieces)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        # The library spells each byte as one letter; ask it for the spelling of each.
-        letters = {}
-        for c in range(128):
-            letters[c] = level.pre_tokenize_str(chr(c))[0][0]
-        for c in range(0x80, 0x800):
-            raw, spelt = chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]
-            letters |= dict(zip(raw, spelt))
-        for lead in (*range(0xE0, 0xF0), *range(0xF0, 0xF5)):
-            c = {0xE0: 0x0800, 0xED: 0xD000}.get(lead, (lead & 15) << 12) if lead < 0xF0 else max(0x10000, (lead & 7) << 18)
-            letters |= dict(zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0]))
-        self.letters = letters
+        self.spelling = Spelling(ByteLevel(add_prefix_space=False, use_regex=False))
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.form, self.tokenize = "H" if self.width == 2 else "I", self.tokenizer.model.tokenize
+        super().__init__(self.PATTERN, self._encode_piece)
 
-    def _encode_pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        tokenize, letters, form = self.tokenizer.model.tokenize, self.letters, f"<u{self.width}"
-        out = {}
-        for piece in pieces:
-            spelt = piece.encode().decode("latin-1").translate(letters)
-            out[piece] = np.array([t.id for t in tokenize(spelt)], form).tobytes()
-        return out
+    def _encode_piece(self, piece: str) -> bytes:
+        return array(self.form, [t.id for t in self.tokenize(piece.translate(self.spelling))]).tobytes()
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        out = super().encode_many(texts)
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out[i] = np.array(ids, f"<u{self.width}").tobytes()
-        return out
+    def encode_text(self, text: str) -> bytes:
+        if any(s in text for s in self.special):
+            return array(self.form, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return super().encode_text(text)
 
 
 @lru_cache(maxsize=1)
@@ -241,17 +237,18 @@ MANIFEST_ARROW = pa.schema([("shard", pa.int32()), ("payload", pa.string()), ("i
 def write(docs: DataFrame, tokenizer: str, root: str | None = None, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write ``docs`` to shards under the URI ``root``; the manifest, with each shard's first position.
 
-    The number of shards is that of shuffle partitions unless given.  Where the
+    Unless given, the number of shards is that of shuffle partitions, or more so
+    that a shard is made of about ``SHARD_BYTES`` of text at most.  Where the
     shared folder is a plain path, ``root`` becomes a file URI.
     """
     spark = docs.sparkSession
-    root = root or new_path(spark, "token-shards")
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
-    root = root.replace("file:/", "file:///", 1) if root.startswith("file:/") and not root.startswith("file://") else root
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    root = as_uri(root or new_path(spark, "token-shards"))
     plain = text_bytes(docs, "doc_id").withColumn("h", F.xxhash64("raw"))
+    if not shards:
+        size = plain.agg(F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()[0]
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     dealt = plain.repartitionByRange(shards, F.col("doc_id").asc_nulls_last(), "h")
-    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "raw").select("doc_id", "raw")
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "h", "raw").select("doc_id", "raw")
     manifest = materialise(dealt.mapInArrow(_write_shard(root, tokenizer, end_id), MANIFEST), "token-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -275,7 +272,8 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every row, from the files; every key is looked up by its hash."""
-    spread = manifest.repartition(F.col("shard"))
+    # With a number, the exchange keeps its partitions: shards are read side by side, not in one task.
+    spread = manifest.repartition(max(1, manifest.count()), F.col("shard"))
     return spread.mapInArrow(_read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -289,8 +287,16 @@ def _lookup(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def lookup(keys: DataFrame, manifest: DataFrame) -> DataFrame:
-    """``doc_id, ids`` of the wanted ``keys(doc_id)``, each by one probe of the shard that may hold it."""
+    """``doc_id, ids`` of the wanted ``keys(doc_id)``, each by one probe of the shard that may hold it.
+
+    The ids' range is cut into as many steps of one width as there are shards;
+    keys and shards meet by step, and a shard lies in the steps that it covers.
+    """
     shards = manifest.where("least is not null").select("shard", "payload", "index", "least", "greatest")
-    routed = keys.distinct().join(shards, F.col("doc_id").between(F.col("least"), F.col("greatest")))
-    routed = routed.select("doc_id", F.col("shard").alias("to"))
+    least, greatest, n = shards.agg(F.min("least"), F.max("greatest"), F.count("*")).first()
+    width = 1 if least is None else (greatest - least) // n + 1
+    step = lambda c: F.floor((F.col(c).cast("decimal(20,0)") - F.lit(least or 0)) / F.lit(width)).cast("long")
+    covered = shards.select("shard", "least", "greatest", F.explode(F.sequence(step("least"), step("greatest"))).alias("step"))
+    routed = keys.where("doc_id is not null").distinct().withColumn("step", step("doc_id")).join(covered, "step")
+    routed = routed.where(F.col("doc_id").between(F.col("least"), F.col("greatest"))).select("doc_id", F.col("shard").alias("to"))
     return routed.groupBy("to").cogroup(shards.groupBy("shard")).applyInArrow(_lookup, "doc_id long, ids array<int>")

@@ -238,7 +238,7 @@ def test_edit_encodes_only_around_the_change():
 
 def test_small_caches_change_nothing():
     encoder = bpe.Encoder(VOCABULARY, public_tokenizers.PATTERN)
-    encoder.kept = 5
+    encoder.first.kept = encoder.rest.kept = 5
     texts = [long_text(s, 50) for s in range(4)] + ["", "a  b", "x" * 300]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_stream(texts)] == [TIKTOKEN.encode_ordinary(t) for t in texts]
 
