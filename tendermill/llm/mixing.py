@@ -17,8 +17,10 @@ never leave Spark.
 
 Defined results: tokens are words; a NULL source is a source of its own;
 documents without words weigh nothing and are placed in every epoch whose
-block they belong to; NULL ids and repeated rows are placed like any others,
-ties broken by the hash of id and text; an empty table gives an empty plan.
+block they belong to; NULL ids are placed like any others; repeated rows follow
+one another in the stream, and where the budget ends among them, as many as begin
+before its end are placed (which of them is open); extra columns pass through
+:func:`mix`; an empty table gives an empty plan.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import WORD, materialise
+from tendermill.llm.common import WORD, materialise, numbered
 
 STEPS = 40
 #: Target entropy as a part of the highest possible, ln(number of sources).
@@ -34,6 +36,8 @@ EVENNESS = 0.98
 MAX_EPOCHS = 4.0
 BLOCK_ROWS = 2000
 SEED = "mix"
+#: Copies of one row that a task writes out at most.
+COPIES = 100_000
 
 
 def _digest(*parts: Column) -> Column:
@@ -108,7 +112,8 @@ def _key() -> Column:
 def _schedule(docs: DataFrame, budget: int | None, evenness: float, max_epochs: float, block_rows: int, seed: str):
     """Rows without texts, the sources with their weights, and the blocks that each epoch takes.
 
-    ``cut`` is NULL for a block taken whole, else the last ``within`` taken.
+    ``cut`` is NULL for a block taken whole, else the last ``within`` taken;
+    ``cut_copies`` says how many of its equal rows are, if not all.
     """
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
     rows = materialise(docs.select("doc_id", F.col("source").alias("src"), n.alias("n_tokens"), _key().alias("key")), "mix-rows")
@@ -127,9 +132,10 @@ def _schedule(docs: DataFrame, budget: int | None, evenness: float, max_epochs:
     run = F.col("epoch") * F.col("tokens") + F.coalesce(F.sum("b_tokens").over(before), F.lit(0))
     blocks = blocks.withColumn("b_start", run).where("b_start < quota").drop("tokens", "order")
 
-    ends = _placed(dealt, blocks.where("b_start + b_tokens > quota"), seed).where("start < quota")
-    ends = ends.groupBy("src", "block", "epoch").agg(F.max("within").alias("cut"))
-    ends = ends.select(F.col("src").alias("e_src"), F.col("block").alias("e_block"), F.col("epoch").alias("e_epoch"), "cut")
+    ends = _placed(dealt, blocks.where("b_start + b_tokens > quota"), seed)
+    ends = ends.groupBy("src", "block", "epoch").agg(F.max(F.struct("within", "taken", "copies")).alias("last"))
+    ends = ends.withColumns({"cut": F.col("last.within"), "cut_copies": F.when(F.col("last.taken") < F.col("last.copies"), F.col("last.taken"))})
+    ends = ends.select(F.col("src").alias("e_src"), F.col("block").alias("e_block"), F.col("epoch").alias("e_epoch"), "cut", "cut_copies")
     same = F.col("src").eqNullSafe(F.col("e_src")) & (F.col("block") == F.col("e_block")) & (F.col("epoch") == F.col("e_epoch"))
     blocks = blocks.join(ends, same, "left").drop("e_src", "e_block", "e_epoch")
     return dealt, sources, materialise(blocks, "mix-blocks")
@@ -141,10 +147,27 @@ def _meet(dealt: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def _placed(dealt: DataFrame, blocks: DataFrame, seed: str) -> DataFrame:
-    """Rows with their ``start`` in the stream of their source."""
+    """Units of equal rows that lie before the quota, with their ``start`` in the stream of their source.
+
+    Equal rows (source, id and text) are one unit of ``copies``, which follow
+    one another in the stream; ``taken`` of them begin before the quota.
+    """
+    units = dealt.groupBy("src", "block", "h").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.count("*").alias("copies"))
     ahead = Window.partitionBy("src", "block", "epoch").orderBy("within", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("b_start") + F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))
-    return _meet(dealt, blocks).withColumn("within", _within(seed)).withColumn("start", start)
+    start = F.col("b_start") + F.coalesce(F.sum(F.col("n_tokens") * F.col("copies")).over(ahead), F.lit(0))
+    out = _meet(units, blocks).withColumn("within", _within(seed)).withColumn("start", start).where("start < quota")
+    room = F.ceil((F.col("quota") - F.col("start")) / F.col("n_tokens"))
+    return out.withColumn("taken", F.when(F.col("n_tokens") == 0, F.col("copies")).otherwise(F.least("copies", room)).cast("long"))
+
+
+def _unfolded(units: DataFrame) -> DataFrame:
+    """One row a taken copy; units of very many copies are dealt out in pieces first."""
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("taken") - 1) / COPIES).cast("long")))
+    few = units.where(F.col("taken") <= COPIES).withColumn("piece", F.lit(0).cast("long"))
+    many = units.where(F.col("taken") > COPIES).withColumn("piece", pieces).repartition("h", "epoch", "piece")
+    first = F.col("piece") * COPIES
+    both = few.unionByName(many).withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, "taken") - 1)))
+    return both.withColumn("start", F.col("start") + F.col("copy") * F.col("n_tokens"))
 
 
 def plan(
@@ -161,8 +184,7 @@ def plan(
     The budget is all tokens of ``docs`` unless given.
     """
     dealt, _, blocks = _schedule(docs, budget, evenness, max_epochs, block_rows, seed)
-    placed = _placed(dealt, blocks, seed).where("cut is null or within <= cut")
-    return placed.select("doc_id", F.col("src").alias("source"), "epoch", "block", "n_tokens", "start")
+    return _unfolded(_placed(dealt, blocks, seed)).select("doc_id", F.col("src").alias("source"), "epoch", "block", "n_tokens", "start")
 
 
 def mix(
@@ -183,4 +205,8 @@ def mix(
     row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
     here = docs.select(row, "doc_id", F.col("source").alias("src"), _key().alias("key"))
     met = _meet(_hashed(here, sources, block_rows, seed), blocks).withColumn("within", _within(seed))
-    return met.where("cut is null or within <= cut").select("row.*")
+    parted = F.coalesce((F.col("within") == F.col("cut")) & F.col("cut_copies").isNotNull(), F.lit(False))
+    whole = met.where("cut is null or within <= cut").where(~parted).select("row.*")
+    # Of the equal rows in which a source's budget ends, as many as fit; there is one such unit a source at most.
+    some = numbered(met.where(parted).select("row", "src", "block", "epoch", "cut_copies"), "mix-cut", "src", "block", "epoch")
+    return whole.unionByName(some.where("number <= cut_copies").select("row.*"))
