@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,16 +21,46 @@ def fold_of(doc_id: int, of: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % of
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> list[tuple[bytes, int, str]]:
-    """At most ``most`` (text, label, lang) of the rows where ``train`` holds, by a hash of the id.
+@dataclass
+class Sample:
+    """Features, label and language of each row."""
 
-    The bound keeps the model's fit, which runs on the driver, at one size
-    whatever the corpus; scoring covers every document.  Conflicting labels of
-    one id count as the greater one.
+    x: list[np.ndarray]
+    y: np.ndarray
+    lang: list[str | None]
+
+
+def _featured(features: Callable[[bytes], np.ndarray], kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([features(raw.as_py()) for raw in batch["raw"]], pa.list_(kind))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], batch["lang"], x], names=["doc_id", "y", "lang", "x"])
+
+    return run
+
+
+def sample(
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, features: Callable[[bytes], np.ndarray], kind: str, values: int
+) -> Sample:
+    """At most ``most`` rows where ``train`` holds, by a hash of the id, with at most ``values`` features in all.
+
+    The bounds keep the model's fit, which runs on the driver, at one size
+    whatever the corpus; scoring covers every document.  A row with more than
+    an eighth of ``values`` is left out, so that no text crowds out the others.
+    The chosen ids, at most ``most``, go to the documents, which are not
+    shuffled; features are made of whole texts where these lie.  Conflicting
+    labels of one id count as the greater one.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.where(train).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"), lang.alias("lang"))
-    rows = texts.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "raw").limit(most).select("raw", "y", "lang").toArrow()
-    return list(zip(rows["raw"].to_pylist(), rows["y"].to_pylist(), rows["lang"].to_pylist()))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "lang", "raw")
+    arrow = {"bigint": pa.int64(), "double": pa.float64()}[kind]
+    made = rows.mapInArrow(_featured(features, arrow), f"doc_id long, y int, lang string, x array<{kind}>")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("x")]
+    made = made.where(F.size("x") <= max(1, values // 8)).orderBy(*order).limit(most)
+    held = F.sum(F.size("x").cast("long")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    table = made.withColumn("held", held).where(F.col("held") <= values).select("x", "y", "lang").toArrow()
+    x = [row.values.to_numpy() for chunk in table["x"].chunks for row in chunk]
+    return Sample(x, np.array(table["y"].to_pylist(), np.float64), table["lang"].to_pylist())

@@ -45,13 +45,14 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+N_STATISTICS = len(_SETS) + 15
 
 
 def statistics(raw: bytes) -> list[float]:
     words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
     n, m = max(1, len(words)), max(1, len(lines))
     if not words:
-        return [0.0] * (len(_SETS) + 15)
+        return [0.0] * N_STATISTICS
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     chars = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ CLASSES / len(raw)
     grams = set(zip(words, words[1:], words[2:], words[3:]))
@@ -137,9 +138,9 @@ def _score(forest: Forest):
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs``."""
-    rows = sample(docs, labels, "quality", fold(F.col("doc_id"), FOLDS) != HELD, most)
-    x = np.array([statistics(raw) for raw, _, _ in rows]).reshape(len(rows), len(_SETS) + 15)
-    forest = fit(x, np.array([y for _, y, _ in rows], np.float64))
+    train = fold(F.col("doc_id"), FOLDS) != HELD
+    rows = sample(docs, labels, "quality", train, most, lambda raw: np.array(statistics(raw)), "double", most * N_STATISTICS)
+    forest = fit(np.array(rows.x).reshape(len(rows.x), N_STATISTICS), rows.y)
     scored = text_bytes(docs, "doc_id").mapInArrow(_score(forest), "doc_id long, score double")
     held_out = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

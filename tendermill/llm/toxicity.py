@@ -12,7 +12,7 @@ calibrated on a held-back part of the sample and only serve ``flagged``.
 
 Defined results: NULL and empty texts get the score of a text without words;
 without training rows all scores are near 0; NULL ids are scored and are not
-held out; repeated rows score alike.
+held out; repeated rows score alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +32,9 @@ BUCKETS = 1 << 17
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
-#: Labelled rows for the fit, which reads their whole texts; scoring has no such bound.
+#: Labelled rows, and words of them, for the fit, which reads whole texts; scoring has no such bound.
 SAMPLE = 12_000
+SAMPLE_WORDS = 8_000_000
 #: Passes over the sample: at least, at most, and the steps aimed at between.
 EPOCHS, MOST_EPOCHS, STEPS = 3, 12, 1500
 BATCH = 32
@@ -155,16 +156,13 @@ def batched(items: Iterable, words: Callable, most: int | None = None) -> Iterat
         yield held
 
 
-def train(rows: list[tuple[bytes, int, str]], seed: int = 7) -> Network:
-    """Fit on all of ``rows`` but a tenth, which calibrates the thresholds.
+def train(docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed: int = 7) -> Network:
+    """Fit on the word ids of all texts but a tenth, which calibrates the thresholds.
 
     While training, a text's words carry the odds of the half that it is not in;
     for scoring, the odds of all rows take their place.
     """
     rng = np.random.default_rng(seed)
-    ids = WordIds()
-    docs = [word_ids(raw, ids) for raw, _, _ in rows]
-    y = np.array([label for _, label, _ in rows], np.float64)
     order = rng.permutation(len(docs))
     hold, fit = order[: len(docs) // 10], order[len(docs) // 10 :]
     half = rng.integers(0, 2, len(docs))
@@ -183,9 +181,9 @@ def train(rows: list[tuple[bytes, int, str]], seed: int = 7) -> Network:
     if len(hold):
         tables = net.tables()
         scores = np.concatenate([score_many(part, net, tables) for part in batched([docs[i] for i in hold], len)])
-        langs = [rows[i][2] for i in hold]
-        for lang in sorted({x for x in langs if x}):
-            here = np.array([x == lang for x in langs])
+        held = [langs[i] for i in hold]
+        for lang in sorted({x for x in held if x}):
+            here = np.array([x == lang for x in held])
             net.thresholds[lang] = _best_threshold(scores[here], y[hold][here])
     return net
 
@@ -262,7 +260,9 @@ def _score(shared):
 def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted, flagged`` of every row of ``docs``."""
     spark = docs.sparkSession
-    net = train(sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, most))
+    ids = WordIds()
+    rows = sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, most, lambda raw: word_ids(raw, ids), "bigint", SAMPLE_WORDS)
+    net = train(rows.x, rows.y, rows.lang)
     slim = Network(net.odds, net.embed[:1], net.filters, net.bias, net.out, net.out_bias, net.thresholds)
     shared = spark.sparkContext.broadcast((slim, net.tables()))
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")

@@ -5,6 +5,11 @@ import numpy as np
 from tendermill.llm import toxicity
 
 
+def fitted(rows):
+    ids = toxicity.WordIds()
+    return toxicity.train([toxicity.word_ids(raw, ids) for raw, _, _ in rows], np.array([y for _, y, _ in rows], np.float64), [lang for _, _, lang in rows])
+
+
 def trained(extra=()):
     rng = np.random.default_rng(2)
     rows = []
@@ -13,7 +18,7 @@ def trained(extra=()):
         if i % 3 == 0:
             words[0] = "odious"
         rows.append((" ".join(words).encode(), int(i % 3 == 0), "en"))
-    return toxicity.train([*rows, *extra])
+    return fitted([*rows, *extra])
 
 
 def test_a_score_is_the_same_alone_and_in_any_batch():
@@ -56,3 +61,25 @@ def test_batches_end_by_words_and_by_rows(monkeypatch):
     monkeypatch.setattr(toxicity, "BATCH_WORDS", 10)
     assert list(toxicity.batched([3, 3, 30, 9, 1, 2], lambda x: x)) == [[3, 3, 30], [9, 1], [2]]
     assert list(toxicity.batched([1, 1, 1], lambda x: x, 2)) == [[1, 1], [1]]
+
+
+def test_scores_are_those_of_a_plain_convolution():
+    net, ids = trained(), toxicity.WordIds()
+    texts = [b"odious w1 w2 Odious! w3", b"w4", b"", b" ".join(b"w%d" % (i * 7 % 97) for i in range(400)), b"w1 w2 w3 w4 w5 odious"]
+    found = toxicity.score_many([toxicity.word_ids(x, ids) for x in texts], net, net.tables())
+    for raw, got in zip(texts, found):
+        words = [toxicity.word_ids(w, ids)[0] for w in raw.split()] or [0]
+        vectors = [[float(net.odds(np.array([w]))[0]), *map(float, net.embed[w & toxicity._LOW])] for w in words]
+        z, n = net.out_bias, 0
+        for f in net.filters:
+            for k in range(toxicity.FILTERS):
+                best = -float("inf")
+                for at in range(len(words)):
+                    r = 0.0
+                    for j in range(len(f)):
+                        if at + j < len(words):
+                            r += sum(v * float(w) for v, w in zip(vectors[at + j], f[j, :, k]))
+                    best = max(best, r)
+                z += max(best + float(net.bias[n]), 0.0) * float(net.out[n])
+                n += 1
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-4
