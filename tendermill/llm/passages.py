@@ -1,26 +1,31 @@
 """Substring dedup with repeated-phrase automata.
 
 A passage of ``window`` words is removed wherever its words also start in a
-document with a smaller id.  Three steps, each a pass over the texts:
+document with a smaller id.
 
 *Confirm.*  Every window has one anchor, the phrase of ``PHRASE`` words with
 the least hash in it; only anchors (about one position in eighteen) are
 shuffled.  Anchors of two or more documents are the recurring phrases, and the
-least id that holds one is its home.  Windows with recurring anchors are then
-counted by a 128-bit hash, with partial sums before the shuffle; those of two or
-more documents are the confirmed passages, each with the least id as its owner.
-
-*Compile.*  Owners hand in the words of their passages.  Passages are
-dealt to shards by the home of their anchors, and each shard becomes one
-Aho-Corasick automaton (pyahocorasick) whose patterns are the anchor phrases,
-with the passages around them.
-
-*Stream.*  The candidate stretches of all documents go to the shards of their
-anchors' homes and are streamed through the automata.  A hit is extended to both
-sides word by word; 50 or more common words are an occurrence, to be removed if
-its owner has a smaller id.  Shards with many stretches are split over tasks,
-each with the same automaton, so a passage that a third of all documents share
-burdens no single task.
+least id that holds one is its home.  Texts are read once more, and each run of
+windows with one home is written out as a stretch.  Documents without a
+recurring phrase cannot hold a passage and end here.  Equal stretches are one
+from now on, under the least of their ids: it decides for all the others.
+Windows of distinct stretches are counted by hash and home, with partial sums
+before the shuffle; those of two or more documents are the confirmed passages,
+each with the least id as its owner.
+
+*Compile.*  Owners hand in the words of their passages.  Passages are dealt to
+shards by home, and each shard becomes an Aho-Corasick automaton
+(pyahocorasick) whose patterns are the anchor phrases, with the passages around
+them.
+
+*Stream.*  Stretches go to the shards of their homes and are streamed through
+the automata.  A hit is extended to both sides word by word; ``window`` or more
+common words are an occurrence, to be removed if its owner has a smaller id.
+A shard with many passages is cut into several automata and one with many
+stretches into several tasks, which meet each other, so neither a passage that
+a third of all documents share nor a phrase with many passages around it
+burdens a single task.
 
 Defined results: NULL texts have no words; rows with a NULL id own nothing and
 lose every window that a document with an id has; repeated rows are handled one by
@@ -30,7 +35,8 @@ one, and rows of one id do not affect each other; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -43,12 +49,15 @@ from tendermill.llm.common import materialise, text_bytes
 
 WINDOW = 50
 PHRASE = 16
-#: Bytes of passages in a shard, and of stretches in a task, aimed at.
+#: Bytes of passages in an automaton, and of stretches in a task, aimed at.
 SHARD_BYTES = 1 << 20
 TASK_BYTES = 4 << 20
+#: Windows in a stretch or a passage; longer runs are cut, and the pieces overlap by all words of a window but one.
+MOST_WINDOWS = 20_000
+#: Bytes of text read at a time.
+CHUNK = 1 << 20
 NOBODY = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_ODD2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
@@ -61,180 +70,198 @@ class WordHashes(dict):
         return found
 
 
-def _rolling(h: np.ndarray, size: int, odd: np.uint64) -> np.ndarray:
-    """Hashes of all runs of ``size`` words: sums of the words' hashes by powers of ``odd``, modulo 2**64."""
+def _rolling(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words: sums of the words' hashes by powers of an odd number, modulo 2**64."""
     n = len(h) - size + 1
-    powers = np.cumprod(np.full(len(h), odd, np.uint64))
+    powers = np.cumprod(np.full(len(h), _ODD, np.uint64))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)))
-    return _mix((sums[size:] - sums[:n]) * np.cumprod(np.full(n, _inverse(odd), np.uint64)))
-
-
-def _inverse(odd: np.uint64) -> int:
-    return pow(int(odd), -1, 1 << 64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
+    inverse = pow(int(_ODD), -1, 1 << 64)
+    x = (sums[size:] - sums[:n]) * np.cumprod(np.full(n, inverse, np.uint64))
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
 
+def _least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least value in each run of ``width``."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        x = np.minimum(x[:-step], x[step:])
+        span += step
+    return x
+
+
 class Reading:
-    """Words of a text, its phrases' hashes and the anchor of each window."""
-
-    def __init__(self, words: list[bytes], hashes: WordHashes, window: int):
-        self.words, self.window = words, window
-        self.h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-        self.n_windows = max(0, len(words) - window + 1)
-        if self.n_windows:
-            self.phrases = _rolling(self.h, min(PHRASE, window), _ODD)
-            self.anchor = self._leftmost_least(self.phrases, window - min(PHRASE, window) + 1)
-
-    def _leftmost_least(self, x: np.ndarray, width: int) -> np.ndarray:
-        """Position of the least value (the first of equals) in each run of ``width``."""
-        at, span = np.arange(len(x)), 1
-        while span < width:
-            step = min(span, width - span)
-            a, b = at[: len(at) - step], at[step:]
-            at = np.where(x[b] < x[a], b, a)
-            span += step
-        return at
-
-    def window_hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        return _rolling(self.h, self.window, _ODD).view(np.int64), _rolling(_mix(self.h), self.window, _ODD2).view(np.int64)
-
-
-def _readings(batch: pa.RecordBatch, hashes: WordHashes, window: int) -> Iterator[tuple[int, Reading]]:
+    """Words of some texts, and of all their windows the text, the place in it and the anchor."""
+
+    def __init__(self, raws: Iterable[bytes], hashes: WordHashes, window: int):
+        self.words, self.window = [raw.split() for raw in raws], window
+        sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        total = int(ends[-1]) if len(ends) else 0
+        self.h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, total)
+        per_text = np.maximum(sizes - window + 1, 0)
+        self.text = np.repeat(np.arange(len(sizes)), per_text)
+        at = np.arange(len(self.text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        self.at, self.flat = at, at + starts[self.text]
+        self.anchor = np.empty(0, np.uint64)
+        if len(self.at):
+            size = min(PHRASE, window)
+            self.anchor = _least(_rolling(self.h, size), window - size + 1)[self.flat]
+
+    def runs(self, value: np.ndarray, most: int = 0) -> np.ndarray:
+        """Bounds of the runs of windows with one ``value`` in one text, cut after ``most`` windows."""
+        new = np.flatnonzero((value[1:] != value[:-1]) | (self.text[1:] != self.text[:-1])) + 1
+        bounds = np.concatenate(([0], new, [len(value)]))
+        if most and (np.diff(bounds) > most).any():
+            bounds = np.unique(np.concatenate([*(np.arange(s, e, most) for s, e in zip(bounds[:-1], bounds[1:])), [len(value)]]))
+        return bounds
+
+    def covered(self, s: int, e: int) -> bytes:
+        """The words that windows ``s`` to ``e - 1`` cover."""
+        return b" ".join(self.words[self.text[s]][self.at[s] : self.at[e - 1] + self.window])
+
+
+def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Some rows' texts at a time, with the number of the first."""
+    held, size, first = [], 0, 0
     for i, raw in enumerate(batch["raw"]):
-        words = raw.as_py().split()
-        if len(words) >= window:
-            yield i, Reading(words, hashes, window)
+        held.append(raw.as_py())
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield first, held
+            held, size, first = [], 0, i + 1
+    if held:
+        yield first, held
 
 
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            ids, out = [], []
-            for i, r in _readings(batch, hashes, window):
-                found = np.unique(r.phrases[np.unique(r.anchor)])
-                out.append(found.view(np.int64))
-                ids.append(np.full(len(found), batch["doc_id"][i].as_py()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(out))], names=["doc_id", "anchor"])
+            for first, raws in _chunks(batch):
+                r = Reading(raws, hashes, window)
+                if len(r.at):
+                    new = r.runs(r.anchor)[:-1]
+                    rows = pa.array(first + r.text[new])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch["doc_id"].take(rows), batch["key"].take(rows), pa.array(r.anchor[new].view(np.int64))], names=["doc_id", "key", "anchor"]
+                    )
 
     return run
 
 
-def _homes(r: Reading, anchors: pa.Array, homes: pa.Array) -> np.ndarray:
-    """Home of each window's anchor; NOBODY where it does not recur."""
-    known, home = anchors.to_numpy(), homes.to_numpy()
-    order = np.argsort(known)
-    known, home = known[order], home[order]
-    wanted = r.phrases[r.anchor].view(np.int64)
-    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-    return np.where(known[at] == wanted, home[at], NOBODY)
-
+STRETCHES = "doc_id long, key long, home long, sid long, start int, n int, text binary"
 
-def _one_home(home: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """Runs of windows with the same home, as start, end and home."""
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(home)) + 1, [len(home)]))
-    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if home[s] != NOBODY:
-            yield s, e, int(home[s])
 
-
-def _candidates(window: int):
-    """Windows with recurring anchors: two hashes, the document and the home."""
+def _stretches(window: int):
+    """Runs of windows with one home, as the words that they cover; ``sid`` tells different words apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for i, r in _readings(batch, hashes, window):
-                home = _homes(r, batch["anchors"][i].values, batch["homes"][i].values)
-                at = np.flatnonzero(home != NOBODY)
-                if len(at):
-                    a, b = (x[at] for x in r.window_hashes())
-                    _, first = np.unique(a, return_index=True)
-                    cols = [a[first], b[first], np.full(len(first), batch["doc_id"][i].as_py())]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "doc_id"])
+            for first, raws in _chunks(batch):
+                part = batch.slice(first, len(raws))
+                known, one = np.unique(part["anchors"].flatten().to_numpy(), return_index=True)
+                homes = part["homes"].flatten().to_numpy()[one]
+                r = Reading(raws, hashes, window)
+                wanted = r.anchor.view(np.int64)
+                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                home = np.where(known[at] == wanted, homes[at], NOBODY)
+                bounds = r.runs(home, MOST_WINDOWS)
+                mine = np.flatnonzero(home[bounds[:-1]] != NOBODY)
+                starts, ends = bounds[mine], bounds[mine + 1]
+                texts = [r.covered(s, e) for s, e in zip(starts.tolist(), ends.tolist())]
+                sids = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts)).view(np.int64)
+                rows = pa.array(r.text[starts])
+                columns = [
+                    part["doc_id"].take(rows), part["key"].take(rows), pa.array(home[starts]), pa.array(sids),
+                    pa.array(r.at[starts].astype(np.int32)), pa.array((ends - starts + window - 1).astype(np.int32)), pa.array(texts, pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "home", "sid", "start", "n", "text"])
 
     return run
 
 
-def _passages(window: int):
-    """Runs of an owner's confirmed windows with one home, as the words that they cover."""
+def _windows(window: int):
+    """Hash and place of each window of a stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
-            for i, r in _readings(batch, hashes, window):
-                home = _homes(r, batch["anchors"][i].values, batch["homes"][i].values)
-                mine = np.isin(r.window_hashes()[0], batch["owned"][i].values.to_numpy())
-                for s, e, place in _one_home(np.where(mine, home, NOBODY)):
-                    rows.append({"home": place, "owner": batch["doc_id"][i].as_py(), "text": b" ".join(r.words[s : e - 1 + window])})
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("home", pa.int64()), ("owner", pa.int64()), ("text", pa.binary())]))
+            for first, raws in _chunks(batch):
+                r = Reading(raws, hashes, window)
+                rows = pa.array(first + r.text)
+                columns = [*(batch[c].take(rows) for c in ("home", "owner", "sid")), pa.array(_rolling(r.h, window)[r.flat].view(np.int64)), pa.array(r.at.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["home", "owner", "sid", "window", "at"])
 
     return run
 
 
-def _stretches(window: int):
-    """Runs of windows with one home, as the words that they cover."""
+def _passages(window: int):
+    """Runs of an owner's confirmed windows, as the words that they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("home", pa.int64()), ("start", pa.int32()), ("text", pa.binary())])
         for batch in batches:
-            rows = []
-            for i, r in _readings(batch, hashes, window):
-                home = _homes(r, batch["anchors"][i].values, batch["homes"][i].values)
-                for s, e, place in _one_home(home):
-                    text = b" ".join(r.words[s : e - 1 + window])
-                    rows.append({"doc_id": batch["doc_id"][i].as_py(), "key": batch["key"][i].as_py(), "home": place, "start": s, "text": text})
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows, texts = [], []
+            for i, (raw, owned) in enumerate(zip(batch["raw"], batch["owned"])):
+                words, at = raw.as_py().split(), np.sort(owned.values.to_numpy())
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(at) != 1) + 1, [len(at)]))
+                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    texts.append(b" ".join(words[at[s] : at[e - 1] + window]))
+                    rows.append(i)
+            rows = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["home"].take(rows), batch["owner"].take(rows), pa.array(texts, pa.binary())], names=["home", "owner", "text"])
 
     return run
 
 
 class Automaton:
-    """Anchor phrases of a shard's passages; each word is one letter of the shard's own alphabet."""
+    """Anchor phrases of a shard's passages.
+
+    A word is three letters of three alphabets, so that a node has few children
+    and phrases begin at words only; passages have one letter a word.
+    """
+
+    BASE = 128
 
     def __init__(self, passages: list[tuple[int, bytes]], window: int):
-        self.window, self.letters = window, {}
+        self.window, self.size = window, min(PHRASE, window)
+        self.letters: dict[bytes, str] = {}
+        self.spelt: dict[bytes, str] = {}
         self.texts: list[str] = []
-        self.owners: list[int] = []
+        self.owners = [owner for owner, _ in passages]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         hashes = WordHashes()
-        self.size = min(PHRASE, window)
-        for owner, text in passages:
-            words = text.split()
-            letters = "".join(self._letter(w) for w in words)
-            r = Reading(words, hashes, window)
-            for at in np.unique(r.anchor).tolist():
-                phrase = letters[at : at + self.size]
+        for n, (_, raw) in enumerate(passages):
+            r = Reading([raw], hashes, window)
+            words = r.words[0]
+            self.texts.append("".join([self.letters.get(w) or self._letter(w) for w in words]))
+            phrases = _rolling(r.h, self.size)
+            for at in np.flatnonzero(np.isin(phrases, r.anchor)).tolist():
+                phrase = "".join([self.spelt[w] for w in words[at : at + self.size]])
                 if (places := self.machine.get(phrase, None)) is None:
                     self.machine.add_word(phrase, places := [])
-                places.append((len(self.texts), at))
-            self.texts.append(letters)
-            self.owners.append(owner)
-        if self.texts:
-            self.machine.make_automaton()
+                places.append((n, at))
+        self.machine.make_automaton()
 
     def _letter(self, word: bytes) -> str:
-        known = self.letters.get(word)
-        if known is None:
-            n = len(self.letters) + 1
-            known = self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
-        return known
+        n = len(self.letters) + 1
+        high, low = divmod(n, self.BASE)
+        high, middle = divmod(high, self.BASE)
+        self.spelt[word] = chr(1 + low) + chr(0x100 + middle) + chr(0x200 + high)
+        self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
+        return self.letters[word]
 
     def occurrences(self, words: list[bytes], doc_id: int) -> list[tuple[int, int]]:
         """Intervals of ``words`` that a passage with a smaller owner covers."""
-        get = self.letters.get
-        text = "".join([get(w, "\0") for w in words])
+        letters, spelt = self.letters, self.spelt
+        text = "".join([letters.get(w, "\0") for w in words])
         done: dict[tuple[int, int], int] = {}
         out = []
-        for end, places in self.machine.iter(text):
-            at = end - self.size + 1
+        for end, places in self.machine.iter("".join([spelt.get(w, "\0\0\0") for w in words])):
+            at = (end + 1) // 3 - self.size
             for passage, place in places:
                 if self.owners[passage] >= doc_id or done.get((passage, at - place), -1) > at:
                     continue
@@ -246,36 +273,42 @@ class Automaton:
 
     def _extend(self, text: str, at: int, passage: str, place: int) -> tuple[int, int]:
         """The longest common run around a common phrase."""
-        def same(x: str, y: str) -> int:
-            low, high = 0, min(len(x), len(y))
-            if x[:high] == y[:high]:
-                return high
-            while high - low > 1:
-                mid = (low + high) // 2
-                if x[low:mid] == y[low:mid]:
-                    low = mid
-                else:
-                    high = mid
-            return low
-
-        after = same(text[at:], passage[place:])
-        before = same(text[:at][::-1], passage[:place][::-1])
+        after, most = self.size, min(len(text) - at, len(passage) - place)
+        while after < most:
+            step = min(after, most - after)
+            if text[at + after : at + after + step] == passage[place + after : place + after + step]:
+                after += step
+                continue
+            while text[at + after] == passage[place + after]:
+                after += 1
+            break
+        before, most = 0, min(at, place)
+        while before < most:
+            step = min(before + 16, most - before)
+            if text[at - before - step : at - before] == passage[place - before - step : place - before]:
+                before += step
+                continue
+            while text[at - before - 1] == passage[place - before - 1]:
+                before += 1
+            break
         return at - before, at + after
 
 
-CUTS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+FOUND = pa.schema([("home", pa.int64()), ("sid", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
 
 
 def _locate(window: int):
     def run(passages: pa.Table, stretches: pa.Table) -> pa.Table:
-        if not passages.num_rows:
-            return CUTS.empty_table()
+        if not passages.num_rows or not stretches.num_rows:
+            return FOUND.empty_table()
         machine = Automaton(list(zip(passages["owner"].to_pylist(), passages["text"].to_pylist())), window)
-        rows = []
-        for row in stretches.to_pylist():
-            for s, e in machine.occurrences(row["text"].split(), row["doc_id"]):
-                rows.append({"doc_id": row["doc_id"], "key": row["key"], "s": row["start"] + s, "e": row["start"] + e})
-        return pa.Table.from_pylist(rows, schema=CUTS)
+        rows, cuts = [], []
+        for i, (owner, raw) in enumerate(zip(stretches["owner"], stretches["text"])):
+            found = machine.occurrences(raw.as_py().split(), owner.as_py())
+            cuts += found
+            rows += [i] * len(found)
+        rows, (s, e) = pa.array(rows, pa.int64()), zip(*cuts) if cuts else ((), ())
+        return pa.Table.from_arrays([stretches["home"].take(rows), stretches["sid"].take(rows), pa.array(s, pa.int32()), pa.array(e, pa.int32())], schema=FOUND)
 
     return run
 
@@ -301,34 +334,62 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def occurrences(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id, key, s, e``: word intervals to remove from ``rows(doc_id, key, raw)``."""
-    anchors = materialise(rows.select("doc_id", "raw").mapInArrow(_anchors(window), "doc_id long, anchor long"), "anchors")
+def stretches(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """All stretches of ``rows(doc_id, key, raw)``."""
+    anchors = materialise(rows.select("doc_id", "key", "raw").mapInArrow(_anchors(window), "doc_id long, key long, anchor long"), "anchors")
     homes = anchors.groupBy("anchor").agg(F.min("doc_id").alias("home"), F.max("doc_id").alias("last"))
     recurring = homes.where("home < last").select("anchor", "home")
-    mine = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("anchor", "home")).alias("x"))
-    mine = mine.select("doc_id", F.col("x.anchor").alias("anchors"), F.col("x.home").alias("homes"))
-    marked = materialise(rows.join(mine, "doc_id"), "passage-rows")
-
-    windows = marked.select("doc_id", "raw", "anchors", "homes").mapInArrow(_candidates(window), "a long, b long, doc_id long")
-    found = windows.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    owned = found.where("doc_id < last").groupBy("doc_id").agg(F.collect_list("a").alias("owned"))
-    owners = marked.select("doc_id", "raw", "anchors", "homes").join(owned, "doc_id")
-    passages = materialise(owners.mapInArrow(_passages(window), "home long, owner long, text binary"), "passages")
-
-    size = passages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shard = F.pmod(F.xxhash64("home"), F.lit(max(1, -(-size // SHARD_BYTES)))).cast("int").alias("shard")
-    schema = "doc_id long, key long, home long, start int, text binary"
-    sent = marked.select("doc_id", "key", "raw", "anchors", "homes").mapInArrow(_stretches(window), schema)
-    sent = materialise(sent.select("doc_id", "key", shard, "start", "text"), "stretches")
-    parts = sent.groupBy("shard").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.length("text")) / TASK_BYTES)).cast("int").alias("parts"))
-    copies = passages.select(shard, "owner", "text").join(parts, "shard")
-    copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = sent.join(parts.withColumnRenamed("shard", "p_shard"), F.col("shard") == F.col("p_shard"))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), F.col("parts")).cast("int"))
-    left = copies.select("shard", "part", "owner", "text").groupBy("shard", "part")
-    right = dealt.select(F.col("shard").alias("to"), F.col("part").alias("piece"), "doc_id", "key", "start", "text").groupBy("to", "piece")
-    return left.cogroup(right).applyInArrow(_locate(window), "doc_id long, key long, s int, e int")
+    mine = anchors.join(recurring, "anchor").groupBy("doc_id", "key").agg(F.collect_set(F.struct("anchor", "home")).alias("x"))
+    mine = mine.select("doc_id", "key", F.col("x.anchor").alias("anchors"), F.col("x.home").alias("homes"))
+    marked = rows.join(mine, ["doc_id", "key"]).select("doc_id", "key", "raw", "anchors", "homes")
+    return materialise(marked.mapInArrow(_stretches(window), STRETCHES), "stretches")
+
+
+def passages(distinct: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``home, owner, text`` of the confirmed passages of ``distinct(home, sid, owner, text)``."""
+    columns = "home long, owner long, sid long, window long, at int"
+    windows = distinct.select("home", "owner", "sid", F.col("text").alias("raw")).mapInArrow(_windows(window), columns)
+    found = windows.groupBy("home", "window").agg(F.min(F.struct("owner", "sid", "at")).alias("first"), F.max("owner").alias("last"))
+    owned = found.where("first.owner < last").groupBy("home", F.col("first.sid").alias("sid")).agg(F.collect_list("first.at").alias("owned"))
+    owners = distinct.join(owned, ["home", "sid"]).select("home", "owner", F.col("text").alias("raw"), "owned")
+    return materialise(owners.mapInArrow(_passages(window), "home long, owner long, text binary"), "passages")
+
+
+def _dealt(df: DataFrame, n_shards: int, target: int, part: str, *deal: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its shard, and the number of parts (of about ``target`` bytes) of each shard."""
+    sharded = df.withColumn("shard", F.pmod(F.xxhash64("home"), F.lit(n_shards)).cast("int")).withColumn("deal", F.xxhash64(*deal))
+    size = F.ceil(F.sum(F.octet_length("text")) / target).cast("int")
+    return sharded, sharded.groupBy("shard").agg(F.greatest(F.lit(1), size).alias(part))
+
+
+def occurrences(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``doc_id, key, s, e``: word intervals to remove from ``rows(doc_id, key, raw)``."""
+    sent = stretches(rows, window)
+    distinct = sent.groupBy("home", "sid").agg(F.min("doc_id").alias("owner"), F.any_value("text").alias("text"))
+    distinct = materialise(distinct, "distinct-stretches")
+    owned = passages(distinct, window)
+
+    size = owned.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_shards = max(1, -(-size // SHARD_BYTES))
+    left, left_parts = _dealt(owned, n_shards, SHARD_BYTES, "p", "owner", "text")
+    right, right_parts = _dealt(distinct, n_shards, TASK_BYTES, "q", "sid")
+    # Cell (i, j) of a shard is its automaton i with its task j.
+    grid = materialise(left_parts.join(right_parts, "shard").coalesce(1), "passage-grid")
+    own = lambda n: F.pmod("deal", F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(grid, "shard").select("shard", own("p").alias("i"), each("q").alias("j"), "owner", "text")
+    right = right.join(grid, "shard").select(F.col("shard").alias("to"), each("p").alias("k"), own("q").alias("l"), "home", "sid", "owner", "text")
+    met = left.groupBy("shard", "i", "j").cogroup(right.groupBy("to", "k", "l"))
+    found = met.applyInArrow(_locate(window), "home long, sid long, s int, e int")
+    cuts = found.groupBy("home", "sid").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
+
+    # A stretch that a smaller id has as well goes whole; the owner's own copy loses what was found.
+    told = distinct.select("home", "sid", "owner").join(cuts, ["home", "sid"], "left")
+    each_row = sent.select("doc_id", "key", "home", "sid", "start", "n").join(told, ["home", "sid"])
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
+    cut = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("cuts"))
+    out = each_row.select("doc_id", "key", "start", F.explode(cut).alias("cut"))
+    return out.select("doc_id", "key", (F.col("start") + F.col("cut.s")).alias("s"), (F.col("start") + F.col("cut.e")).alias("e"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
