@@ -4,12 +4,13 @@ Equal vectors are indexed once, with the smallest of their ids (more than any
 result can hold are never needed).  Distinct vectors are dealt to shards of
 bounded size by hash; each shard is one hierarchical graph, stored as flat
 arrays: vectors, the members of each level, and per level an (n, degree) table
-of neighbours.  Blocks of queries meet every shard, and the shards' results are
-merged by exact score.
+of neighbours.  Shards and blocks of queries are files in the shared folder; a
+task loads one shard and passes some blocks of queries through it, so no vector
+is copied by a shuffle.  The shards' results are merged by exact score.
 
 Largest inner products are nearest distances once each vector gets one more
 coordinate that brings it to the shard's greatest norm, so the graph is built
-and searched in that space; scores are double precision products of the
+and searched in that space, in double precision; scores are products of the
 original vectors.  Points are inserted, and queries answered, many at a time:
 all of a batch take a step of the beam search together in numpy.
 
@@ -21,22 +22,27 @@ vector that it has; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise
+from tendermill.llm.common import as_uri, get_arrays, materialise, new_path, put_arrays
 
 K = 20
 QUERY_EVERY = 20
-SHARD = 4096
-BLOCK = 1024
+SHARD = 16384
+#: Queries in a block, and blocks that a task passes through its shard.
+BLOCK = 512
+BLOCKS = 8
 DEGREE = 24
 EF_BUILD = 48
-EF_SEARCH = 80
+EF_SEARCH = 200
 LEVEL_RATIO = 16
 BATCH = 512
+OPENED = 4
 
 
 class Graph:
@@ -99,7 +105,8 @@ class Graph:
             batch[np.repeat(np.arange(len(nodes)), count)[part], rank[part]] = source[part]
             both = np.concatenate([links[nodes], batch], axis=1)
             both[both == nodes[:, None]] = -1
-            d = np.where(both >= 0, ((x[both] - x[nodes][:, None]) ** 2).sum(axis=2), np.inf)
+            off = x[both] - x[nodes][:, None]
+            d = np.where(both >= 0, np.einsum("bid,bid->bi", off, off), np.inf)
             links[nodes] = _diverse(x, both, d)
             more = count > room
             keep = np.repeat(more, count) & (rank >= room)
@@ -122,6 +129,8 @@ class Graph:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    middle = a.mean(axis=0)  # near copies far from zero would cancel
+    a, b = a - middle, b - middle
     return np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T, 0)
 
 
@@ -133,9 +142,9 @@ def _diverse(x: np.ndarray, found: np.ndarray, dist: np.ndarray) -> np.ndarray:
     same = np.zeros(found.shape, bool)
     same[:, 1:] = found[:, 1:] == found[:, :-1]
     valid = (found >= 0) & ~same
-    points = x[found]
+    points = x[found] - x[found[:, :1]]
     norm = (points**2).sum(axis=2)
-    between = norm[:, :, None] + norm[:, None, :] - 2 * np.einsum("bid,bjd->bij", points, points)
+    between = norm[:, :, None] + norm[:, None, :] - 2 * points @ points.transpose(0, 2, 1)
     kept = np.zeros(found.shape, bool)
     for i in range(found.shape[1]):
         hidden = (kept[:, :i] & (between[:, i, :i] < dist[:, i, None])).any(axis=1) if i else np.zeros(len(found), bool)
@@ -146,101 +155,112 @@ def _diverse(x: np.ndarray, found: np.ndarray, dist: np.ndarray) -> np.ndarray:
 
 
 def _beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries in step: the ``ef`` nearest points reached, nearest first."""
-    b = len(queries)
+    """Beam search of all queries in step: the ``ef`` nearest points reached, nearest first.
+
+    A step opens the ``OPENED`` nearest points of each beam that are still closed.
+    """
+    b, width = len(queries), OPENED * links.shape[1]
     rows = np.arange(b)
-    seen = np.zeros((b, n), bool)
-    seen[rows, entry] = True
+    seen = np.full((b, n), -1, np.int32)
+    seen[rows, entry] = 0
     ids = np.full((b, ef), -1, np.int64)
-    dist = np.full((b, ef), np.inf, np.float32)
-    open_ = np.zeros((b, ef), bool)
-    ids[:, 0], open_[:, 0] = entry, True
+    dist = np.full((b, ef), np.inf)
+    closed = np.zeros((b, ef), bool)
+    ids[:, 0], closed[:, 0] = entry, True
+    middle = x[:n].mean(axis=0)
+    x, queries = x[:n] - middle, queries - middle
+    norms, own = (x**2).sum(axis=1), (queries**2).sum(axis=1)
     dist[:, 0] = ((x[entry] - queries) ** 2).sum(axis=1)
     active = rows
-    norms = (x[:n] ** 2).sum(axis=1)
-    own = (queries**2).sum(axis=1)
     while len(active):
-        # The beam is sorted, so the first open place is the nearest open point.
-        at = open_[active].argmax(axis=1)
-        live = open_[active, at]
-        active, at = active[live], at[live]
+        order = closed[active].cumsum(axis=1)
+        live = order[:, -1] > 0
+        active, order = active[live], order[live]
         if not len(active):
             break
-        open_[active, at] = False
-        near = links[ids[active, at]]
+        r, c = np.nonzero(closed[active] & (order <= OPENED))
+        place = order[r, c] - 1
+        q = active[r]
+        closed[q, c] = False
+        near = links[ids[q, c]]
         fresh = (near >= 0) & (near < n)
-        fresh &= ~seen[active[:, None], np.maximum(near, 0)]
-        r, c = np.nonzero(fresh)
-        cand = near[r, c]
-        seen[active[r], cand] = True
-        d = np.full(near.shape, np.inf, np.float32)
-        d[r, c] = norms[cand] + own[active[r]] - 2 * np.einsum("ij,ij->i", x[cand], queries[active[r]])
+        fresh &= seen[q[:, None], np.maximum(near, 0) * fresh] < 0
+        i, k = np.nonzero(fresh)
+        cand, q = near[i, k], q[i]
+        # A point that two opened points lead to counts once: the last mark stands.
+        mark = np.arange(len(cand), dtype=np.int32)
+        seen[q, cand] = mark
+        once = seen[q, cand] == mark
+        i, k, cand, q = i[once], k[once], cand[once], q[once]
+        d, new = np.full((len(active), width), np.inf), np.full((len(active), width), -1, np.int64)
+        at = place[i] * links.shape[1] + k
+        d[r[i], at] = norms[cand] + own[q] - 2 * np.einsum("ij,ij->i", x[cand], queries[q])
+        new[r[i], at] = cand
         all_d = np.concatenate([dist[active], d], axis=1)
-        best = np.argsort(all_d, axis=1, kind="stable")[:, :ef]
+        best = np.argsort(all_d, axis=1)[:, :ef]
         dist[active] = np.take_along_axis(all_d, best, axis=1)
-        ids[active] = np.take_along_axis(np.concatenate([ids[active], near], axis=1), best, axis=1)
-        open_[active] = np.take_along_axis(np.concatenate([open_[active], fresh], axis=1), best, axis=1) & np.isfinite(dist[active])
-        ids[active] = np.where(np.isfinite(dist[active]), ids[active], -1)
+        ids[active] = np.take_along_axis(np.concatenate([ids[active], new], axis=1), best, axis=1)
+        closed[active] = np.take_along_axis(np.concatenate([closed[active], new >= 0], axis=1), best, axis=1)
     return ids, dist
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
     """One coordinate more, so that all vectors have the greatest norm."""
     norms = (vectors**2).sum(axis=1)
-    return np.concatenate([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1).astype(np.float32)
-
-
-INDEX = pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("vectors", pa.binary()), ("first_ids", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary()), ("links", pa.binary()), ("sizes", pa.list_(pa.int32()))])
-INDEX_SQL = "shard int, n int, vectors binary, first_ids binary, counts binary, levels binary, links binary, sizes array<int>"
-
-
-def _build(rows: pa.Table) -> pa.Table:
-    """One index row from the distinct vectors of a shard."""
-    rows = rows.combine_chunks()
-    vectors = np.array(rows["embedding"].to_pylist(), np.float64)
-    graph = Graph.build(lifted(vectors))
-    ids = rows["ids"].to_pylist()
-    return pa.Table.from_pylist(
-        [
-            {
-                "shard": rows["shard"][0].as_py(),
-                "n": len(vectors),
-                "vectors": vectors.astype("<f8").tobytes(),
-                "first_ids": np.concatenate([np.array(x, "<i8") for x in ids]).tobytes(),
-                "counts": np.array([len(x) for x in ids], "<i4").tobytes(),
-                "levels": np.concatenate(graph.levels).astype("<i4").tobytes(),
-                "links": np.concatenate(graph.links).astype("<i4").tobytes(),
-                "sizes": [len(x) for x in graph.levels],
-            }
-        ],
-        schema=INDEX,
-    )
+    return np.concatenate([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1)
+
+
+INDEX_SQL = "shard int, n int, file string"
+
+
+def _build(root: str):
+    def run(rows: pa.Table) -> pa.Table:
+        """Write the index of a shard's distinct vectors."""
+        vectors = np.array(rows["embedding"].to_pylist(), np.float64)
+        graph = Graph.build(lifted(vectors))
+        ids = rows["ids"].to_pylist()
+        shard = rows["shard"][0].as_py()
+        arrays = {
+            "vectors": vectors,
+            "ids": np.concatenate([np.array(x, np.int64) for x in ids]),
+            "counts": np.array([len(x) for x in ids], np.int32),
+            "levels": np.concatenate(graph.levels).astype(np.int32),
+            "links": np.concatenate(graph.links),
+            "sizes": np.array([len(x) for x in graph.levels], np.int32),
+        }
+        put_arrays(f"{root}/shard-{shard:06d}", arrays)
+        return pa.Table.from_pylist([{"shard": shard, "n": len(vectors), "file": f"{root}/shard-{shard:06d}"}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("file", pa.string())]))
 
+    return run
 
-FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
+def _block(root: str):
+    def run(rows: pa.Table) -> pa.Table:
+        block = rows["block"][0].as_py()
+        put_arrays(f"{root}/block-{block:06d}", {"ids": rows["query_id"].to_numpy(), "vectors": np.array(rows["embedding"].to_pylist(), np.float64)})
+        return pa.Table.from_pylist([{"block": block, "queries": f"{root}/block-{block:06d}"}], schema=pa.schema([("block", pa.int32()), ("queries", pa.string())]))
 
-def _search(k: int, ef: int):
-    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
-        if not index.num_rows or not queries.num_rows:
-            return FOUND.empty_table()
-        row = index.slice(0, 1).to_pylist()[0]
-        vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
-        cuts = np.cumsum(row["sizes"])[:-1]
-        levels = np.split(np.frombuffer(row["levels"], "<i4"), cuts)
-        graph = Graph(lifted(vectors), levels, np.split(np.frombuffer(row["links"], "<i4").reshape(-1, DEGREE), cuts))
-        counts = np.frombuffer(row["counts"], "<i4")
-        starts, ids = np.cumsum(counts) - counts, np.frombuffer(row["first_ids"], "<i8")
-        wanted = queries["query_id"].to_numpy()
-        q = np.array(queries["embedding"].to_pylist(), np.float64)
-        found = graph.search(np.pad(q, ((0, 0), (0, 1))).astype(np.float32), k + 1, ef)
+    return run
+
+
+class Shard:
+    def __init__(self, file: str):
+        a = get_arrays(file)
+        cuts = np.cumsum(a["sizes"])[:-1]
+        self.vectors, self.ids, self.counts = a["vectors"], a["ids"], a["counts"]
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.graph = Graph(lifted(self.vectors), np.split(a["levels"], cuts), np.split(a["links"], cuts))
+
+    def nearest(self, wanted: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Up to ``k`` of query, id and score for each query, by exact score among all that the beam found."""
+        found = self.graph.search(np.pad(q, ((0, 0), (0, 1))), max(ef, k + 1), ef)
         r, c = np.nonzero(found >= 0)
         points = found[r, c]
-        score = np.einsum("ij,ij->i", q[r], vectors[points])
+        score = np.einsum("ij,ij->i", q[r], self.vectors[points])
         # Copies share the score; of a query's results at most k + 1 can matter.
-        times = counts[points]
-        at = np.repeat(starts[points], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        query, vec, score = np.repeat(wanted[r], times), ids[at], np.repeat(score, times)
+        times = self.counts[points]
+        at = np.repeat(self.starts[points], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        query, vec, score = np.repeat(wanted[r], times), self.ids[at], np.repeat(score, times)
         keep = query != vec
         query, vec, score = query[keep], vec[keep], score[keep]
         order = np.lexsort((vec, -score, query))
@@ -248,7 +268,21 @@ def _search(k: int, ef: int):
         first = np.concatenate(([True], query[1:] != query[:-1])) if len(query) else np.zeros(0, bool)
         rank = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
         top = rank < k
-        return pa.Table.from_arrays([pa.array(query[top]), pa.array(vec[top]), pa.array(score[top])], schema=FOUND)
+        return query[top], vec[top], score[top]
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _search(k: int, ef: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, shard = None, None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["file"] != file:
+                    file, shard = row["file"], Shard(row["file"])
+                q = get_arrays(row["queries"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in shard.nearest(q["ids"], q["vectors"], k, ef)], schema=FOUND)
 
     return run
 
@@ -259,34 +293,43 @@ def usable(vector: Column) -> Column:
 
 
 def index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
-    """One row a shard, from ``vec_id, embedding``; written, since building is the costly part."""
+    """``shard, n, file`` of each shard, from ``vec_id, embedding``."""
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
     firsts = vectors.distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1)
     points = firsts.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     points = materialise(points, "ann-points")
     n = max(1, -(-points.count() // shard))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(n)).cast("int"))
-    return materialise(dealt.groupBy("shard").applyInArrow(_build, INDEX_SQL), "ann-index")
+    root = as_uri(new_path(vectors.sparkSession, "ann-shards"))
+    # As many partitions as shards: the exchange is not coalesced, graphs are built side by side.
+    return materialise(dealt.repartition(n, "shard").groupBy("shard").applyInArrow(_build(root), INDEX_SQL), "ann-index")
 
 
 def search(queries: DataFrame, indexed: DataFrame, k: int = K, block: int = BLOCK, ef: int = EF_SEARCH) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for ``queries(query_id, embedding)``, all of them against all shards."""
-    n = max(1, -(-queries.count() // block))
-    cut = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int"))
-    shards = indexed.agg(F.sort_array(F.collect_list("shard")).alias("all"))
-    met = cut.join(F.broadcast(shards), F.lit(True)).select("query_id", "embedding", "block", F.explode("all").alias("to"))
-    copies = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    found = copies.groupBy("shard", "block").cogroup(met.groupBy("to", "block")).applyInArrow(_search(k, ef), "query_id long, vec_id long, score double")
+    """``query_id, rank, vec_id, score`` for ``queries(query_id, embedding)``, all of them against all shards.
+
+    Shards and blocks of queries meet as pairs of file names.
+    """
+    n_blocks = max(1, -(-queries.count() // block))
+    cut = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
+    root = as_uri(new_path(queries.sparkSession, "ann-queries"))
+    blocks = materialise(cut.groupBy("block").applyInArrow(_block(root), "block int, queries string"), "ann-blocks")
+    all_blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    pairs = indexed.select("shard", "file", all_blocks.alias("block")).join(blocks, "block")
+    batch = F.floor(F.col("block") / BLOCKS)
+    tasks = max(1, indexed.count()) * -(-n_blocks // BLOCKS)
+    pairs = pairs.repartition(tasks, "shard", batch).sortWithinPartitions("shard", "block").select("file", "queries")
+    found = pairs.mapInArrow(_search(k, ef), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 
-def neighbours(embeddings: DataFrame, every: int = QUERY_EVERY, k: int = K) -> DataFrame:
+def neighbours(embeddings: DataFrame, every: int = QUERY_EVERY, k: int = K, shard: int = SHARD) -> DataFrame:
     """The ``k`` nearest other rows of each row whose id is divisible by ``every``."""
     good = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     good = good.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     sizes = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.col("count").desc(), "d").limit(1).collect()
     good = good.where(F.size("embedding") == (sizes[0]["d"] if sizes else 0))
     queries = good.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
-    return search(queries, index(good, k), k)
+    return search(queries, index(good, k, shard), k)
