@@ -6,6 +6,8 @@ import io
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,23 +37,51 @@ def text_bytes(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
 
 
+@lru_cache(maxsize=8)
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-tendermill-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see, from ``spark.checkpoint.dir``.
 
-    Only a local master, where one process does all the work, may fall back to
-    a temporary folder; on a cluster the setting is required.
+    Only a local master, where one process does all the work, may go without
+    the setting and gets a folder of its own; on a cluster it is required.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = os.path.join(tempfile.gettempdir(), "tendermill-shared")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", found)
+        found = _own_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+#: Paths made within each open :func:`scratch`.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables and files that are made inside go at the end; write what is to stay to a path of its own."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove(path)
+
+
+def remove(path: str) -> None:
+    fs, at = pa.fs.FileSystem.from_uri(as_uri(path))
+    if fs.get_file_info(at).type == pa.fs.FileType.Directory:
+        fs.delete_dir(at)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def as_uri(path: str) -> str:
@@ -61,10 +91,10 @@ def as_uri(path: str) -> str:
     return f"file://{path.removeprefix('file:')}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -105,5 +135,18 @@ def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return met.select(*df.columns, "number")
 
 
+def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the ``chosen(doc_id)``, of repeated ids the smallest one, and all rows with a NULL id.
+
+    Only rows of repeated ids are grouped; maps, which have no order, do not decide.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    sizes = docs.groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    kept = docs.join(chosen.join(sizes, "doc_id"), "doc_id")
+    ordered = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    many = kept.where("_rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*cols), ordered).alias("_row")).select("_row.*")
+    return kept.where("_rows = 1").select(*cols).unionByName(many).unionByName(docs.where("doc_id is null"))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise, text_bytes
+from tendermill.llm.common import materialise, one_row_each, text_bytes
 from tendermill.llm.components import connected_components
 from tendermill.llm.simhash import shingle_hashes
 
@@ -148,6 +148,4 @@ def drop(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     found = connected_components(links(docs, marked, block).unionByName(same))
     named = marked.select("doc_id", "mark").join(found.withColumnRenamed("node", "mark"), "mark", "left")
     chosen = named.groupBy(F.coalesce("component", "mark").alias("group")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("row")).select("row.*")
-    return once.unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in cols])
+    return one_row_each(docs, chosen)

@@ -8,8 +8,10 @@ equal values to equal pseudonyms and different values to different ones, so
 records stay linked across documents without any shared table.  E-mail names
 and secrets have no number format; they get a keyed digest of fixed form.
 
-No row depends on another, so there is no shuffle.  The key is a parameter;
-anybody without it cannot invert the permutation.
+No row depends on another, so there is no shuffle.  The key comes from the
+setting ``spark.tendermill.pii.key`` or a parameter; anybody without it cannot
+invert the permutation.  Without either, a run draws a key of its own, which is
+not kept: its pseudonyms are linked within the run alone.
 
 Left out: national phone numbers other than of three, three and four digits, and
 secrets without a name (token, password) or the prefix AKIA.
@@ -21,13 +23,15 @@ columns pass through.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendermill.llm.common import let
 
 ROUNDS = 8
-DEFAULT_KEY = "tendermill-pseudonyms"
+KEY_SETTING = "spark.tendermill.pii.key"
 
 #: Marks around candidates; a text's own marks are escaped before and restored after.
 MARK, ESC = "\u0001", "\u0002"
@@ -63,9 +67,9 @@ CANDIDATE = (
 
 
 def _prf(key: str, *parts: Column) -> Column:
-    """Keyed pseudo-random 48-bit number of ``parts``."""
+    """Keyed pseudo-random 60-bit number of ``parts``."""
     digest = F.sha2(F.concat_ws("/", F.lit(key), *[p.cast("string") for p in parts]), 256)
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint")
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def feistel(key: str, tag: Column, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
@@ -259,8 +263,9 @@ def pseudonym(key: str, kind: Column, text: Column) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, found: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, found: str | None = None) -> DataFrame:
     """``docs`` with a pseudonymised ``text``; ``found`` names a column for the number of replaced values."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
     if found and found in docs.columns:
         raise ValueError(f"there is a column {found} already")
     cols = docs.columns

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise, text_bytes
+from tendermill.llm.common import materialise, one_row_each, text_bytes
 from tendermill.llm.components import connected_components
 
 SHINGLE = 4
@@ -233,8 +233,5 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Repeated rows of one id are copies too: the smallest row stays.
     """
-    cols = docs.columns
     chosen = components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi")
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in cols])).alias("row")).select("row.*")
-    return once.unionByName(docs.where("doc_id is null")).select(*[f"`{c}`" for c in cols])
+    return one_row_each(docs, chosen)

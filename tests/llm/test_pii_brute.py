@@ -1,0 +1,57 @@
+"""Pseudonyms against a plain version with its own permutation, and its inverse."""
+
+import json
+import random
+
+from hypothesis import given
+from hypothesis import strategies as st
+
+import brute
+from tendermill.llm import pii
+
+KEY = "a key of the tests"
+
+
+def values():
+    rng = random.Random(3)
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    out = []
+    for _ in range(40):
+        body = d(15)
+        number = body + str(-brute.luhn(body + "0") % 10)
+        bban = d(18)
+        plain = f"DE{98 - brute.mod97(bban + 'DE00'):02d}{bban}"
+        out += [
+            number, " ".join(number[i : i + 4] for i in range(0, 16, 4)), d(16), plain, " ".join(plain[i : i + 4] for i in range(0, len(plain), 4)),
+            f"{rng.randrange(256)}.{rng.randrange(256)}.{rng.randrange(300)}.{rng.randrange(256)}", f"{rng.randrange(1000):03d}-{rng.randrange(100):02d}-{rng.randrange(10000):04d}",
+            f"{rng.choice([1234, 1950, 2024, 2099, 2150])}-{rng.randrange(1, 14):02d}-{rng.randrange(1, 32):02d}", f"{rng.randrange(1, 32):02d}.{rng.randrange(1, 13):02d}.{rng.randrange(1900, 2100)}",
+            f"{rng.randrange(1, 14):02d}/{rng.randrange(1, 32):02d}/{rng.randrange(1900, 2100)}", f"+{rng.randrange(1, 300)} ({d(3)}) 555-{d(4)}", f"+33 6 {d(2)} {d(2)} {d(2)} {d(2)}",
+            f"(5{d(2)}) 5{d(2)}-{d(4)}", f"name.{d(3)}@host-{d(1)}.example.com", f'TOKEN = "{d(16)}ABCDEF"', f"password={d(3)}secret", f"AKIA{d(10)}ABCDEF",
+        ]
+    return out
+
+
+def test_whole_texts_are_those_of_the_plain_version(spark):
+    found = values()
+    texts = [*found, *(" ".join(["say", *found[i : i + 9], "end."]) for i in range(0, len(found), 7)), "no data", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, KEY).collect()}
+    wrong = {t: (got[i], brute.pseudonymised(KEY, t)) for i, t in enumerate(texts) if got[i] != brute.pseudonymised(KEY, t)}
+    assert not wrong, json.dumps(list(wrong.items())[:5], ensure_ascii=False)
+
+
+@given(st.integers(0, 10**8 - 1), st.integers(0, 10**9 - 1))
+def test_the_permutation_has_an_inverse(a, b):
+    x, y = brute.permuted(KEY, "card17", a, b, 10**8, 10**9)
+    assert brute.restored(KEY, "card17", x, y, 10**8, 10**9) == (a, b)
+
+
+def test_runs_without_a_key_draw_their_own(spark):
+    df = spark.createDataFrame([(1, "129.38.82.176"), (2, "129.38.82.176")], "doc_id long, text string")
+    runs = [[r.text for r in pii.pseudonymise(df).orderBy("doc_id").collect()] for _ in range(2)]
+    assert all(a == b for a, b in runs) and runs[0] != runs[1]
+    spark.conf.set(pii.KEY_SETTING, KEY)
+    try:
+        assert [r.text for r in pii.pseudonymise(df).collect()] == [brute.ip(KEY, "129.38.82.176")] * 2
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
