@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; :func:`run`
 writes each result as Parquet to the shared folder and reads it again as the
-next stage's documents.  All stages but the last keep the columns of documents.
+next stage's documents; tables that a stage made for itself, and results that
+the next stage has read, are removed.  All stages but the last keep the columns
+of documents.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tendermill.llm import bpe, mixing, near_copies, pii, quality_rules
-from tendermill.llm.common import documents, materialise
+from tendermill.llm.common import documents, materialise, new_path, remove, scratch
 from tendermill.llm.queries import tokenizer_file
 
 
@@ -43,12 +45,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("personal data", pseudonyms), ("mixing", mix), ("encoding", encode)]
 
-#: SQL has no byte-level BPE; tests/llm compares the pipeline with a brute-force version.
+#: SQL has no byte-level BPE; tests/llm compares the pipeline with a brute-force version of each stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        path = new_path(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch():
+            docs = materialise(stage(spark, docs, sf_dir), name, path)
+        if before:
+            remove(before)
+        before = path
     return docs
