@@ -6,7 +6,7 @@ inside generated code, and the same data gives the SQL of the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendermill.functions.text import normalise
@@ -147,6 +147,13 @@ def normal_lot(text: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(bare, "^0+", ""), F.lit("")), bare)
 
 
+def sheet_of_lot(sheet: Column, lot: str) -> Column:
+    """Whether a sheet's name holds the lot's number; a letter after it keeps its case, while the lot's is small."""
+    raw = F.regexp_extract(sheet, r"(?i)lot[\s_\-]*[nN°]*[\s_\-]*(\d{1,2}[A-Za-z]?)", 1)
+    number = F.when(raw.rlike(r"^\d+$"), raw.cast("int").cast("string")).otherwise(raw)
+    return (raw != "") & (number == normal_lot(F.lit(lot)))
+
+
 def canonical_lot(raw: Column) -> Column:
     """``lotN`` of a number with an optional letter; a capital counts from A = 1; else NULL."""
     text = F.trim(raw)
@@ -174,3 +181,42 @@ def expiry_status(day: Column, asof: Column, horizon: int = 30) -> Column:
 
 def link_status(status: Column) -> Column:
     return F.when(status == "expired", "expire").when(status == "expiring_soon", "expiration_proche").otherwise("present")
+
+
+# Groups of company documents as the checklist shows them, tried in this order.
+CHECKLIST_GROUPS = (
+    (r"assurance|décennale|decennale|rc[_ ]?(civile|professionnelle)|trc|dommages", "assurances"),
+    (r"chiffre|ca\b|bilan|financ|effectif", "financier"),
+    (r"qualibat|certificat|référence|reference|qualification|caces|amiante|chantier", "technique"),
+)
+
+
+def checklist_category(kind: Column, details: Column) -> Column:
+    return cascade(F.lower(F.concat(kind, F.lit(" "), F.coalesce(details, F.lit("")))), CHECKLIST_GROUPS, F.when(F.lit(False), "")).otherwise("administratif")
+
+
+def size_band(size: Column) -> Column:
+    """Band of an upload's size in bytes."""
+    out = F
+    for limit, name in ((1024, "over_1gb"), (500, "over_500mb"), (100, "over_100mb")):
+        out = out.when(size > limit << 20, name)
+    return out.otherwise("small")
+
+
+def failed_detection(id_: Column, sources: Column) -> Column:
+    """A workbook that could not be read stands as a lot named ``!!`` or with the source ``error``."""
+    return (id_ == "!!") | F.array_contains(sources, "error")
+
+
+def unsure(confidence: Column) -> Column:
+    return F.coalesce(confidence, F.lit(100)) < 50
+
+
+def by_lot(df: DataFrame, tags: str, lot: str | None) -> tuple[DataFrame, DataFrame]:
+    """Documents that concern the lot, and all others."""
+    kept = F.coalesce(concerns_lot(F.col(tags), lot), F.lit(False))
+    return df.where(kept), df.where(~kept)
+
+
+def alert_band(days: Column) -> Column:
+    return F.when(days < 0, "expired").when(days <= 7, "urgent").when(days <= 30, "soon")

@@ -86,3 +86,124 @@ def excerpt(lines: Column, at: Column, ahead: int = 11, most: int = 220) -> Colu
         return F.struct(text.alias("t"), done.alias("done"))
 
     return F.aggregate(F.slice(lines, at + 1, ahead), state, step, lambda s: s["t"])
+
+
+def segments(text: Column, target: int = 45, least: int = 15) -> Column:
+    """Pieces of about ``target`` characters, cut at the last blank in reach; pieces under ``least`` are dropped.
+
+    A text of n characters has at most n / ``least`` pieces, which bounds the fold.
+    """
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    start = F.struct(F.array().cast("array<string>").alias("out"), strip(text).alias("rest"))
+
+    def step(s: Column, _: Column) -> Column:
+        rest, n = s["rest"], F.char_length(s["rest"])
+        window = F.substring(rest, least + 1, target + 1 - least)
+        back = F.instr(F.reverse(window), " ")
+        cut = F.when(n <= target, n).when(back > 0, F.lit(target + 1) - back).otherwise(target)
+        piece = strip(F.left(rest, cut))
+        out = F.when(F.char_length(piece) >= least, F.concat(s["out"], F.array(piece))).otherwise(s["out"])
+        return F.struct(out.alias("out"), strip(F.substring(rest, cut + 1, n)).alias("rest"))
+
+    rounds = F.sequence(F.lit(0), F.floor(F.char_length(F.coalesce(text, F.lit(""))) / least).cast("int"))
+    return F.aggregate(rounds, start, step, lambda s: s["out"])
+
+
+def fallback_pairs(text: Column) -> Column:
+    """The first five pairs of neighbours among the words of more than four characters."""
+    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: F.char_length(w) > 4)
+    pairs = F.transform(words, lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+    return F.slice(F.filter(pairs, lambda p: p.isNotNull()), 1, 5)
+
+
+def page_of(pages: Column, wanted: Column, text: Column) -> Column:
+    """The declared page if the document has it, else the first whose text holds the first fifty characters; NULL if none."""
+    hit = F.array_position(F.transform(pages, lambda p: F.lower(p).contains(F.lower(F.left(text, F.lit(50))))), F.lit(True)).cast("int")
+    return F.when(wanted.between(1, F.size(pages)), wanted).when(hit > 0, hit)
+
+
+def without_nul(text: Column) -> Column:
+    return F.replace(text, F.lit("\u0000"), F.lit(""))
+
+
+def travel_minutes(km: Column, speed: int = 60) -> Column:
+    return F.bround(km / speed * 60).cast("int")
+
+
+def euros(amount: Column) -> Column:
+    """Whole euros as French readers write them: narrow blanks between thousands, a blank before the sign."""
+    return F.concat(F.replace(F.format_number(amount, 0), F.lit(","), F.lit("\u202f")), F.lit("\u00a0€"))
+
+
+def default_name(first: Column, last: Column, email: Column) -> Column:
+    whole = F.trim(F.concat_ws(" ", first, last))
+    return F.when(whole != "", whole).otherwise(F.substring_index(email, "@", 1))
+
+
+def bullets(text: Column) -> Column:
+    """Non-blank lines as ``bullet`` and ``runs`` of ``text`` and ``bold``."""
+    mark = "\u0001"
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
+
+    def parsed(line: Column) -> Column:
+        bullet = line.rlike(r"^[-*]\s+")
+        content = F.when(bullet, F.regexp_replace(line, r"^[-*]\s+", "")).otherwise(line)
+        parts = F.split(F.regexp_replace(F.replace(content, F.lit(mark), F.lit("")), r"\*\*.*?\*\*", f"{mark}$0{mark}"), mark)
+        run = lambda p, i: F.struct(F.when(i % 2 == 1, F.substring(p, F.lit(3), F.char_length(p) - 4)).otherwise(p).alias("text"), (i % 2 == 1).alias("bold"))
+        return F.struct(bullet.alias("bullet"), F.filter(F.transform(parts, run), lambda r: (r["text"] != "") | r["bold"]).alias("runs"))
+
+    return F.transform(lines, parsed)
+
+
+def markdown_section(text: Column, header: str) -> Column:
+    """From the first heading that holds ``header`` to the next of its level or above; front matter is left out."""
+    end = F.locate("---", text, 4)
+    body = F.when(text.startswith("---") & (end > 0), F.regexp_replace(F.substring(text, end + 3, F.char_length(text)), r"^\n+", "")).otherwise(text)
+    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("level"), F.lit(False).alias("done"))
+
+    def step(s: Column, line: Column) -> Column:
+        level = F.char_length(F.regexp_extract(line, "^(#*)", 1))
+        inside, heading = s["level"] > 0, level > 0
+        done = s["done"] | (inside & heading & (level <= s["level"]))
+        opens = ~inside & heading & F.lower(line).contains(header.lower())
+        keep = ~done & (inside | opens)
+        return F.struct(
+            F.when(keep, F.concat(s["out"], F.array(line))).otherwise(s["out"]).alias("out"), F.when(opens, level).otherwise(s["level"]).alias("level"), done.alias("done")
+        )
+
+    return F.regexp_replace(F.aggregate(F.split(body, "\n"), state, step, lambda s: F.array_join(s["out"], "\n")), r"^\s+|\s+$", "")
+
+
+def disposition(name: Column) -> Column:
+    """Content disposition of a download: an ASCII name and the percent-encoded one."""
+    plain = F.regexp_replace(name, r"[^\x00-\x7F]", "?")
+    coded = F.replace(F.replace(F.replace(F.url_encode(name), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.concat(F.lit('inline; filename="'), F.replace(plain, F.lit('"'), F.lit("")), F.lit("\"; filename*=UTF-8''"), coded)
+
+
+def first_object(text: Column) -> Column:
+    """The first JSON object in a text, by counting braces outside strings; NULL if none is closed."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("end"), F.lit(0).alias("i"))
+    found = F.instr(text, "{")
+    tail = F.substring(text, found, F.char_length(text))
+
+    def step(s: Column, ch: Column) -> Column:
+        i, live = s["i"] + 1, s["end"] == 0
+        quote = live & (ch == '"') & ~s["escaped"]
+        opens, closes = live & ~s["quoted"] & (ch == "{"), live & ~s["quoted"] & (ch == "}")
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.struct(
+            depth.alias("depth"), F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"), (s["quoted"] & ~s["escaped"] & (ch == "\\")).alias("escaped"),
+            F.when(closes & (depth == 0), i).otherwise(s["end"]).alias("end"), i.alias("i"),
+        )
+
+    end = F.aggregate(F.split(tail, ""), state, step, lambda s: s["end"])
+    return F.when((found > 0) & (end > 0), F.left(tail, end))
+
+
+def lenient_json(text: Column, skeleton: str) -> Column:
+    """The first object of a text as JSON; with trailing commas taken out if it does not parse so; else the skeleton."""
+    first = first_object(text)
+    mended = F.regexp_replace(F.coalesce(first, F.concat(F.substring(text, F.instr(text, "{"), F.char_length(text)), F.lit("}"))), r",(\s*[}\]])", "$1")
+    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    return F.when(F.instr(text, "{") == 0, F.lit(skeleton)).otherwise(F.coalesce(valid(first), valid(mended), F.lit(skeleton)))

@@ -18,18 +18,39 @@ def first_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def distinct_texts(df: DataFrame, text: str, *order: Column) -> DataFrame:
-    """One row of each non-empty text, by digest."""
+def distinct_texts(df: DataFrame, text: str, *order: Column, keys: list[str] | None = None) -> DataFrame:
+    """One row of each non-empty text (of each key), by digest."""
     known = df.where(F.coalesce(F.trim(text), F.lit("")) != "").withColumn("text_md5", F.md5(text))
-    return first_per_key(known, ["text_md5"], *order)
+    return first_per_key(known, [*(keys or []), "text_md5"], *order)
 
 
-def within_budget(df: DataFrame, keys: list[str], size: Column, cap: Column, budget: int, *order: Column) -> DataFrame:
+def running_before(df: DataFrame, keys: list[str], value: Column, name: str, coarse: list[Column], *order: Column) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of a key that come before in ``order``.
+
+    ``coarse`` are steps of the order (rows of an earlier step come earlier): sums
+    are made within steps and over the totals of steps, so a key with a third of
+    all rows is as many tasks as it has steps.
+    """
+    steps = [f"_s{i}" for i in range(len(coarse))]
+    df = df.withColumns(dict(zip(steps, coarse)) | {"_v": value})
+    totals = df.groupBy(*keys, *steps).agg(F.sum("_v").alias("_t"))
+    ahead = Window.partitionBy(*keys).orderBy(*steps).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("_base", F.coalesce(F.sum("_t").over(ahead), F.lit(0))).drop("_t")
+    here = Window.partitionBy(*keys, *steps).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = df.withColumn("_inside", F.coalesce(F.sum("_v").over(here), F.lit(0)))
+    renamed = totals.withColumnsRenamed({c: f"_r{c}" for c in [*keys, *steps]})
+    same = F.lit(True)
+    for c in [*keys, *steps]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r{c}"))
+    out = inside.join(renamed, same).withColumn(name, F.col("_base") + F.col("_inside"))
+    return out.drop("_v", "_base", "_inside", *steps, *[f"_r{c}" for c in [*keys, *steps]])
+
+
+def within_budget(df: DataFrame, keys: list[str], size: Column, cap: Column, budget: int, coarse: list[Column], *order: Column) -> DataFrame:
     """Add ``take``: characters that each row gets until the budget of its key is used up."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     want = F.least(size, cap)
-    before = F.coalesce(F.sum(want).over(w), F.lit(0))
-    return df.withColumn("take", F.greatest(F.lit(0), F.least(want, F.lit(budget) - before)).cast("long"))
+    out = running_before(df.withColumn("_want", want), keys, F.col("_want"), "_before", coarse, *order)
+    return out.withColumn("take", F.greatest(F.lit(0), F.least(F.col("_want"), F.lit(budget) - F.col("_before"))).cast("long")).drop("_want", "_before")
 
 
 def overlapping(spans: DataFrame, ranges: DataFrame, key: str, bucket: int) -> DataFrame:
@@ -67,12 +88,19 @@ def keyword_all(text: Column, families) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def numbered_names(df: DataFrame, keys: list[str], name: str, *order: Column) -> DataFrame:
-    """Add ``unique_name``: later rows of one name get ``_2``, ``_3`` before the suffix."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
+def numbered_names(df: DataFrame, keys: list[str], name: str, *order: Column, coarse: list[Column] | None = None) -> DataFrame:
+    """Add ``unique_name``: later rows of one name get ``_2``, ``_3`` before the suffix.
+
+    With ``coarse`` steps of the order, a name that very many rows share is dealt over tasks.
+    """
+    if coarse:
+        df = running_before(df, [*keys, name], F.lit(1), "_n", coarse, *order).withColumn("_n", F.col("_n") + 1)
+    else:
+        df = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order)))
+    n = F.col("_n")
     suffix = F.regexp_extract(name, r"\.[^.]*$", 0)
     stem = F.substring(F.col(name), F.lit(1), F.char_length(name) - F.char_length(suffix))
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix)))
+    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), suffix))).drop("_n")
 
 
 def until_terminal(events: DataFrame, key: str, terminal: Column, *order: Column) -> DataFrame:
@@ -111,3 +139,15 @@ def upserted(base: DataFrame, new: DataFrame, key: str, value: str, version: str
     both = base.join(n, F.col(key) == F.col("_k"), "full")
     count = F.when(F.col("_k").isNull(), F.col(version)).otherwise(F.coalesce(version, F.lit(0)) + 1)
     return both.select(F.coalesce(key, "_k").alias(key), F.coalesce("_v", value).alias(value), count.cast("int").alias(version))
+
+
+def keyword_sections(df: DataFrame, text: Column, families, always: int, fallback: int) -> DataFrame:
+    """One row a section that a keyword in ``text`` asks for, once each, and the one that is always there; ``fallback`` first if none was asked for."""
+    asked = F.array_distinct(keyword_all(F.lower(text), families))
+    both = F.when(F.size(asked) == 0, F.array(F.lit(fallback))).otherwise(asked)
+    return df.withColumn("section", F.explode(F.concat(both, F.array(F.lit(always)))))
+
+
+def looked_up(value: Column, names: dict[str, str], default: str | None = None) -> Column:
+    """``names[value]``, else the default."""
+    return F.coalesce(*[F.when(value == k, v) for k, v in names.items()], F.lit(default).cast("string"))

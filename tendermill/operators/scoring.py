@@ -2,9 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tendermill.operators.relational import keyword_all, keyword_rank
+
+# Keywords of the trades, tried in this order.
+TRADES = (
+    (1, ("façade", "facade", "ite", "ravalement", "bardage", "enduit ext", "isolation ext")),
+    (2, ("gros œuvre", "gros oeuvre", "maçonnerie", "maconnerie", "béton", "beton", "fondation", "structure")),
+    (3, ("peinture", "revêtement", "revetement", "sol souple", "papier peint", "enduit int")),
+    (4, ("électricité", "electricite", "electricité", "electrique", "électrique", "courant", "cfo", "cfa")),
+    (5, ("vrd", "voirie", "assainissement", "réseaux divers", "enrobé", "enrobe", "terrassement")),
+    (6, ("plomberie", "cvc", "chauffage", "ventilation", "climatisation", "sanitaire", "ecs")),
+    (7, ("étanchéité", "etancheite", "couverture", "toiture", "terrasse", "charpente")),
+    (8, ("menuiserie", "fenêtre", "fenetre", "porte ext", "baie", "volet", "fermeture")),
+)
+
 
 def count_where(test: Column) -> Column:
     return F.coalesce(F.count_if(test), F.lit(0)).cast("long")
@@ -42,6 +56,40 @@ def sheet_points(present: Column, valid: Column) -> Column:
     return F.when(~present, 0).when(valid, 15).otherwise(8)
 
 
+def memoire_points(present: Column) -> Column:
+    return F.when(present, 15).otherwise(0)
+
+
+def matched_references(references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References of each organisation, and those of each trade, by the keywords in their lot and title."""
+    usable = references.where(F.col("deleted_at").isNull() & F.col("is_reference"))
+    text = F.lower(F.concat_ws(" ", F.coalesce("lot", F.lit("")), F.coalesce("intitule", F.lit(""))))
+    trades = usable.select("organization_id", F.explode(keyword_all(text, TRADES)).alias("trade")).groupBy("organization_id", "trade").agg(F.count("*").alias("matched"))
+    return usable.groupBy("organization_id").agg(F.count("*").alias("refs")), trades
+
+
+def go_no_go(projects: DataFrame, items: DataFrame, references: DataFrame, memoires: DataFrame, asof: Column) -> DataFrame:
+    """Five parts, score and verdict of each project.
+
+    ``projects(id, organization_id, deadline, selected_lot_name, sheet_url, sheet_valid)``.
+    Items, references and memoires are reduced to one row a key before they meet the projects.
+    """
+    done = items.groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(F.col("status").isin("present", "non_applicable")).alias("done"))
+    written = memoires.select("project_id").distinct().withColumn("has_memoire", F.lit(True))
+    refs, trades = matched_references(references)
+    lot = F.nullif("selected_lot_name", F.lit(""))
+    rows = projects.withColumns({"trade": keyword_rank(F.lower(lot), TRADES), "project_id": F.col("id")})
+    rows = rows.join(done, "project_id", "left").join(written, "project_id", "left").join(refs, "organization_id", "left").join(trades, ["organization_id", "trade"], "left")
+    rows = rows.fillna(0, ["n", "done", "refs", "matched"])
+    parts = {
+        "temps": time_points(F.datediff("deadline", asof)), "checklist": checklist_points(F.col("done"), F.col("n")), "references": reference_points(lot, F.col("refs"), F.col("matched")).cast("int"),
+        "memoire": memoire_points(F.coalesce("has_memoire", F.lit(False))), "dpgf": sheet_points(F.col("sheet_url").isNotNull(), F.coalesce("sheet_valid", F.lit(False))),
+    }
+    out = rows.select("id", *[p.alias(n) for n, p in parts.items()])
+    score = sum((F.col(n) for n in parts), F.lit(0))
+    return out.withColumn("score", score.cast("int")).withColumn("verdict", verdict(F.col("score")))
+
+
 def verdict(score: Column) -> Column:
     out = F
     for limit, name in ((80, "GO"), (60, "GO modéré"), (40, "À RISQUE")):

@@ -7,43 +7,17 @@ customers for companies and events for progress.  Dates are literals.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tendermill.functions import classify, text
-from tendermill.operators import pricing, relational, scoring
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tendermill.operators import lots, pricing, relational, scoring
+from tendermill.plans.base import EVENTS_ASOF, ORDERS_ASOF, c, query, t
 
-ORDERS_ASOF, EVENTS_ASOF = "2001-06-30", "2024-01-30 00:00:00"
 #: Keyword families over part names, tried in this order.
 PART_FAMILIES = ((1, ("green", "olive", "lime")), (2, ("steel", "metal")), (3, ("blue", "navy")), (4, ("red", "rose", "tomato")))
 
 
-def query(sql: str | None):
-    """Register a query under its function's name, with the SQL that must agree."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def c(name: str):
-    return F.col(name)
-
-
 def _contains_sql(column: str, words) -> str:
     quoted = (w.replace("'", "''") for w in words)
     return " OR ".join(f"contains({column}, '{w}')" for w in quoted)
@@ -248,33 +222,38 @@ def to_number(spark, sf_dir):
 
 @query(f"""
 SELECT doc_id, coalesce(nullif(regexp_replace(s, '^_+|_+$', '', 'g'), ''), 'document') AS name
-FROM (SELECT doc_id, regexp_replace(regexp_replace({_plain_sql('left(text, 40)')}, '[^A-Za-z0-9.\\-]', '_', 'g'), '_+', '_', 'g') AS s FROM documents)""")
+FROM (SELECT doc_id, regexp_replace(regexp_replace({_plain_sql('text')}, '[^A-Za-z0-9.\\-]', '_', 'g'), '_+', '_', 'g') AS s FROM documents)""")
 def safe_names(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.left("text", F.lit(40))).alias("name"))
+    return t(spark, sf_dir, "documents").select("doc_id", text.safe_name(c("text")).alias("name"))
 
 
 @query("""
 SELECT doc_id, line, word FROM (
   SELECT doc_id, line, unnest(regexp_extract_all(x, '\\bth[a-z]{4,8}\\b')) AS word
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))[:200]) AS x, unnest(range(1, len(string_split(text, chr(10))[:200]) + 1)) AS line FROM documents))""")
+  FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line FROM (
+    SELECT doc_id, CASE WHEN lang = 'en' THEN string_split(text, chr(10)) [:500] ELSE string_split(text, chr(10)) [:200] END AS l FROM documents)))""")
 def inline_mentions(spark, sf_dir):
-    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 200)).alias("i", "x"))
+    """Lines searched are bounded by the kind of document, here its language: the operator's own limits."""
+    most = F.when(c("lang") == "en", lots.RULES_LINES).otherwise(lots.OTHER_LINES)
+    lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), F.lit(1), most)).alias("i", "x"))
     found = F.explode(F.regexp_extract_all("x", F.lit(r"\bth[a-z]{4,8}\b"), F.lit(0)))
     return lines.select("doc_id", (c("i") + 1).cast("long").alias("line"), found.alias("word"))
 
 
 @query("""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
-n AS (SELECT doc_id, trim(x[i + 1]) AS s, i FROM (SELECT doc_id, x, unnest(range(1, least(len(x), 12))) AS i FROM l)),
-b AS (SELECT *, sum(CASE WHEN s <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k,
-  sum(CASE WHEN s = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM n),
-f AS (SELECT *, min(CASE WHEN k > 0 AND s = '' THEN i END) OVER (PARTITION BY doc_id) AS stop,
-  coalesce(sum(length(s) + 1) FILTER (WHERE s <> '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM b)
-SELECT doc_id, coalesce(md5(string_agg(s, ' ' ORDER BY i) FILTER (WHERE s <> '' AND (stop IS NULL OR i < stop) AND before < 220)), md5('')) AS excerpt
-FROM (SELECT l.doc_id, f.s, f.i, f.stop, f.before FROM l LEFT JOIN f USING (doc_id)) GROUP BY doc_id""")
+h AS (SELECT doc_id, x, unnest(list_filter(range(1, len(x) + 1), lambda i: regexp_matches(x[i], '[0-9]'))) AS hit FROM l),
+n AS (SELECT doc_id, hit, trim(x[i]) AS s, i FROM (SELECT doc_id, x, hit, unnest(range(hit + 1, least(len(x), hit + 11) + 1)) AS i FROM h)),
+b AS (SELECT *, sum(CASE WHEN s <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, hit ORDER BY i) AS k FROM n),
+f AS (SELECT *, min(CASE WHEN k > 0 AND s = '' THEN i END) OVER (PARTITION BY doc_id, hit) AS stop,
+  coalesce(sum(length(s)) OVER (PARTITION BY doc_id, hit ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b),
+g AS (SELECT doc_id, hit, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (WHERE s <> '' AND (stop IS NULL OR i < stop) AND before < 220), '') AS e FROM (SELECT h.doc_id, h.hit, f.s, f.i, f.stop, f.before FROM h LEFT JOIN f USING (doc_id, hit)) GROUP BY doc_id, hit)
+SELECT doc_id, hit AS line, md5(CASE WHEN length(e) > 250 THEN rtrim(left(e, 247)) || '…' ELSE e END) AS excerpt FROM g""")
 def lookahead_excerpt(spark, sf_dir):
-    lines = F.split("text", "\n")
-    return t(spark, sf_dir, "documents").select("doc_id", F.md5(text.excerpt(lines, F.lit(1))).alias("excerpt"))
+    """An excerpt after every line with a digit."""
+    rows = t(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    rows = rows.select("doc_id", "l", F.posexplode("l").alias("i", "x")).where(c("x").rlike("[0-9]"))
+    return rows.select("doc_id", (c("i") + 1).cast("long").alias("line"), F.md5(lots.excerpt_after(c("l"), c("i"))).alias("excerpt"))
 
 
 # Joins
@@ -292,12 +271,14 @@ def semi_linked(spark, sf_dir):
     return t(spark, sf_dir, "customer").select("c_custkey").join(linked, "c_custkey", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE lower(trim(c_name)) NOT IN (SELECT lower(trim(c_name)) FROM customer JOIN orders ON o_custkey = c_custkey)")
+@query("""
+SELECT p_partkey FROM part WHERE lower(trim(p_name)) NOT IN (SELECT lower(trim(p_name)) FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 45)""")
 def anti_new(spark, sf_dir):
-    key = F.lower(F.trim("c_name")).alias("key")
-    customers = t(spark, sf_dir, "customer").select("c_custkey", key)
-    known = customers.join(t(spark, sf_dir, "orders").select(c("o_custkey").alias("c_custkey")), "c_custkey", "left_semi").select("key")
-    return customers.join(known, "key", "left_anti").select("c_custkey")
+    """Files whose name no known file has, without regard to case and blanks at the ends."""
+    key = F.lower(F.trim("p_name")).alias("key")
+    parts = t(spark, sf_dir, "part").select("p_partkey", key)
+    known = parts.join(t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(c("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("key")
+    return parts.join(known, "key", "left_anti").select("p_partkey")
 
 
 _FAMILY_SQL = "CASE " + " ".join(f"WHEN {_contains_sql('p_name', w)} THEN {n}" for n, w in PART_FAMILIES) + " END"
@@ -374,7 +355,8 @@ def context_budget(spark, sf_dir):
     pri = F.when(c("lang") == "fr", 0).when(c("lang") == "de", 1).otherwise(2)
     cap = F.when(c("lang") == "fr", 55000).when(c("lang") == "de", 8000).otherwise(5000)
     sized = t(spark, sf_dir, "documents").select("doc_id", "source", pri.alias("pri"), cap.alias("cap"), F.char_length("text").alias("size"))
-    return relational.within_budget(sized, ["source"], c("size"), c("cap"), 90_000, c("pri"), c("doc_id")).select("doc_id", "source", "take")
+    steps = [c("pri"), F.floor(c("doc_id") / 4096)]
+    return relational.within_budget(sized, ["source"], c("size"), c("cap"), 90_000, steps, c("pri"), c("doc_id")).select("doc_id", "source", "take")
 
 
 @query("""
@@ -425,7 +407,7 @@ SELECT doc_id, CASE WHEN n = 1 THEN name ELSE regexp_replace(name, '\\.pdf$', ''
 FROM (SELECT doc_id, source || '.pdf' AS name, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS n FROM documents)""")
 def dup_suffix(spark, sf_dir):
     named = t(spark, sf_dir, "documents").select("doc_id", "lang", F.concat("source", F.lit(".pdf")).alias("name"))
-    return relational.numbered_names(named, ["lang"], "name", c("doc_id")).select("doc_id", "unique_name")
+    return relational.numbered_names(named, ["lang"], "name", c("doc_id"), coarse=[F.floor(c("doc_id") / 4096)]).select("doc_id", "unique_name")
 
 
 # Aggregates
@@ -458,24 +440,29 @@ def transitions(spark, sf_dir):
     return t(spark, sf_dir, "orders").groupBy(c("o_orderstatus").alias("old"), new.alias("new")).agg(F.count("*").alias("n"))
 
 
-def _sheet_cells(spark, sf_dir):
-    """Orders as workbooks of one sheet: a heading, a row a line item and a displayed total."""
+def _sheet_cells(spark, sf_dir, two=False):
+    """Orders as workbooks: a heading, a row a line item and a displayed total; on one sheet, or on one for odd and one for even lines."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = t(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
     amount = F.when(c("l_linenumber") % 5 == 4, "").otherwise(F.regexp_replace(F.format_string("%.2f", c("l_extendedprice")), r"\.", ","))
     cell = lambda row, col, value: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), value.alias("value"))
-    body = lines.select(c("l_orderkey").alias("book"), F.explode(F.array(cell(c("n"), 0, F.concat(F.lit("poste "), c("l_partkey").cast("string"))), cell(c("n"), 1, amount))).alias("x"))
-    ends = t(spark, sf_dir, "orders").select(
-        c("o_orderkey").alias("book"),
-        F.explode(F.array(cell(F.lit(0), 0, F.lit("Désignation")), cell(F.lit(0), 1, F.lit("Montant HT")), cell(F.lit(99), 0, F.lit("Total HT")), cell(F.lit(99), 1, F.format_string("%.2f", c("o_totalprice"))))).alias("x"),
-    )
-    return body.unionByName(ends).select("book", F.lit("s").alias("sheet"), "x.*")
+    side = F.when(c("l_linenumber") % 2 == 0, "s2").otherwise("s1") if two else F.lit("s1")
+    body = lines.select(
+        c("l_orderkey").alias("book"), side.alias("sheet"), F.explode(F.array(cell(c("n"), 0, F.concat(F.lit("poste "), c("l_partkey").cast("string"))), cell(c("n"), 1, amount))).alias("x")
+    )
+    head = [cell(F.lit(0), 0, F.lit("Désignation")), cell(F.lit(0), 1, F.lit("Montant HT"))]
+    shown = [cell(F.lit(99), 0, F.lit("Total HT")), cell(F.lit(99), 1, F.format_string("%.2f", c("o_totalprice")))]
+    orders = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("book"), "o_totalprice")
+    ends = orders.select("book", F.lit("s1").alias("sheet"), F.explode(F.array(*head, *shown)).alias("x"))
+    if two:
+        ends = ends.unionByName(orders.select("book", F.lit("s2").alias("sheet"), F.explode(F.array(*head)).alias("x")))
+    return body.unionByName(ends).select("book", "sheet", "x.*")
 
 
 _SHEET_SQL = """
 SELECT o_orderkey AS book, count(l_orderkey) AS lines, count(a) AS filled, count(l_orderkey) - count(a) AS empty,
-  round_even(coalesce(sum(a), 0), 2) AS total,
-  count(l_orderkey) = count(a) AND NOT abs(round_even(coalesce(sum(a), 0), 2) - any_value(round(o_totalprice, 2))) > 1 AND count(l_orderkey) > 0 AS valid
+  round_even(sum(a), 2) AS total,
+  count(l_orderkey) = count(a) AND NOT coalesce(abs(round_even(sum(a), 2) - any_value(round(o_totalprice, 2))) > 1, false) AS valid
 FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN l_linenumber % 5 <> 4 THEN round(l_extendedprice, 2) END AS a FROM lineitem) ON l_orderkey = o_orderkey
 GROUP BY o_orderkey"""
 
@@ -485,10 +472,16 @@ def price_sheet_check(spark, sf_dir):
     return pricing.check_sheets(_sheet_cells(spark, sf_dir)).select("book", "lines", "filled", "empty", "total", "valid")
 
 
-@query(f"SELECT valid, count(*) AS books, sum(lines)::BIGINT AS lines FROM ({_SHEET_SQL}) GROUP BY valid")
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber % 2 AS sheet, CASE WHEN l_linenumber % 5 <> 4 THEN round(l_extendedprice, 2) END AS a FROM lineitem),
+b AS (SELECT o_orderkey, count(l_orderkey) AS lines, count(a) AS filled, sum(a) FILTER (WHERE sheet = 1) AS s1, sum(a) FILTER (WHERE sheet = 0) AS s2, any_value(round(o_totalprice, 2)) AS shown FROM orders LEFT JOIN a ON l_orderkey = o_orderkey GROUP BY o_orderkey)
+SELECT o_orderkey AS book, 2::BIGINT AS sheets, lines, filled, lines - filled AS empty, CASE WHEN s1 IS NOT NULL OR s2 IS NOT NULL THEN round_even(coalesce(round_even(s1, 2), 0) + coalesce(round_even(s2, 2), 0), 2) END AS total,
+  lines = filled AND NOT coalesce(abs(round_even(s1, 2) - shown) > 1, false) AND lines > 0 AS valid, lines - filled + coalesce(abs(round_even(s1, 2) - shown) > 1, false)::INTEGER AS warnings
+FROM b""")
 def price_sheet_rollup(spark, sf_dir):
-    books = pricing.merge_books(pricing.check_sheets(_sheet_cells(spark, sf_dir)))
-    return books.groupBy("valid").agg(F.count("*").alias("books"), F.sum("lines").alias("lines"))
+    """Workbooks of two sheets: odd lines with the displayed total, even lines without."""
+    books = pricing.merge_books(pricing.check_sheets(_sheet_cells(spark, sf_dir, two=True)))
+    return books.select("book", "sheets", "lines", "filled", "empty", "total", "valid", F.size("warnings").cast("long").alias("warnings"))
 
 
 @query("""
@@ -512,26 +505,53 @@ def multi_source_merge(spark, sf_dir):
     return merged.select("k", confidence.cast("int").alias("confidence"), sources.alias("sources"), longest.alias("nom"))
 
 
-@query("""
-SELECT o_orderkey, temps + liste + refs + fiche AS score,
-  CASE WHEN temps + liste + refs + fiche >= 80 THEN 'GO' WHEN temps + liste + refs + fiche >= 60 THEN 'GO modéré' WHEN temps + liste + refs + fiche >= 40 THEN 'À RISQUE' ELSE 'NO-GO' END AS verdict
-FROM (SELECT o_orderkey,
-  CASE WHEN d <= -1 THEN 0 WHEN d <= 3 THEN 5 WHEN d <= 7 THEN 12 WHEN d <= 14 THEN 20 ELSE 25 END AS temps,
-  CASE WHEN n = 0 THEN 5 ELSE round_even(25 * done / n, 0)::INTEGER END AS liste,
-  CASE WHEN refs = 0 THEN 0 ELSE least(20, 5 * refs)::INTEGER END AS refs, CASE WHEN o_orderstatus = 'F' THEN 15 ELSE 8 END AS fiche
-  FROM (SELECT o_orderkey, o_orderstatus, date_diff('day', DATE '1998-06-30', o_orderdate::DATE) AS d, coalesce(n, 0) AS n, coalesce(done, 0) AS done, coalesce(refs, 0) AS refs
-    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, count_if(l_returnflag <> 'N') AS done, count_if(l_quantity > 25) AS refs FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey))""")
+#: Lots of projects and of references, dealt by key.
+_PROJECT_LOTS = ["Lot 5 — Façade ITE", "Gros œuvre", None, "Lot 13 Plomberie", "", "Divers"]
+_REF_LOTS = ["façade et bardage", "Plomberie sanitaire", None, "béton", "Site pilote"]
+
+
+def _pick(values, key):
+    return F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values, key):
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + f"][({key} % {len(values)})::INTEGER + 1]"
+
+
+def _go_no_go_sql() -> str:
+    has = lambda column, words: "(" + _contains_sql(column, words) + ")"
+    trade = "CASE " + " ".join(f"WHEN {has('lower(lot_name)', w)} THEN {n}" for n, w in scoring.TRADES) + " END"
+    refs = " UNION ALL ".join(f"SELECT org, {n} AS trade FROM r WHERE {has('txt', w)}" for n, w in scoring.TRADES)
+    return f"""
+WITH r AS (SELECT s_nationkey AS org, lower(coalesce({_pick_sql(_REF_LOTS, 's_suppkey')}, '') || ' ' || s_name) AS txt FROM supplier WHERE s_acctbal > 0 AND s_suppkey % 7 <> 0),
+m AS (SELECT org, trade, count(*) AS matched FROM ({refs}) GROUP BY ALL), a AS (SELECT org, count(*) AS refs FROM r GROUP BY org),
+p AS (SELECT o_orderkey, o_custkey % 25 AS org, o_orderstatus, CASE WHEN o_orderkey % 10 <> 0 THEN date_diff('day', DATE '1998-06-30', o_orderdate::DATE) END AS d, {_pick_sql(_PROJECT_LOTS, 'o_orderkey')} AS lot_name FROM orders),
+q AS (SELECT *, {trade} AS trade FROM p),
+s AS (SELECT o_orderkey, CASE WHEN d IS NULL THEN 15 WHEN d <= -1 THEN 0 WHEN d <= 3 THEN 5 WHEN d <= 7 THEN 12 WHEN d <= 14 THEN 20 ELSE 25 END AS temps,
+    CASE WHEN coalesce(n, 0) = 0 THEN 5 ELSE round_even(25 * done / n, 0)::INTEGER END AS checklist,
+    CASE WHEN coalesce(refs, 0) = 0 THEN 0 WHEN coalesce(lot_name, '') <> '' THEN least(20, 5 * coalesce(matched, 0))::INTEGER ELSE 10 END AS "references",
+    CASE WHEN memoire THEN 15 ELSE 0 END AS memoire, CASE WHEN o_orderkey % 3 = 0 THEN 0 WHEN o_orderstatus = 'F' THEN 15 ELSE 8 END AS dpgf
+  FROM q LEFT JOIN (SELECT l_orderkey, count(*) AS n, count_if(l_returnflag <> 'N') AS done, bool_or(l_linenumber = 5) AS memoire FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+  LEFT JOIN a USING (org) LEFT JOIN m USING (org, trade))
+SELECT o_orderkey AS id, temps, checklist, "references", memoire, dpgf, (temps + checklist + "references" + memoire + dpgf)::INTEGER AS score,
+  CASE WHEN temps + checklist + "references" + memoire + dpgf >= 80 THEN 'GO' WHEN temps + checklist + "references" + memoire + dpgf >= 60 THEN 'GO modéré' WHEN temps + checklist + "references" + memoire + dpgf >= 40 THEN 'À RISQUE' ELSE 'NO-GO' END AS verdict FROM s"""
+
+
+@query(_go_no_go_sql())
 def go_no_go(spark, sf_dir):
-    items = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count("*").alias("n"), F.count_if(c("l_returnflag") != "N").alias("done"), F.count_if(c("l_quantity") > 25).alias("refs")
-    )
-    both = t(spark, sf_dir, "orders").join(items, c("o_orderkey") == c("l_orderkey"), "left").fillna(0, ["n", "done", "refs"])
-    days = F.datediff(c("o_orderdate").cast("date"), F.lit("1998-06-30").cast("date"))
-    score = (
-        scoring.time_points(days) + scoring.checklist_points(c("done"), c("n")) + scoring.reference_points(F.lit("lot"), c("refs"), c("refs")).cast("int")
-        + scoring.sheet_points(F.lit(True), c("o_orderstatus") == "F")
+    o = c("o_orderkey")
+    projects = t(spark, sf_dir, "orders").select(
+        o.alias("id"), (c("o_custkey") % 25).alias("organization_id"), F.when(o % 10 != 0, c("o_orderdate").cast("date")).alias("deadline"), _pick(_PROJECT_LOTS, o).alias("selected_lot_name"),
+        F.when(o % 3 != 0, "file").alias("sheet_url"), (c("o_orderstatus") == "F").alias("sheet_valid"),
+    )
+    lines = t(spark, sf_dir, "lineitem")
+    items = lines.select(c("l_orderkey").alias("project_id"), F.when(c("l_returnflag") != "N", "present").otherwise("manquant").alias("status"))
+    references = t(spark, sf_dir, "supplier").select(
+        c("s_nationkey").cast("long").alias("organization_id"), _pick(_REF_LOTS, c("s_suppkey")).alias("lot"), c("s_name").alias("intitule"),
+        F.when(c("s_suppkey") % 7 == 0, F.lit("2020-01-01").cast("timestamp_ntz")).alias("deleted_at"), (c("s_acctbal") > 0).alias("is_reference"),
     )
-    return both.select("o_orderkey", score.cast("int").alias("score"), scoring.verdict(score).alias("verdict"))
+    memoires = lines.where("l_linenumber = 5").select(c("l_orderkey").alias("project_id"))
+    return scoring.go_no_go(projects, items, references, memoires, F.lit("1998-06-30").cast("date"))
 
 
 @query("""
@@ -597,8 +617,9 @@ def json_lenient(spark, sf_dir):
 
 
 @query("""
-SELECT source, md5(string_agg(upper(lang) || ':' || doc_id, chr(10) || chr(10) ORDER BY doc_id)) AS block FROM documents GROUP BY source""")
+SELECT doc_id // 20 AS project, md5(string_agg(upper(lang) || ':' || doc_id, chr(10) || chr(10) ORDER BY doc_id)) AS block FROM documents GROUP BY ALL""")
 def string_blocks(spark, sf_dir):
+    """Blocks of a project's documents, which are few, in one text."""
     part = F.struct("doc_id", F.concat(F.upper("lang"), F.lit(":"), c("doc_id").cast("string")).alias("s"))
-    rows = t(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_list(part)).alias("x"))
-    return rows.select("source", F.md5(F.array_join(c("x.s"), "\n\n")).alias("block"))
+    rows = t(spark, sf_dir, "documents").groupBy(F.floor(c("doc_id") / 20).alias("project")).agg(F.array_sort(F.collect_list(part)).alias("x"))
+    return rows.select("project", F.md5(F.array_join(c("x.s"), "\n\n")).alias("block"))

@@ -25,23 +25,26 @@ DEPTH = 2
 ODS = "{urn:oasis:names:tc:opendocument:xmlns:%s:1.0}%s"
 
 
+def controls(text: str) -> int:
+    return sum((ord(c) < 32 and c not in "\t\n\r") or 127 <= ord(c) < 160 for c in text)
+
+
 def decoded_name(name: str, utf8: bool) -> str:
-    """File name of an archive member without folders; legacy names in the encoding that leaves fewest control characters."""
+    """File name of an archive member without folders.
+
+    Without the UTF-8 flag the bytes are read again in four encodings; the one
+    with the fewest control characters wins, of equals the longest, then the first.
+    """
     if not utf8:
-        try:
-            raw = name.encode("cp437")
-        except UnicodeEncodeError:
-            raw = None
-        if raw is not None:
-            tried = []
-            for encoding in ("cp850", "cp1252", "latin-1", "utf-8"):
-                try:
-                    tried.append(raw.decode(encoding))
-                except UnicodeDecodeError:
-                    continue
-            name = min([name, *tried], key=lambda x: (sum(ord(c) < 32 or 127 <= ord(c) < 160 for c in x), -len(x)))
+        raw, tried = name.encode("cp437", "replace"), []
+        for encoding in ("cp850", "cp1252", "latin-1", "utf-8"):
+            try:
+                tried.append(raw.decode(encoding))
+            except UnicodeDecodeError:
+                continue
+        name = min(tried, key=lambda x: (controls(x), -len(x)))
     base = re.split(r"[/\\]", name)[-1]
-    base = re.sub(r'[<>:"|?*\x00-\x1f\x7f-\x9f]', "_", base)
+    base = re.sub(r'[<>:"|?*\x00-\x1f]', "_", base)
     return re.sub("_+", "_", base).strip("_. ") or "fichier_sans_nom"
 
 
@@ -162,8 +165,12 @@ def read_archives(spark: SparkSession, path: str, most_bytes: int = 2 << 30) ->
                     yield pd.DataFrame([(archive, 0, "", 0, "", "archive is damaged")], columns=names)
 
     names = ["archive", "depth", "name", "size", "text", "warning"]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).where(F.col("length") <= most_bytes)
-    return files.select("path", "content").mapInPandas(unpack, "archive string, depth int, name string, size long, text string, warning string")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    small = files.where(F.col("length") <= most_bytes).select("path", "content")
+    read = small.mapInPandas(unpack, "archive string, depth int, name string, size long, text string, warning string")
+    large = files.where(F.col("length") > most_bytes)
+    told = F.lit("archive is over the size limit")
+    return read.unionByName(large.select(F.col("path").alias("archive"), F.lit(0).alias("depth"), F.lit("").alias("name"), F.col("length").alias("size"), F.lit("").alias("text"), told.alias("warning")))
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:

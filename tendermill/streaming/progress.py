@@ -17,74 +17,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-# Steps of each pipeline with first and last per cent and the seconds that they take.
+# Steps of each pipeline with their labels, first and last per cent and the seconds that they take.
 PIPELINES = {
-    "analysis": (("extraction", 0, 10, 2), ("pass1", 10, 50, 50), ("pass2", 50, 90, 50), ("matching", 90, 100, 5)),
-    "memoire": (("context", 0, 10, 3), ("generating", 10, 85, 120), ("saving", 85, 100, 5)),
-    "lots": (("detection", 0, 100, 30),),
-    "upload": (("receiving", 0, 30, 30), ("unpacking", 30, 40, 5), ("extracting", 40, 100, 60)),
-}
+    "analysis": (
+        ("preparation", "Lecture des documents", 0, 5, 2), ("analyzing_pass1", "Analyse des exigences administratives", 5, 50, 50),
+        ("analyzing_pass2", "Analyse des exigences techniques", 50, 95, 50), ("finalizing", "Finalisation", 95, 100, 5),
+    ),
+    "memoire": (("preparing", "Préparation des données", 0, 10, 3), ("generating", "Rédaction du mémoire", 10, 85, 120), ("finalizing", "Finalisation du mémoire", 85, 100, 5)),
+    "lot_detection": (("detecting_lots", "Détection des lots", 0, 100, 30),),
+    "upload": (("uploading", "Transfert du dossier", 0, 30, 30), ("extracting_zip", "Extraction du ZIP", 30, 40, 5), ("extracting_text", "Indexation des documents", 40, 100, 60)),
+}
 SIGNAL_LIMIT, TIME_LIMIT = 0.99, 0.95
-SNAPSHOT = "project string, seq long, status string, step string, progress int"
+SNAPSHOT = "project string, seq long, status string, step string, progress int, remaining int"
 
 
 def begin(pipeline: str) -> dict:
-    return {"pipeline": pipeline, "status": "running", "done": [], "step": None, "since": 0.0, "ratio": None}
+    """Unknown pipelines are analyses."""
+    name = pipeline if pipeline in PIPELINES else "analysis"
+    return {"pipeline": name, "status": "running", "error": "", "steps": {s[0]: {"status": "pending", "since": None, "ratio": None} for s in PIPELINES[name]}}
+
+
+def _changed(state: dict, step: str, **new) -> dict:
+    return state | {"steps": state["steps"] | {step: state["steps"][step] | new}}
 
 
 def advance(state: dict | None, signal: dict) -> dict | None:
     """The state after a signal; signals that do not fit change nothing."""
-    kind = signal["kind"]
+    kind, step = signal["kind"], signal["step"]
     if kind == "start":
-        return begin(signal["step"]) if signal["step"] in PIPELINES else state
-    if state is None or state["status"] != "running":
-        return state
-    known = [s[0] for s in PIPELINES[state["pipeline"]]]
-    if kind == "step" and signal["step"] in known:
-        return state | {"step": signal["step"], "since": signal["at"], "ratio": None}
-    if kind == "ratio" and state["step"]:
-        return state | {"ratio": min(SIGNAL_LIMIT, max(0.0, signal["ratio"]))}
-    if kind == "done" and signal["step"] in known:
-        step = None if state["step"] == signal["step"] else state["step"]
-        return state | {"done": [s for s in known if s in {*state["done"], signal["step"]}], "step": step, "ratio": None}
+        return begin(step)
+    if state is None:
+        return None
+    if kind == "step" and step in state["steps"]:
+        return _changed(state, step, status="in_progress", since=signal["at"], ratio=None)
+    if kind == "done" and step in state["steps"]:
+        return _changed(state, step, status="completed", ratio=None)
+    if kind == "ratio" and signal["ratio"] is not None:
+        running = next((s for s, x in state["steps"].items() if x["status"] == "in_progress"), None)
+        return _changed(state, running, ratio=max(0.0, min(SIGNAL_LIMIT, signal["ratio"]))) if running else state
     if kind == "complete":
-        return state | {"status": "complete", "done": known, "step": None}
+        return state | {"status": "completed", "steps": {s: x | {"status": "completed"} for s, x in state["steps"].items()}}
     if kind == "error":
-        return state | {"status": "error"}
+        return state | {"status": "error", "error": step or ""}
     return state
 
 
-def progress(state: dict, now: float) -> tuple[str | None, int]:
-    """Current step and per cent: by signal, else by the time that the step takes."""
-    steps = PIPELINES[state["pipeline"]]
-    if state["status"] == "complete":
-        return steps[-1][0], 100
-    by_name = {s[0]: s for s in steps}
-    if state["step"]:
-        name, low, high, seconds = by_name[state["step"]]
-        ratio = state["ratio"] if state["ratio"] is not None else min(TIME_LIMIT, max(0.0, now - state["since"]) / seconds)
-        return name, low + int((high - low) * ratio)
-    if state["done"]:
-        return state["done"][-1], by_name[state["done"][-1]][2]
-    return steps[0][0], 0
+def progress(state: dict, now: float) -> tuple[str, str, int, int]:
+    """Status (the running step's name, if any), label, per cent and seconds that remain."""
+    label, percent, remaining, found, active = "", 0, 0.0, False, None
+    for name, text, low, high, seconds in PIPELINES[state["pipeline"]]:
+        step = state["steps"][name]
+        elapsed = now - step["since"] if step["since"] is not None else 0.0
+        if step["status"] == "in_progress":
+            active = active or name
+            remaining += max(seconds - elapsed, 0)
+        elif step["status"] == "pending":
+            remaining += seconds
+        if found:
+            continue
+        if step["status"] == "completed":
+            percent = high
+        else:
+            found, label, percent = True, text, low
+            if step["status"] == "in_progress":
+                ratio = step["ratio"] if step["ratio"] is not None else min(elapsed / max(seconds, 1), TIME_LIMIT)
+                percent = low + int((high - low) * ratio)
+    if state["status"] == "completed":
+        label, percent = "Terminé", 100
+    elif state["status"] == "error":
+        label = state["error"] or "Erreur"
+    return active or state["status"], label, min(percent, 100), round(remaining)
 
 
 def _fold(project: str, state: dict | None, signals: pd.DataFrame) -> tuple[dict | None, list]:
     out = []
     for s in signals.sort_values("seq").to_dict("records"):
-        state = advance(state, s)
+        known = {k: None if pd.isna(v) else v for k, v in s.items()}
+        state = advance(state, known)
         if state is not None:
-            out.append((project, s["seq"], state["status"], *progress(state, s["at"])))
+            out.append((project, s["seq"], *progress(state, s["at"])))
     return state, out
 
 
-_COLUMNS = ["project", "seq", "status", "step", "progress"]
+_COLUMNS = ["project", "seq", "status", "step", "progress", "remaining"]
 
 
 def track_batch(signals: DataFrame) -> DataFrame:
     """A snapshot after each signal; a group is one project's signals, which its pipeline bounds."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_fold(key[0], None, frame)[1], columns=_COLUMNS)
 
     return signals.groupBy("project").applyInPandas(run, SNAPSHOT)
@@ -93,7 +114,7 @@ def track_batch(signals: DataFrame) -> DataFrame:
 def track_stream(signals: DataFrame) -> DataFrame:
     """The same snapshots from a stream; state survives restarts through the checkpoint."""
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = json.loads(state.get[0]) if state.exists else None
         now, out = _fold(key[0], now, pd.concat(list(frames)))
         if now is not None:
@@ -109,10 +130,11 @@ def latest(signals: DataFrame) -> DataFrame:
 
 
 def bounded_extra(extra: Column) -> Column:
-    """Audit details over 10 KB keep only their first twenty keys."""
+    """Audit details over 10 KB keep only their first twenty keys; what is no JSON says so."""
     keys = F.slice(F.coalesce(F.json_object_keys(extra), F.array().cast("array<string>")), 1, 20)
     short = F.to_json(F.struct(F.lit(True).alias("_truncated"), keys.alias("_keys")))
-    return F.when(F.octet_length(extra) > 10_240, short).otherwise(extra)
+    wrong = extra.isNotNull() & F.try_parse_json(extra).isNull()
+    return F.when(wrong, F.lit('{"_serialization_error":true}')).when(F.octet_length(extra) > 10_240, short).otherwise(extra)
 
 
 def write_audit(actions: DataFrame, path: str, checkpoint: str):

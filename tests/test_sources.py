@@ -39,12 +39,21 @@ def test_archives(spark, tmp_path):
     assert rows == {(0, "RC.txt"): ("règles", False), (0, "d.docx"): ("un\ndeux", False), (0, "e.rar"): ("", True), (1, "deep.txt"): ("au fond", False), (2, "x.txt"): ("x", False), (0, ""): ("", True)}
 
 
+def test_archives_over_the_limit_are_told(spark, tmp_path):
+    (tmp_path / "one.zip").write_bytes(zipped({"a.txt": "x" * 50}))
+    rows = archives.read_archives(spark, str(tmp_path), most_bytes=20).collect()
+    assert [(r.name, r.size > 20, r.warning) for r in rows] == [("", True, "archive is over the size limit")]
+
+
 def test_member_names():
     assert archives.decoded_name("CARNET DE DÉTAIL.pdf", True) == "CARNET DE DÉTAIL.pdf"
     assert archives.decoded_name("../../../etc/passwd", True) == "passwd"
     assert not set(archives.decoded_name("weird<file>:name|.pdf", True)) & set('<>:"|?*')
     assert archives.decoded_name("", True) == "fichier_sans_nom"
     assert not any(127 <= ord(c) < 160 for c in archives.decoded_name("D\u0090TAIL.pdf", False))
+    # As written by French systems: bytes of code page 850, read as 437.
+    for name in ("CARNET DE DÉTAIL.pdf", "RÈGLEMENT À LIRE.pdf"):
+        assert archives.decoded_name(name.encode("cp850").decode("cp437"), False) == name
 
 
 def test_workbooks(spark, tmp_path):
