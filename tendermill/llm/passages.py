@@ -56,6 +56,8 @@ TASK_BYTES = 4 << 20
 MOST_WINDOWS = 20_000
 #: Bytes of text read at a time.
 CHUNK = 1 << 20
+#: Rows of a stretch that count as very many, at least, and such stretches at most: their owners are broadcast.
+MEMBERS, FREQUENT = 500, 1_000_000
 NOBODY = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -231,6 +233,7 @@ class Automaton:
         self.letters: dict[bytes, str] = {}
         self.spelt: dict[bytes, str] = {}
         self.texts: list[str] = []
+        passages = sorted(passages, key=lambda p: (p[0], -len(p[1])))
         self.owners = [owner for owner, _ in passages]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         hashes = WordHashes()
@@ -255,21 +258,26 @@ class Automaton:
         return self.letters[word]
 
     def occurrences(self, words: list[bytes], doc_id: int) -> list[tuple[int, int]]:
-        """Intervals of ``words`` that a passage with a smaller owner covers."""
-        letters, spelt = self.letters, self.spelt
+        """Intervals of ``words`` that passages with smaller owners cover."""
+        letters, spelt, n = self.letters, self.spelt, len(words)
         text = "".join([letters.get(w, "\0") for w in words])
         done: dict[tuple[int, int], int] = {}
-        out = []
+        covered = bytearray(n)
         for end, places in self.machine.iter("".join([spelt.get(w, "\0\0\0") for w in words])):
             at = (end + 1) // 3 - self.size
             for passage, place in places:
-                if self.owners[passage] >= doc_id or done.get((passage, at - place), -1) > at:
+                if self.owners[passage] >= doc_id:
+                    break  # places are in the order of owners
+                first, last = max(0, at - place), min(n, at - place + len(self.texts[passage]))
+                # Nothing to gain where all that the passage can reach is covered, or from an alignment that is known.
+                if last - first < self.window or covered.find(0, first, last) < 0 or done.get((passage, at - place), -1) > at:
                     continue
                 s, e = self._extend(text, at, self.texts[passage], place)
                 done[passage, at - place] = e
                 if e - s >= self.window:
-                    out.append((s, e))
-        return out
+                    covered[s:e] = b"\1" * (e - s)
+        bounds = np.flatnonzero(np.diff(np.frombuffer(covered, np.int8), prepend=0, append=0))
+        return list(zip(bounds[::2].tolist(), bounds[1::2].tolist()))
 
     def _extend(self, text: str, at: int, passage: str, place: int) -> tuple[int, int]:
         """The longest common run around a common phrase."""
@@ -365,7 +373,7 @@ def _dealt(df: DataFrame, n_shards: int, target: int, part: str, *deal: str) ->
 def occurrences(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, key, s, e``: word intervals to remove from ``rows(doc_id, key, raw)``."""
     sent = stretches(rows, window)
-    distinct = sent.groupBy("home", "sid").agg(F.min("doc_id").alias("owner"), F.any_value("text").alias("text"))
+    distinct = sent.groupBy("home", "sid").agg(F.min("doc_id").alias("owner"), F.any_value("text").alias("text"), F.count("*").alias("members"))
     distinct = materialise(distinct, "distinct-stretches")
     owned = passages(distinct, window)
 
@@ -384,12 +392,22 @@ def occurrences(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     cuts = found.groupBy("home", "sid").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
     # A stretch that a smaller id has as well goes whole; the owner's own copy loses what was found.
-    told = distinct.select("home", "sid", "owner").join(cuts, ["home", "sid"], "left")
-    each_row = sent.select("doc_id", "key", "home", "sid", "start", "n").join(told, ["home", "sid"])
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.col("n").alias("e")))
-    cut = F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(F.col("cuts"))
-    out = each_row.select("doc_id", "key", "start", F.explode(cut).alias("cut"))
-    return out.select("doc_id", "key", (F.col("start") + F.col("cut.s")).alias("s"), (F.col("start") + F.col("cut.e")).alias("e"))
+    each_row = _with_owner(sent.select("doc_id", "key", "home", "sid", "start", "n"), distinct.select("home", "sid", "owner", "members"))
+    copies = each_row.where("doc_id > owner").select("doc_id", "key", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
+    first = each_row.where("doc_id = owner").join(cuts, ["home", "sid"]).select("doc_id", "key", "start", F.explode("cuts").alias("cut"))
+    first = first.select("doc_id", "key", (F.col("start") + F.col("cut.s")).alias("s"), (F.col("start") + F.col("cut.e")).alias("e"))
+    return copies.unionByName(first)
+
+
+def _with_owner(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """``rows`` with the owner of their stretch; stretches of very many rows meet theirs by broadcast.
+
+    With all rows counted there are no more such stretches than ``FREQUENT``.
+    """
+    total = owners.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    often = F.broadcast(owners.where(F.col("members") > max(MEMBERS, total // FREQUENT)).select("home", "sid", "owner"))
+    others = rows.join(often.select("home", "sid"), ["home", "sid"], "left_anti").join(owners.drop("members"), ["home", "sid"])
+    return rows.join(often, ["home", "sid"]).unionByName(others)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
