@@ -301,8 +301,8 @@ def index(vectors: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     n = max(1, -(-points.count() // shard))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(n)).cast("int"))
     root = as_uri(new_path(vectors.sparkSession, "ann-shards"))
-    # As many partitions as shards: the exchange is not coalesced, graphs are built side by side.
-    return materialise(dealt.repartition(n, "shard").groupBy("shard").applyInArrow(_build(root), INDEX_SQL), "ann-index")
+    # As many ranges as shards, which are of one size: graphs are built side by side, one a task.
+    return materialise(dealt.repartitionByRange(n, "shard").groupBy("shard").applyInArrow(_build(root), INDEX_SQL), "ann-index")
 
 
 def search(queries: DataFrame, indexed: DataFrame, k: int = K, block: int = BLOCK, ef: int = EF_SEARCH) -> DataFrame:
@@ -318,7 +318,7 @@ def search(queries: DataFrame, indexed: DataFrame, k: int = K, block: int = BLOC
     pairs = indexed.select("shard", "file", all_blocks.alias("block")).join(blocks, "block")
     batch = F.floor(F.col("block") / BLOCKS)
     tasks = max(1, indexed.count()) * -(-n_blocks // BLOCKS)
-    pairs = pairs.repartition(tasks, "shard", batch).sortWithinPartitions("shard", "block").select("file", "queries")
+    pairs = pairs.repartitionByRange(tasks, "shard", batch).sortWithinPartitions("shard", "block").select("file", "queries")
     found = pairs.mapInArrow(_search(k, ef), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
