@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from tendermill.functions.text import normalise
 
 
-def token(word: str) -> str:
-    return f"(?<![a-z0-9]){word}(?![a-z0-9])"
-
-
 # Document types, in the order in which their patterns are tried on
 # the normalised file name.
 DOC_TYPES = (
@@ -24,39 +20,46 @@ DOC_TYPES = (
 )
 PLAN_MARK = r"(?<![a-z0-9])arch\s*\d|coupe|niveau|zoom|etage|r\+\d|(?<![a-z0-9])el\d|(?<![a-z0-9])plan\b|\.dwg$|\.dwf$|\.dxf$"
 ANNEX_MARK = r"annexe|nommage|liste|modele"
-RULES_MARK = r"reglement|regl[\._\s]?consul|" + token("rc") + "|" + token("rce")
+RULES_MARK = (
+    r"reglement|r[eè]gl[\._\s]?consul|(?<![a-z0-9])rc(?![a-z0-9])|(?<![a-z0-9])rce(?![a-z0-9])|"
+    r"reglement.{0,4}consultation|r[eè]glement.{0,4}la.{0,4}consultation"
+)
+GROUND_FLOOR = r"(?<![a-z0-9])rdc(?![a-z0-9])"
+# A rule holds under its guard only: of spreadsheets of one kind, or of names that speak of no annex.
 BEFORE_RULES = (
-    (r"(?<![a-z0-9])dc[\s_\-]?1(?![a-z0-9])|lettre.{0,8}candidature", "dc1_template"),
-    (r"(?<![a-z0-9])dc[\s_\-]?2(?![a-z0-9])|declaration.{0,8}candidat", "dc2_template"),
+    (r"(?<![a-z0-9])dc[\s_\-]?1(?![a-z0-9])|lettre.{0,8}candidature", "dc1_template", None),
+    (r"(?<![a-z0-9])dc[\s_\-]?2(?![a-z0-9])|declaration.{0,8}candidat", "dc2_template", None),
     (
         r"acte.{0,6}engagement|^ae(?![a-z0-9])|(?<![a-z0-9])ae(?=\.[a-z]{2,5}$)|"
         r"(?<![a-z0-9])ae[\s_.\-](?:signe|rempli|vierge|template|complete|final)|(?<![a-z0-9])attri\d+",
-        "acte_engagement_template",
+        "acte_engagement_template", None,
     ),
-    (r"(dpgf|prix|bordereau|decomposition).*\.ods$", "dpgf_template"),
-    (token("dpgf") + r"|decomposition.{0,12}prix|prix.{0,6}global|prix.{0,6}forfaitaire", "dpgf_template"),
-    (token("bpu") + r"|bordereau.{0,6}prix|prix.{0,6}unitaire", "bpu_template"),
-    (token("dqe") + r"|detail.{0,6}quantitatif|quantitatif.{0,6}estimatif", "dqe_template"),
-    (r"cadre.{0,8}reponse|cadre.{0,8}memoire", "cadre_reponse"),
-    (r"attestation.{0,8}visite|visite.{0,8}obligatoire|visite.{0,8}site", "attestation_visite_template"),
-    (r"(?<![a-z0-9])pgc[\s_.\-]?sps(?![a-z0-9])|plan.{0,8}general.{0,8}coordination|coordination.{0,8}sps", "pgc_sps"),
+    (r"dpgf|prix|bordereau|decomposition", "dpgf_template", "ods"),
+    (r"(?<![a-z0-9])dpgf(?![a-z0-9])|d[eé]composition.{0,12}prix|prix.{0,6}global|prix.{0,6}forfaitaire", "dpgf_template", None),
+    (r"(?<![a-z0-9])bpu(?![a-z0-9])|bordereau.{0,6}prix|prix.{0,6}unitaire", "bpu_template", None),
+    (r"(?<![a-z0-9])dqe(?![a-z0-9])|d[eé]tail.{0,6}quantitatif|quantitatif.{0,6}estimatif", "dqe_template", None),
+    (r"cadre.{0,8}r[eé]ponse|cadre.{0,8}memoire", "cadre_reponse", None),
+    (r"attestation.{0,8}visite|visite.{0,8}obligatoire|visite.{0,8}site", "attestation_visite_template", None),
+    (r"(?<![a-z0-9])pgc[\s_.\-]?sps(?![a-z0-9])|plan.{0,8}general.{0,8}coordination|coordination.{0,8}sps", "pgc_sps", None),
     (
-        r"diagnos|" + "|".join(map(token, ("diag", "dat", "crep", "raat", "amiante", "plomb")))
-        + r"|apave|socotec|qualiconsult|veritas|bureau.{0,4}controle|controle.{0,4}technique|"
-        r"(?<![a-z0-9])g2[\s_.\-]?(?:pro|avp|aps|g[12])?(?![a-z0-9])|etude.{0,4}structure|etude.{0,4}geotechnique",
-        "diagnostic",
+        r"diagnos|(?<![a-z0-9])diag(?![a-z0-9])|(?<![a-z0-9])dat(?![a-z0-9])|(?<![a-z0-9])crep(?![a-z0-9])|(?<![a-z0-9])raat(?![a-z0-9])|"
+        r"apave|socotec|qualiconsult|veritas|bureau.{0,4}controle|controle.{0,4}technique|"
+        r"(?<![a-z0-9])g2[\s_.\-]?(?:pro|avp|aps|g[12])?(?![a-z0-9])|etude.{0,4}structure|etude.{0,4}geotechnique|"
+        r"(?<![a-z0-9])amiante(?![a-z0-9])|(?<![a-z0-9])plomb(?![a-z0-9])",
+        "diagnostic", None,
     ),
-    (token("notice"), "notice"),
-    (r"^dt[\s_.\-][a-z]{3,}", "dt"),
-    (token("planning"), "planning"),
+    (r"(?<![a-z0-9])notice(?![a-z0-9])", "notice", None),
+    (r"^dt[\s_.\-][a-z]{3,}", "dt", None),
+    (r"(?<![a-z0-9])planning(?![a-z0-9])", "planning", None),
 )
 AFTER_RULES = (
-    (token("ccap") + r"|clauses.{0,6}admin|cahier.{0,6}admin", "ccap"),
-    (token("cctp") + r"|clauses.{0,6}tech|cahier.{0,6}technique|descriptif.{0,6}tech", "cctp"),
-    (r"carnet.{0,4}(?:de.{0,4})?(?:detail|menuiserie|plan)", "cctp"),
-    (r"^(?!.*(?:" + ANNEX_MARK + r")).*lot[\s_-]*\d{1,2}.*_dce\.pdf$", "cctp"),
-    (r"^dce-[a-z]{2,4}\d{0,3}\.(pdf|docx)$", "cctp"),
-    (PLAN_MARK + "|" + token("plans?") + r"|facade|rez.{0,4}de.{0,4}chaussee", "plan"),
+    (r"(?<![a-z0-9])ccap(?![a-z0-9])|clauses.{0,6}admin|cahier.{0,6}admin", "ccap", None),
+    (r"(?<![a-z0-9])cctp(?![a-z0-9])|clauses.{0,6}tech|cahier.{0,6}technique|descriptif.{0,6}tech", "cctp", None),
+    (r"carnet.{0,4}(?:de.{0,4})?(?:detail|menuiserie|plan)", "cctp", None),
+    (r"lot[\s_-]*\d{1,2}.*_dce\.pdf$", "cctp", "no annex"),
+    (r"^dce-[a-z]{2,4}\d{0,3}\.(pdf|docx)$", "cctp", None),
+    (PLAN_MARK, "plan", None),
+    (r"(?<![a-z0-9])plans?(?![a-z0-9])|coupe|facade|niveau|rez.{0,4}de.{0,4}chaussee", "plan", None),
 )
 
 # Keywords of company documents, tried in this order as substrings.
@@ -97,21 +100,23 @@ ALL_LOTS_TYPES = ("rc", "ccap", "acte_engagement")
 LOT_IN_NAME = r"(?i)lot[\s_\-]*[n°]*[\s_\-]*(\d{1,2}[a-z]?)"
 
 
-def cascade(text: Column, rules, start: Column | None = None) -> Column:
+def cascade(text: Column, rules, start: Column | None = None, guards: dict[str, Column] | None = None) -> Column:
     out = F if start is None else start
-    for pattern, name in rules:
-        out = out.when(text.rlike(pattern), name)
+    for pattern, name, *guard in rules:
+        test = text.rlike(pattern)
+        out = out.when(test & guards[guard[0]] if guard and guard[0] else test, name)
     return out
 
 
 def doc_type(file_name: Column, form_type: Column) -> Column:
     """Type of a tender document by its name, unless a valid type was given."""
     name = normalise(file_name)
+    guards = {"ods": F.lower(file_name).endswith(".ods"), "no annex": ~name.rlike(ANNEX_MARK)}
     out = F.when(form_type.isin(*[t for t in DOC_TYPES if t != "autre"]), form_type)
-    out = cascade(name, BEFORE_RULES, out)
-    rules = name.rlike(RULES_MARK) | (~name.rlike(PLAN_MARK) & name.rlike(token("rdc")))
-    out = out.when(rules & ~name.rlike(ANNEX_MARK), "rc")
-    return cascade(name, AFTER_RULES, out).otherwise("autre")
+    out = cascade(name, BEFORE_RULES, out, guards)
+    rules = name.rlike(RULES_MARK) | (~name.rlike(PLAN_MARK) & name.rlike(GROUND_FLOOR))
+    out = out.when(rules & guards["no annex"], "rc")
+    return cascade(name, AFTER_RULES, out, guards).otherwise("autre")
 
 
 def vault_type(text: Column) -> Column:

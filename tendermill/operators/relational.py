@@ -46,10 +46,17 @@ def running_before(df: DataFrame, keys: list[str], value: Column, name: str, coa
     return out.drop("_v", "_base", "_inside", *steps, *[f"_r{c}" for c in [*keys, *steps]])
 
 
-def within_budget(df: DataFrame, keys: list[str], size: Column, cap: Column, budget: int, coarse: list[Column], *order: Column) -> DataFrame:
-    """Add ``take``: characters that each row gets until the budget of its key is used up."""
-    want = F.least(size, cap)
-    out = running_before(df.withColumn("_want", want), keys, F.col("_want"), "_before", coarse, *order)
+def within_budget(df: DataFrame, keys: list[str], size: Column, cap: Column, budget: int, *order: Column, coarse: list[Column] | None = None) -> DataFrame:
+    """Add ``take``: characters that each row gets until the budget of its key is used up.
+
+    With ``coarse`` steps of the order, a key that very many rows share is dealt over tasks.
+    """
+    out = df.withColumn("_want", F.least(size, cap))
+    if coarse:
+        out = running_before(out, keys, F.col("_want"), "_before", coarse, *order)
+    else:
+        ahead = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("_before", F.coalesce(F.sum("_want").over(ahead), F.lit(0)))
     return out.withColumn("take", F.greatest(F.lit(0), F.least(F.col("_want"), F.lit(budget) - F.col("_before"))).cast("long")).drop("_want", "_before")
 
 

@@ -133,15 +133,11 @@ _EDGE = lambda p: p.replace("(?<![a-z0-9])", "(?:^|[^a-z0-9])").replace("(?![a-z
 
 
 def _cascade_sql() -> str:
-    name = "name"
-    m = lambda p: f"regexp_matches({name}, '{_EDGE(p)}')"
-    before = " ".join(f"WHEN {m(p)} THEN '{k}'" for p, k in classify.BEFORE_RULES)
-    rules = f"({m(classify.RULES_MARK)} OR (NOT {m(classify.PLAN_MARK)} AND {m(classify.token('rdc'))})) AND NOT {m(classify.ANNEX_MARK)}"
-    after = []
-    for p, k in classify.AFTER_RULES:
-        test = f"regexp_matches({name}, 'lot[\\s_-]*\\d{{1,2}}.*_dce\\.pdf$') AND NOT {m(classify.ANNEX_MARK)}" if p.startswith("^(?!") else m(p)
-        after.append(f"WHEN {test} THEN '{k}'")
-    return f"CASE {before} WHEN {rules} THEN 'rc' {' '.join(after)} ELSE 'autre' END"
+    m = lambda p: f"regexp_matches(name, '{_EDGE(p)}')"
+    guards = {None: "", "ods": " AND ends_with(name, '.ods')", "no annex": f" AND NOT {m(classify.ANNEX_MARK)}"}
+    branches = lambda rules: " ".join(f"WHEN ({m(p)}){guards[g]} THEN '{k}'" for p, k, g in rules)
+    rules = f"({m(classify.RULES_MARK)} OR (NOT {m(classify.PLAN_MARK)} AND {m(classify.GROUND_FLOOR)})) AND NOT {m(classify.ANNEX_MARK)}"
+    return f"CASE {branches(classify.BEFORE_RULES)} WHEN {rules} THEN 'rc' {branches(classify.AFTER_RULES)} ELSE 'autre' END"
 
 
 #: File names made of a part's key, so that every branch of the cascade occurs.
@@ -356,7 +352,7 @@ def context_budget(spark, sf_dir):
     cap = F.when(c("lang") == "fr", 55000).when(c("lang") == "de", 8000).otherwise(5000)
     sized = t(spark, sf_dir, "documents").select("doc_id", "source", pri.alias("pri"), cap.alias("cap"), F.char_length("text").alias("size"))
     steps = [c("pri"), F.floor(c("doc_id") / 4096)]
-    return relational.within_budget(sized, ["source"], c("size"), c("cap"), 90_000, steps, c("pri"), c("doc_id")).select("doc_id", "source", "take")
+    return relational.within_budget(sized, ["source"], c("size"), c("cap"), 90_000, c("pri"), c("doc_id"), coarse=steps).select("doc_id", "source", "take")
 
 
 @query("""

@@ -2,8 +2,8 @@
 
 Files are read with Spark's ``binaryFile`` source, so listing and reading are
 distributed; each task unpacks the files of its partition with the standard
-library and yields rows one by one.  PDF and legacy XLS need libraries that are
-not here; they give an empty text, as any unreadable file does.
+library and yields rows one by one.  Legacy XLS needs a library that is not here
+and gives an empty text, as any unreadable file does.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tendermill.operators.lots import detection
+from tendermill.sources.pdf import pages_of
+
 # Suffixes that are taken in, formats that only warn, and nesting depth.
 ALLOWED = (".pdf", ".docx", ".doc", ".xlsx", ".xlsm", ".xls", ".ods", ".txt", ".zip")
 WARNED = (".rar", ".7z")
@@ -87,8 +90,8 @@ def docx_text(content: bytes, tables: bool = False) -> str:
     return "\n".join(x for x in lines if x.strip())
 
 
-def xlsx_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    """``sheet, row, column, value`` of the filled cells of a workbook."""
+def xlsx_cells(content: bytes) -> Iterator[tuple[str, int, int, str, bool]]:
+    """``sheet, row, column, value, is_text`` of the filled cells of a workbook."""
     m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
@@ -108,10 +111,19 @@ def xlsx_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                 text = _texts(cell, f"{m}t") if kind == "inlineStr" else (value.text or "" if value is not None else "")
                 text = shared[int(text)] if kind == "s" and text else text
                 if text:
-                    yield sheet.get("name"), int(ref[2]) - 1 if ref else n, col, text
+                    yield sheet.get("name"), int(ref[2]) - 1 if ref else n, col, text, kind in ("s", "str", "inlineStr")
+
+
+def _number(text: str) -> bool:
+    try:
+        float(text)
+    except ValueError:
+        return False
+    return True
 
 
-def ods_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
+def ods_cells(content: bytes) -> Iterator[tuple[str, int, int, str, bool]]:
+    """As for the other format; texts that read as numbers count as numbers."""
     tag = lambda space, name: ODS % (space, name)
     root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("content.xml"))
     for table in root.iter(tag("table", "table")):
@@ -122,12 +134,12 @@ def ods_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
                 text = cell.get(tag("office", "value")) or "\n".join("".join(p.itertext()) for p in cell.findall(tag("text", "p")))
                 times = int(cell.get(tag("table", "number-columns-repeated")) or 1)
                 for i in range(times if text else 0):
-                    yield table.get(tag("table", "name")), n, k + i, text
+                    yield table.get(tag("table", "name")), n, k + i, text, not _number(text)
                 k += times
             n += int(row.get(tag("table", "number-rows-repeated")) or 1)
 
 
-def cells_of(name: str, content: bytes) -> Iterator[tuple[str, int, int, str]]:
+def cells_of(name: str, content: bytes) -> Iterator[tuple[str, int, int, str, bool]]:
     read = ods_cells if name.lower().endswith(".ods") else xlsx_cells if name.lower().endswith((".xlsx", ".xlsm")) else None
     if read:
         try:
@@ -136,51 +148,77 @@ def cells_of(name: str, content: bytes) -> Iterator[tuple[str, int, int, str]]:
             return
 
 
-def text_of(name: str, content: bytes) -> str:
-    """Text of a file by its suffix; unsupported or unreadable files give an empty text."""
+def text_of(name: str, content: bytes, most_pages: int | None = None) -> tuple[str, int | None]:
+    """Text of a file by its suffix, and the number of pages of a PDF; unsupported or unreadable files give an empty text."""
     low = name.lower()
     if low.endswith(".txt"):
-        return content.decode("utf-8", "replace")
+        return content.decode("utf-8", "replace"), None
+    if low.endswith(".pdf"):
+        try:
+            pages = pages_of(content, most_pages)
+        except (ValueError, IndexError, TypeError, RecursionError):
+            return "", None
+        return "\n\n".join(x for x in pages if x), len(pages) or None
     if low.endswith(".docx"):
         try:
-            return docx_text(content)
+            return docx_text(content), None
         except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-            return ""
+            return "", None
     rows: dict[tuple[str, int], list[str]] = {}
-    for sheet, row, _, value in cells_of(name, content):
+    for sheet, row, _, value, _ in cells_of(name, content):
         rows.setdefault((sheet, row), []).append(value)
-    return "\n".join("\t".join(x) for x in rows.values())
+    return "\n".join("\t".join(x) for x in rows.values()), None
 
 
 def read_archives(spark: SparkSession, path: str, most_bytes: int = 2 << 30) -> DataFrame:
-    """``archive, depth, name, size, text, warning`` of the files in the ZIP archives under ``path``."""
+    """``archive, depth, name, size, text, page_count, warning`` of the files in the ZIP archives under ``path``."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for archive, content in zip(frame["path"], frame["content"]):
                 try:
                     for depth, name, data, warning in members(bytes(content)):
-                        yield pd.DataFrame([(archive, depth, name, len(data), text_of(name, data), warning)], columns=names)
+                        yield pd.DataFrame([(archive, depth, name, len(data), *text_of(name, data), warning)], columns=names).astype({"page_count": "Int32"})
                 except zipfile.BadZipFile:
-                    yield pd.DataFrame([(archive, 0, "", 0, "", "archive is damaged")], columns=names)
+                    yield pd.DataFrame([(archive, 0, "", 0, "", None, "archive is damaged")], columns=names).astype({"page_count": "Int32"})
 
-    names = ["archive", "depth", "name", "size", "text", "warning"]
+    names = ["archive", "depth", "name", "size", "text", "page_count", "warning"]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     small = files.where(F.col("length") <= most_bytes).select("path", "content")
-    read = small.mapInPandas(unpack, "archive string, depth int, name string, size long, text string, warning string")
+    read = small.mapInPandas(unpack, "archive string, depth int, name string, size long, text string, page_count int, warning string")
     large = files.where(F.col("length") > most_bytes)
     told = F.lit("archive is over the size limit")
-    return read.unionByName(large.select(F.col("path").alias("archive"), F.lit(0).alias("depth"), F.lit("").alias("name"), F.col("length").alias("size"), F.lit("").alias("text"), told.alias("warning")))
+    return read.unionByName(large.select(F.col("path").alias("archive"), F.lit(0).alias("depth"), F.lit("").alias("name"), F.col("length").alias("size"), F.lit("").alias("text"), F.lit(None).cast("int").alias("page_count"), told.alias("warning")))
+
+
+def read_texts(spark: SparkSession, path: str, most_pages: int | None = None) -> DataFrame:
+    """``path, text, page_count`` of the files under ``path``, of PDF files the first ``most_pages`` pages."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                yield pd.DataFrame([(name, *text_of(name, bytes(content), most_pages))], columns=["path", "text", "page_count"]).astype({"page_count": "Int32"})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(read, "path string, text string, page_count int")
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """``book, sheet, row, col, value`` of the spreadsheets under ``path``."""
+    """``book, sheet, row, col, value, is_text`` of the spreadsheets under ``path``."""
 
     def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for book, content in zip(frame["path"], frame["content"]):
                 found = [(book, *x) for x in cells_of(book, bytes(content))]
-                yield pd.DataFrame(found, columns=["book", "sheet", "row", "col", "value"])
+                yield pd.DataFrame(found, columns=["book", "sheet", "row", "col", "value", "is_text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,ods}").load(path)
-    return files.select("path", "content").mapInPandas(unpack, "book string, sheet string, row int, col int, value string")
+    return files.select("path", "content").mapInPandas(unpack, "book string, sheet string, row int, col int, value string, is_text boolean")
+
+
+def locked_workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """``book, d``: the pseudo-lot that stands for a workbook under a password, whose container is not the usual one."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm}").load(path)
+    locked = F.substring(F.hex(F.substring("content", 1, 8)), 1, 16) == "D0CF11E0A1B11AE1"
+    told = F.lit("Fichier Excel protégé — ouvrez-le et renvoyez-le sans protection")
+    return files.where(locked).select(F.col("path").alias("book"), detection(F.lit("!!"), told, 0, "error").alias("d"))

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 from tendermill.sources import archives
+from tendermill.sources.pdf import pages_of
 
 
 def zipped(files):
@@ -60,3 +61,35 @@ def test_workbooks(spark, tmp_path):
     (tmp_path / "w.xlsx").write_bytes(workbook([["N°", "Montant HT"], ["1", "12,5"]]))
     rows = {(r.sheet, r.row, r.col): r.value for r in archives.read_workbooks(spark, str(tmp_path)).collect()}
     assert rows == {("Lot 1", 0, 0): "N°", ("Lot 1", 0, 1): "Montant HT", ("Lot 1", 1, 0): "1", ("Lot 1", 1, 1): "12,5"}
+
+
+def pdf(pages, compress=True):
+    """A small file as office programs write it: compressed pages, one font with its own codes."""
+    import zlib
+
+    out = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{' '.join(f'{10 + 2 * i} 0 R' for i in range(len(pages)))}] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>"]
+    objects = {1: out[0].encode(), 2: out[1].encode(), 3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /ToUnicode 5 0 R >>"}
+    objects[5] = b"<< >>\nstream\n1 beginbfchar <0001> <00C9> endbfchar 1 beginbfrange <0002> <0004> <0061> endbfrange\nendstream"
+    for i, content in enumerate(pages):
+        raw = zlib.compress(content) if compress else content
+        objects[10 + 2 * i] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i)
+        objects[11 + 2 * i] = b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(raw), b" /Filter /FlateDecode" if compress else b"", raw)
+    return b"%PDF-1.4\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % x for x in objects.items()) + b"\ntrailer << /Root 1 0 R >>"
+
+
+def test_pdf_texts(spark, tmp_path):
+    first = b"BT /F1 12 Tf 72 700 Td (R\\350glement \\(RC\\)) Tj T* [(de la) -250 (con) 20 (sultation)] TJ ET"
+    second = b"BT /F2 9 Tf 1 0 0 1 0 0 Tm <000100020003> Tj ET"
+    for compress in (True, False):
+        assert pages_of(pdf([first, second], compress)) == ["Règlement (RC)\nde la consultation", "Éab"]
+    (tmp_path / "a.pdf").write_bytes(pdf([first, second, first]))
+    (tmp_path / "bad.pdf").write_bytes(b"%PDF nothing")
+    rows = {r.path.rsplit("/", 1)[1]: (r.text, r.page_count) for r in archives.read_texts(spark, str(tmp_path), most_pages=2).collect()}
+    assert rows == {"a.pdf": ("Règlement (RC)\nde la consultation\n\nÉab", 2), "bad.pdf": ("", None)}
+
+
+def test_locked_workbooks(spark, tmp_path):
+    (tmp_path / "locked.xlsx").write_bytes(bytes.fromhex("D0CF11E0A1B11AE1") + b"rest")
+    (tmp_path / "open.xlsx").write_bytes(workbook([["1"]]))
+    rows = archives.locked_workbooks(spark, str(tmp_path)).collect()
+    assert [(r.book.rsplit("/", 1)[1], r.d.id, r.d.confidence, r.d.sources) for r in rows] == [("locked.xlsx", "!!", 0, ["error"])]
