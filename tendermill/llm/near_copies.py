@@ -1,9 +1,15 @@
 """Near copies for the pipeline: texts whose five-word shingles overlap by 0.8 or more.
 
 A link is a pair of texts with a Jaccard similarity of ``SIMILAR`` or more,
-counted exactly over the whole texts.  Candidates share one of ``BANDS`` groups
-of ``ROWS`` smallest shingle hashes; a pair at 0.8 shares none with a chance of
-(1 - 0.8 ** 4) ** 24 = 3e-6, a closer pair more rarely.
+counted exactly over the whole texts.  Candidates come from two sides:
+
+The SimHash operator, over five-word shingles here, joins texts whose
+fingerprints differ in at most four bits by way of its covering code.  At 0.8
+two fingerprints of 64 bits differ in some ten bits, and anchors for ten bits
+would meet a constant part of all texts, so this side finds the closest copies
+only.  All others share one of ``BANDS`` groups of ``ROWS`` smallest shingle
+hashes; a pair at 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6,
+a closer pair more rarely.
 
 Texts with one set of shingles travel once.  Groups with the same members are
 compared once; a group over ``block`` members is cut into blocks that meet
@@ -12,7 +18,7 @@ them.
 
 Defined results: texts without words (NULL, empty, blank) are copies of each
 other; a text under five words is one shingle; rows with one id are copies too
-and the smallest row stays; rows with a NULL id stay.
+and the smallest row stays; rows with a NULL id stay; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ from pyspark.sql import functions as F
 
 from tendermill.llm.common import materialise, one_row_each, text_bytes
 from tendermill.llm.components import connected_components
-from tendermill.llm.simhash import shingle_hashes
+from tendermill.llm import simhash
+from tendermill.llm.simhash import majority, shingle_hashes
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -54,13 +61,15 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks, keys = [], []
+        marks, prints, keys = [], [], []
         for raw in batch["raw"]:
             hashes = shingle_set(raw.as_py())
             marks.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+            prints.append(majority(hashes))
             keys.append(bands(hashes) if len(hashes) else [])
-        mark = pa.array(np.array(marks, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], mark, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "h", "mark", "bands"])
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        columns = [batch["doc_id"], batch["h"], signed(marks), signed(prints), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "mark", "fp", "bands"])
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -110,9 +119,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(docs: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges ``(u, v)`` between the marks of similar texts; they join what all links join."""
-    reps = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("bands").alias("bands"))
-    reps = materialise(reps.select("mark", "rep.doc_id", "rep.h", "bands"), "near-reps")
-    sent = reps.select(F.explode("bands").alias("key"), "mark")
+    reps = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    reps = materialise(reps.select("mark", "rep.doc_id", "rep.h", "fp", "bands"), "near-reps")
+    sent = reps.select(F.explode("bands").alias("key"), "mark").unionByName(_close_prints(reps))
     members = F.sum(F.xxhash64("mark").cast("decimal(38,0)")), F.sum(F.xxhash64("mark", F.lit(1)).cast("decimal(38,0)"))
     groups = sent.groupBy("key").agg(F.count("*").alias("size"), *(m.alias(f"m{i}") for i, m in enumerate(members))).where("size > 1")
     groups = groups.groupBy("size", "m0", "m1").agg(F.min("key").alias("key"))
@@ -134,6 +143,15 @@ def links(docs: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_compare, "u long, v long")
 
 
+def _close_prints(reps: DataFrame) -> DataFrame:
+    """``key, mark``: groups that the SimHash operator's links join, for the comparison of texts."""
+    prints = materialise(reps.where(F.size("bands") > 0).groupBy("fp").agg(F.min("mark").alias("rep")), "near-prints")
+    joined = connected_components(simhash.links(prints)).withColumnRenamed("node", "rep")
+    group = F.xxhash64(F.coalesce("component", "rep"), F.lit("simhash")).alias("key")
+    named = prints.join(joined, "rep", "left").select("fp", group)
+    return reps.where(F.size("bands") > 0).select("fp", "mark").join(named, "fp").select("key", "mark")
+
+
 def _hashed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``h`` (tells the texts of one id apart) and ``raw``."""
     return text_bytes(docs, "doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("raw").alias("h"), "raw")
@@ -142,7 +160,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def drop(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One document of each group that links join, the one with the smallest id; NULL ids stay."""
     cols = docs.columns
-    marked = materialise(_hashed(docs).mapInArrow(_marks, "doc_id long, h long, mark long, bands array<long>"), "near-marks")
+    marked = materialise(_hashed(docs).mapInArrow(_marks, "doc_id long, h long, mark long, fp long, bands array<long>"), "near-marks")
     ids = marked.groupBy("doc_id").agg(F.min("mark").alias("v"), F.max("mark").alias("most")).where("v < most")
     same = marked.join(ids, "doc_id").select(F.col("mark").alias("u"), "v")
     found = connected_components(links(docs, marked, block).unionByName(same))
