@@ -22,7 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Near copies are texts with a five-word overlap of 0.8 or more, counted exactly.
+    SimHash anchors propose the closest pairs; pairs at 0.8 are out of their reach,
+    as the README says, and are proposed by least shingle hashes.
+    """
     return near_copies.drop(docs)
 
 
