@@ -155,10 +155,14 @@ def bullets(text: Column) -> Column:
     return F.transform(lines, parsed)
 
 
+def without_front_matter(text: Column) -> Column:
+    end = F.locate("---", text, 4)
+    return F.when(text.startswith("---") & (end > 0), F.regexp_replace(F.substring(text, end + 3, F.char_length(text)), r"^\n+", "")).otherwise(text)
+
+
 def markdown_section(text: Column, header: str) -> Column:
     """From the first heading that holds ``header`` to the next of its level or above; front matter is left out."""
-    end = F.locate("---", text, 4)
-    body = F.when(text.startswith("---") & (end > 0), F.regexp_replace(F.substring(text, end + 3, F.char_length(text)), r"^\n+", "")).otherwise(text)
+    body = without_front_matter(text)
     state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("level"), F.lit(False).alias("done"))
 
     def step(s: Column, line: Column) -> Column:
@@ -207,3 +211,8 @@ def lenient_json(text: Column, skeleton: str) -> Column:
     mended = F.regexp_replace(F.coalesce(first, F.concat(F.substring(text, F.instr(text, "{"), F.char_length(text)), F.lit("}"))), r",(\s*[}\]])", "$1")
     valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
     return F.when(F.instr(text, "{") == 0, F.lit(skeleton)).otherwise(F.coalesce(valid(first), valid(mended), F.lit(skeleton)))
+
+
+def whole_days(at: Column, now: Column) -> Column:
+    """Whole days from ``now`` to ``at``, cut toward zero."""
+    return F.timestamp_diff("DAY", now, at).cast("int")

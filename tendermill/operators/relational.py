@@ -158,3 +158,9 @@ def keyword_sections(df: DataFrame, text: Column, families, always: int, fallbac
 def looked_up(value: Column, names: dict[str, str], default: str | None = None) -> Column:
     """``names[value]``, else the default."""
     return F.coalesce(*[F.when(value == k, v) for k, v in names.items()], F.lit(default).cast("string"))
+
+
+def expiring(df: DataFrame, day: str, asof: Column, horizon: int) -> DataFrame:
+    """Rows with a day that is past or at most ``horizon`` days off, which is kept between 1 and 365, and their ``days_left``."""
+    left = F.datediff(F.col(day), asof)
+    return df.where(F.col(day).isNotNull()).withColumn("days_left", left).where(F.col("days_left") <= max(1, min(horizon, 365)))

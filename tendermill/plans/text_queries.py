@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tendermill.functions import classify, text
-from tendermill.operators import context
+from tendermill.operators import context, relational, reports, scoring
 from tendermill.plans.base import c, dealt, expected, query, t
+from tendermill.streaming import events
 
 _SEARCHED = [
     "trop court", "exactement quinze", "Le titulaire remet un mémoire technique détaillé avant le démarrage du chantier", "a" * 50 + " " + "b" * 20, "  " + "mot " * 12, None,
@@ -130,3 +131,60 @@ def criteria_parts(spark, sf_dir):
     criteria = F.when(k == 0, _criteria(sets[0])).when(k == 1, _criteria(sets[1])).otherwise(_criteria(sets[2]))
     price, others = context.price_weight(criteria)
     return t(spark, sf_dir, "part").select("p_partkey", price.alias("price"), others.alias("others"), context.heaviest_part(criteria).alias("top"))
+
+
+_TAGGED = [("RC.pdf", "rc"), ("x.pdf", "plan"), ("DIAG_amiante.pdf", "diagnostic"), ("CCTP_Lot05.pdf", "cctp"), ("DCE_lot 1A.pdf", "cctp"), ("Planning.pdf", "planning"), ("DPGF_Lot2.xlsx", "dpgf_template"), ("DPGF.xlsx", "dpgf_template")]
+
+
+@query(expected("tag", [("all",), ("info",), ("info",), ("5",), ("1A",), ("all",), ("2",), ("all",)]))
+def lot_tags(spark, sf_dir):
+    rows = dealt(spark, sf_dir, [n for n, _ in _TAGGED], [k for _, k in _TAGGED])
+    return rows.select("p_partkey", F.array_join(classify.lot_tags(c("x0"), c("x1")), ",").alias("tag"))
+
+
+@query(expected("suffix, clean, initials, linked, summary, block", [
+    (".pdf", "a_b", "JD", "expire", True, "=== RC — A.PDF ===\nx"), ("", "x", "É", "expiration_proche", False, "=== CCAP — noext ===\nx"), (".gz", "é", "AB", "present", True, "=== AUTRE — t.tar.GZ ===\nx"),
+]))
+def more_scalars(spark, sf_dir):
+    rows = dealt(spark, sf_dir, ["A.PDF", "noext", "t.tar.GZ"], ["a\u0001\u0090b", "\tx\n", "é"], ["Jo Do", "élan", "a b c"], ["expired", "expiring_soon", "valid"], ["Total HT", "Béton", "  récapitulatif"], ["rc", "ccap", "autre"])
+    return rows.select(
+        "p_partkey", text.extension(c("x0")).alias("suffix"), text.without_controls(c("x1")).alias("clean"), text.initials(c("x2")).alias("initials"), classify.link_status(c("x3")).alias("linked"),
+        text.is_summary_row(c("x4")).alias("summary"), text.labelled_block(c("x5"), c("x0"), F.lit("x")).alias("block"),
+    )
+
+
+@query("SELECT c_custkey, least(100, floor(40 + 0.3 * (c_custkey % 100) + 5 * (c_custkey % 7) + 3 * (c_custkey % 5) + 0.5))::INTEGER AS score FROM customer")
+def activity_score(spark, sf_dir):
+    k = c("c_custkey")
+    return t(spark, sf_dir, "customer").select(k, scoring.activity_score(k % 100, k % 7, k % 5).alias("score"))
+
+
+@query("""
+SELECT event_id, trunc(epoch_us(ts - TIMESTAMP '2024-01-15 12:00:00') / 86400e6)::INTEGER AS whole_days, date_diff('day', DATE '2024-01-15', ts::DATE)::INTEGER AS dates FROM (
+  SELECT event_id, ts FROM events)""")
+def days_until(spark, sf_dir):
+    """Days as the browser counts them, cut toward zero, and as dates differ."""
+    now = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    return t(spark, sf_dir, "events").select("event_id", text.whole_days(c("ts"), now).alias("whole_days"), F.datediff(c("ts").cast("date"), now.cast("date")).alias("dates"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, d AS days_left, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INTEGER AS place
+FROM (SELECT *, date_diff('day', DATE '2001-06-30', o_orderdate::DATE)::INTEGER AS d FROM orders) WHERE d <= 365""")
+def expiry_horizon(spark, sf_dir):
+    """Expired and soon expiring documents, the oldest first; a horizon of 900 days is cut to a year."""
+    rows = t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", c("o_orderdate").cast("date").alias("day"), "o_orderdate")
+    near = relational.expiring(rows, "day", F.lit("2001-06-30").cast("date"), 900)
+    return reports.placed(near, ["o_custkey"], c("o_orderdate").asc_nulls_last(), c("o_orderkey")).select("o_custkey", "o_orderkey", "days_left", "place")
+
+
+@query("SELECT event_id, event_type AS kind, event_id::VARCHAR AS data FROM events UNION ALL SELECT event_id, 'message', 'x' || chr(10) || 'y' FROM events")
+def sse_blocks(spark, sf_dir):
+    """Messages out of the stream's text, as a client parses them."""
+    raw = F.concat(F.lit(": a comment\nevent: "), "event_type", F.lit("\ndata: "), c("event_id").cast("string"), F.lit("\n\ndata: x\ndata: y\n\n\n\n"))
+    return t(spark, sf_dir, "events").select("event_id", F.inline(events.parsed(raw)))
+
+
+@query("SELECT event_id, least(0.99, value / 57344)::DOUBLE AS ratio FROM events")
+def stream_ratio(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", events.stream_ratio(c("value")).alias("ratio"))

@@ -113,3 +113,19 @@ def extraction_phases(files: DataFrame) -> DataFrame:
     late = F.lower("file_name").endswith(".pdf") & ~F.coalesce(F.col("type").isin(*KEY_TYPES), F.lit(False)) & (F.col("size") > DEFERRED_BYTES)
     told = F.concat(F.lit("[document volumineux - "), F.col("file_name"), F.lit("]"))
     return files.withColumns({"phase": F.when(late, 2).otherwise(1), "placeholder": F.when(late, told)})
+
+
+def parsed(text: Column) -> Column:
+    """``kind, data`` of the blocks of a stream's text; lines of data are joined, comments and blocks without data are left out."""
+
+    def one(block: Column) -> Column:
+        lines = F.split(block, "\n")
+        field = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.ltrim(F.substring(x, len(name) + 2, 1 << 30)))
+        return F.struct(F.coalesce(F.get(field("event"), F.lit(0)), F.lit("message")).alias("kind"), F.when(F.size(field("data")) > 0, F.array_join(field("data"), "\n")).alias("data"))
+
+    return F.filter(F.transform(F.split(text, "\n\n"), one), lambda x: x["data"].isNotNull())
+
+
+def stream_ratio(chars: Column, tokens: int = 16_384, per_token: float = 3.5) -> Column:
+    """Progress of an answer by its characters so far, never all of it."""
+    return F.least(F.lit(0.99), chars / (tokens * per_token))

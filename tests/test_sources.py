@@ -1,7 +1,7 @@
 import io
 import zipfile
 
-from tendermill.sources import archives
+from tendermill.sources import archives, knowledge
 from tendermill.sources.pdf import pages_of
 
 
@@ -93,3 +93,13 @@ def test_locked_workbooks(spark, tmp_path):
     (tmp_path / "open.xlsx").write_bytes(workbook([["1"]]))
     rows = archives.locked_workbooks(spark, str(tmp_path)).collect()
     assert [(r.book.rsplit("/", 1)[1], r.d.id, r.d.confidence, r.d.sources) for r in rows] == [("locked.xlsx", "!!", 0, ["error"])]
+
+
+def test_knowledge_files(spark, tmp_path):
+    for name, text in (("dtu", "---\nx: 1\n---\n\n# DTU\n## Sols\na\n## Murs\nb"), ("autre", "# Rien")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "SKILL.md").write_text(text)
+    files = knowledge.read_knowledge(spark, str(tmp_path))
+    assert {r.name: r.text for r in files.collect()} == {"dtu": "# DTU\n## Sols\na\n## Murs\nb", "autre": "# Rien"}
+    assert [tuple(r) for r in knowledge.section(files, "sols").collect()] == [("dtu", "## Sols\na")]
+    assert knowledge.bundle(files, ["autre", "absent"]).first().text == "━━━ RÉFÉRENTIEL : autre ━━━\n# Rien"
