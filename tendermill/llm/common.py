@@ -135,6 +135,23 @@ def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
     return met.select(*df.columns, "number")
 
 
+#: Rows of a key that count as very many, at least, and such keys at most: what they meet is broadcast.
+MANY_ROWS, MANY_KEYS = 500, 1_000_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, one row a key, whose ``members`` counts the key's rows in ``rows``.
+
+    Keys of very many rows meet theirs by broadcast where the rows lie, the
+    others by a shuffle; with all rows counted there are no more such keys than
+    ``MANY_KEYS``.
+    """
+    total = table.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    often = F.broadcast(table.where(F.col("members") > max(MANY_ROWS, total // MANY_KEYS)).drop("members"))
+    others = rows.join(often.select(*keys), [*keys], "left_anti").join(table.drop("members"), [*keys])
+    return rows.join(often, [*keys]).unionByName(others)
+
+
 def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """Rows of the ``chosen(doc_id)``, of repeated ids the smallest one, and all rows with a NULL id.
 

@@ -164,6 +164,8 @@ def drop(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     ids = marked.groupBy("doc_id").agg(F.min("mark").alias("v"), F.max("mark").alias("most")).where("v < most")
     same = marked.join(ids, "doc_id").select(F.col("mark").alias("u"), "v")
     found = connected_components(links(docs, marked, block).unionByName(same))
-    named = marked.select("doc_id", "mark").join(found.withColumnRenamed("node", "mark"), "mark", "left")
+    # Copies of one set of shingles are counted out first, so none of them meets in one task.
+    least = marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    named = least.join(found.withColumnRenamed("node", "mark"), "mark", "left")
     chosen = named.groupBy(F.coalesce("component", "mark").alias("group")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     return one_row_each(docs, chosen)

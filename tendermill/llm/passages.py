@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise, text_bytes
+from tendermill.llm.common import join_counted, materialise, text_bytes
 
 WINDOW = 50
 PHRASE = 16
@@ -56,8 +56,6 @@ TASK_BYTES = 4 << 20
 MOST_WINDOWS = 20_000
 #: Bytes of text read at a time.
 CHUNK = 1 << 20
-#: Rows of a stretch that count as very many, at least, and such stretches at most: their owners are broadcast.
-MEMBERS, FREQUENT = 500, 1_000_000
 NOBODY = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -392,24 +390,13 @@ def occurrences(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     cuts = found.groupBy("home", "sid").agg(F.collect_set(F.struct("s", "e")).alias("cuts"))
 
     # A stretch that a smaller id has as well goes whole; the owner's own copy loses what was found.
-    each_row = _with_owner(sent.select("doc_id", "key", "home", "sid", "start", "n"), distinct.select("home", "sid", "owner", "members"))
+    each_row = join_counted(sent.select("doc_id", "key", "home", "sid", "start", "n"), distinct.select("home", "sid", "owner", "members"), "home", "sid")
     copies = each_row.where("doc_id > owner").select("doc_id", "key", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"))
     first = each_row.where("doc_id = owner").join(cuts, ["home", "sid"]).select("doc_id", "key", "start", F.explode("cuts").alias("cut"))
     first = first.select("doc_id", "key", (F.col("start") + F.col("cut.s")).alias("s"), (F.col("start") + F.col("cut.e")).alias("e"))
     return copies.unionByName(first)
 
 
-def _with_owner(rows: DataFrame, owners: DataFrame) -> DataFrame:
-    """``rows`` with the owner of their stretch; stretches of very many rows meet theirs by broadcast.
-
-    With all rows counted there are no more such stretches than ``FREQUENT``.
-    """
-    total = owners.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    often = F.broadcast(owners.where(F.col("members") > max(MEMBERS, total // FREQUENT)).select("home", "sid", "owner"))
-    others = rows.join(often.select("home", "sid"), ["home", "sid"], "left_anti").join(owners.drop("members"), ["home", "sid"])
-    return rows.join(often, ["home", "sid"]).unionByName(others)
-
-
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256, kept``; ``kept`` is the text that is left."""
     rows = text_bytes(docs, "doc_id").withColumn("key", F.xxhash64("raw")).withColumn("doc_id", F.coalesce("doc_id", F.lit(NOBODY)))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise, one_row_each, text_bytes
+from tendermill.llm.common import join_counted, materialise, one_row_each, text_bytes
 from tendermill.llm.components import connected_components
 
 SHINGLE = 4
@@ -219,13 +219,13 @@ def components(docs: DataFrame, limit: int = THRESHOLD, block: int = BLOCK) -> D
     if limit > THRESHOLD:
         raise ValueError("the two halves cover four differing bits")
     marked = materialise(with_fingerprints(docs, "doc_id"), "fingerprints")
-    reps = marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(reps, "fingerprint-reps")
-    found = connected_components(links(reps, limit, block))
+    known = marked.where("doc_id is not null")
+    reps = materialise(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), "fingerprint-reps")
+    found = connected_components(links(reps.select("fp", "rep"), limit, block))
     named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = marked.join(named, "fp", "left")
-    return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = materialise(named.select("fp", F.coalesce("component", "rep").alias("component_id"), "members"), "fingerprint-components")
+    without = marked.where("doc_id is null").select("doc_id", "fp", F.lit(None).cast("long").alias("component_id"))
+    return join_counted(known, named, "fp").select("doc_id", "fp", "component_id").unionByName(without)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
