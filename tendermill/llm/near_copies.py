@@ -144,12 +144,12 @@ def links(docs: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def _close_prints(reps: DataFrame) -> DataFrame:
-    """``key, mark``: groups that the SimHash operator's links join, for the comparison of texts."""
-    prints = materialise(reps.where(F.size("bands") > 0).groupBy("fp").agg(F.min("mark").alias("rep")), "near-prints")
-    joined = connected_components(simhash.links(prints)).withColumnRenamed("node", "rep")
-    group = F.xxhash64(F.coalesce("component", "rep"), F.lit("simhash")).alias("key")
-    named = prints.join(joined, "rep", "left").select("fp", group)
-    return reps.where(F.size("bands") > 0).select("fp", "mark").join(named, "fp").select("key", "mark")
+    """``key, mark``: texts with one fingerprint, and the pairs that the SimHash operator links, for the comparison of texts."""
+    prints = reps.where(F.size("bands") > 0).select("fp", "mark")
+    same = prints.select(F.xxhash64("fp", F.lit("print")).alias("key"), "mark")
+    pairs = simhash.links(prints.groupBy("fp").agg(F.min("mark").alias("rep"))).distinct()
+    key = F.xxhash64("u", "v", F.lit("pair")).alias("key")
+    return same.unionByName(pairs.select(key, F.explode(F.array("u", "v")).alias("mark")))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
