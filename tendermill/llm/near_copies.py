@@ -39,7 +39,7 @@ from tendermill.llm.simhash import majority, shingle_hashes
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 4
-BLOCK = 256
+BLOCK = 1024
 _RNG = np.random.default_rng(11)
 _TURN, _TIMES = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _TIMES |= np.uint64(1)
@@ -81,7 +81,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _links_within(marks: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links that join all that the links of one group join; blocks are compared across only, if there are two."""
+    """Links of each text to the least mark that the links of one group join it to; blocks are compared across only, if there are two.
+
+    Groups of one family mostly have the same least mark, so that their links are the same and count once.
+    """
+    order = sorted(range(len(marks)), key=marks.__getitem__)
     root = list(range(len(marks)))
 
     def find(x: int) -> int:
@@ -93,9 +97,12 @@ def _links_within(marks: list[int], sides: list[int], sets: list[np.ndarray]) ->
     two = len(set(sides)) == 2
     for x in range(len(marks)):
         for y in range(x):
-            if (not two or sides[x] != sides[y]) and (a := find(x)) != (b := find(y)) and similar(sets[x], sets[y]):
+            i, j = order[x], order[y]
+            if (not two or sides[i] != sides[j]) and (a := find(x)) != (b := find(y)) and similar(sets[i], sets[j]):
                 root[max(a, b)] = min(a, b)
-                yield marks[x], marks[y]
+    for x in range(len(marks)):
+        if (top := find(x)) != x:
+            yield marks[order[x]], marks[order[top]]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
