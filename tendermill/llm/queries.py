@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import ann, bpe, mixing, passages, pii, quality_rules, quality_trees, simhash, token_files, toxicity
+from tendermill.llm import ann, bpe, fim, mixing, passages, pii, quality_rules, quality_trees, simhash, token_files, toxicity
 from tendermill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), found="n_replaced")
 
 
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "op1_passages": op1_passages,
     "op2_quality_rules": op2_quality_rules,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_trees": op9_quality_trees,
     "op10_pii": op10_pii,
+    "op13_fim": op13_fim,
 }
 
 
@@ -213,4 +218,21 @@ placed AS (
 SELECT doc_id, src AS source, epoch::INTEGER AS epoch, block, n_tokens, start FROM placed WHERE start < quota"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql()}
+def fim_sql() -> str:
+    p, s, m = fim.SENTINELS
+    draw = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT"
+    return f"""
+WITH a AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('{fim.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+b AS (
+  SELECT doc_id, t, n, least({draw(0)} % (n + 1), {draw(1)} % (n + 1)) AS a, greatest({draw(0)} % (n + 1), {draw(1)} % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '{p}') OR contains(t, '{s}') OR contains(t, '{m}') OR {draw(2)} % 100 >= {fim.RATE} THEN 'plain'
+      WHEN {draw(3)} % 100 < {fim.SPM} THEN 'spm' ELSE 'psm' END AS form FROM a),
+c AS (SELECT *, substring(t, 1, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM b)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{p}' || pre || '{s}' || suf || '{m}' || mid
+    ELSE '{s}' || suf || '{p}' || pre || '{m}' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op13_fim": fim_sql()}
