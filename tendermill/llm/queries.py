@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm import ann, bpe, fim, mixing, passages, pii, quality_rules, quality_trees, simhash, token_files, toxicity
+from tendermill.llm import ann, bpe, fim, hyperminhash, mixing, passages, phrases, pii, quality_rules, quality_trees, simhash, token_files, toxicity
 from tendermill.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), found="n_replaced")
 
 
+def op11_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.components(documents(spark, sf_dir))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(documents(spark, sf_dir))
 
@@ -81,6 +89,8 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_quality_trees": op9_quality_trees,
     "op10_pii": op10_pii,
+    "op11_hyperminhash": op11_hyperminhash,
+    "op12_phrases": op12_phrases,
     "op13_fim": op13_fim,
 }
 
@@ -218,6 +228,62 @@ placed AS (
 SELECT doc_id, src AS source, epoch::INTEGER AS epoch, block, n_tokens, start FROM placed WHERE start < quota"""
 
 
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def near_sql() -> str:
+    """Pairs by common shingles, groups by passing smaller ids on."""
+    m = hyperminhash
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + {m.SHINGLE - 1}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {m.SHINGLE - 2}))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * c >= {m.PERCENT} * (x.n + y.n - c)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.v, r.c FROM reach r JOIN edges e ON e.u = r.doc_id WHERE r.c < e.v)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
+
+
+def phrases_sql() -> str:
+    """All phrases are counted; cuts and longer phrases meet theirs by joins."""
+    m = phrases
+    return f"""
+WITH pieces AS (
+  SELECT coalesce(lang, '{m.WITHOUT_LANGUAGE}') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{CAPITALS}', '{CAPITALS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+runs AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, array_to_string(w[i + 1 : i + size], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(0, len(w) - size + 1)) AS i
+    FROM (SELECT lang, w, unnest(range(1, {m.LONGEST + 1})) AS size FROM runs) WHERE len(w) >= size)),
+counts AS (SELECT lang, phrase, size, count(*)::BIGINT AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang),
+found AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= {m.SUPPORT}),
+cuts AS (
+  SELECT lang, phrase, size, a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : size], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM found)),
+met AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, (c.a::HUGEINT * {m.SCALE} // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.lp JOIN counts y ON y.lang = c.lang AND y.phrase = c.rp),
+worst AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+  SELECT lang, a, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT lang, a, w, n, unnest(range(1, size - n + 2)) AS i FROM (SELECT lang, a, w, size, unnest(range(2, size)) AS n FROM found WHERE size > 2))),
+longest AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM worst w LEFT JOIN longest o ON o.lang = w.lang AND o.phrase = w.phrase
+  WHERE o.most IS NULL OR 100 * o.most < {m.INSIDE} * w.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= {m.TOP}"""
+
+
 def fim_sql() -> str:
     p, s, m = fim.SENTINELS
     draw = lambda i: f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT"
@@ -235,4 +301,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
 FROM c"""
 
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op13_fim": fim_sql()}
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_sql(), "op3_mixing": mixing_sql(), "op11_hyperminhash": near_sql(), "op12_phrases": phrases_sql(), "op13_fim": fim_sql()}
