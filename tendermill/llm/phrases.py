@@ -51,7 +51,7 @@ SCALE = 2_000_000
 SHARDS = 4
 BITS = 1 << 26
 #: Bytes of text that are counted together before partial counts go out.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Best rows are picked by so many hash groups of a language first.
 PICKED = 64
 WITHOUT_LANGUAGE = "und"
@@ -66,7 +66,7 @@ class _Hashes(dict):
     """64-bit hashes of words, kept within a bound; the break between pieces is 0."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         found = self[word] = 0 if word == _BREAK else xxhash.xxh3_64_intdigest(word) or 1
         return found
