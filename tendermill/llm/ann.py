@@ -14,6 +14,12 @@ and searched in that space, in double precision; scores are products of the
 original vectors.  Points are inserted, and queries answered, many at a time:
 all of a batch take a step of the beam search together in numpy.
 
+How wide a beam must be depends on the vectors: products of vectors with unequal
+norms have queries far from all points.  Once built, a shard answers ``TRIALS``
+of its own vectors with beams of growing width until they find ``AIM`` of what a
+comparison with all its vectors finds, and keeps that width; there is no end to
+the widening but the shard's size, at which the search is exact.
+
 Defined results: vectors that are NULL, of length zero norm, or with NULL or
 non-finite components, and rows with a NULL id, take no part; neither do vectors
 of another length than the most frequent one; a repeated id counts once for each
@@ -40,6 +46,8 @@ BLOCKS = 8
 DEGREE = 24
 EF_BUILD = 48
 EF_SEARCH = 200
+#: Queries that try a new graph, and the share of their neighbours that it must find.
+TRIALS, AIM = 200, 0.97
 LEVEL_RATIO = 16
 BATCH = 512
 OPENED = 4
@@ -210,6 +218,22 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]], axis=1)
 
 
+def calibrated(graph: Graph, vectors: np.ndarray, k: int = K, seed: int = 2) -> int:
+    """Beam width at which ``TRIALS`` of the graph's vectors find ``AIM`` of their ``k`` largest products."""
+    n = len(vectors)
+    if n <= max(EF_SEARCH, k + 1):
+        return EF_SEARCH
+    q = vectors[np.random.default_rng(seed).choice(n, min(TRIALS, n), replace=False)]
+    exact = np.argpartition(-(q @ vectors.T), k, axis=1)[:, : k + 1]
+    ef = EF_SEARCH
+    while ef < n:
+        found = graph.search(np.pad(q, ((0, 0), (0, 1))), k + 1, ef)
+        if np.mean([np.isin(e, f).mean() for e, f in zip(exact, found)]) >= AIM:
+            break
+        ef *= 2
+    return min(ef, n)
+
+
 INDEX_SQL = "shard int, n int, file string"
 
 
@@ -227,6 +251,7 @@ def _build(root: str):
             "levels": np.concatenate(graph.levels).astype(np.int32),
             "links": np.concatenate(graph.links),
             "sizes": np.array([len(x) for x in graph.levels], np.int32),
+            "ef": np.array(calibrated(graph, vectors)),
         }
         put_arrays(f"{root}/shard-{shard:06d}", arrays)
         return pa.Table.from_pylist([{"shard": shard, "n": len(vectors), "file": f"{root}/shard-{shard:06d}"}], schema=pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("file", pa.string())]))
@@ -248,12 +273,12 @@ class Shard:
         a = get_arrays(file)
         cuts = np.cumsum(a["sizes"])[:-1]
         self.vectors, self.ids, self.counts = a["vectors"], a["ids"], a["counts"]
-        self.starts = np.cumsum(self.counts) - self.counts
+        self.starts, self.ef = np.cumsum(self.counts) - self.counts, int(a["ef"])
         self.graph = Graph(lifted(self.vectors), np.split(a["levels"], cuts), np.split(a["links"], cuts))
 
     def nearest(self, wanted: np.ndarray, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Up to ``k`` of query, id and score for each query, by exact score among all that the beam found."""
-        found = self.graph.search(np.pad(q, ((0, 0), (0, 1))), max(ef, k + 1), ef)
+        found = self.graph.search(np.pad(q, ((0, 0), (0, 1))), max(ef, self.ef, k + 1), max(ef, self.ef))
         r, c = np.nonzero(found >= 0)
         points = found[r, c]
         score = np.einsum("ij,ij->i", q[r], self.vectors[points])

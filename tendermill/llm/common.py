@@ -157,12 +157,12 @@ def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     Only rows of repeated ids are grouped; maps, which have no order, do not decide.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    sizes = docs.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    kept = docs.join(chosen.join(sizes, "doc_id"), "doc_id")
-    ordered = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
-    many = kept.where("_rows > 1").groupBy("doc_id").agg(F.min_by(F.struct(*cols), ordered).alias("_row")).select("_row.*")
-    return kept.where("_rows = 1").select(*cols).unionByName(many).unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("size"))
+    kept = rows.join(chosen.join(sizes, "doc_id"), "doc_id")
+    ordered = F.struct(*[F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()])
+    many = kept.where("size > 1").groupBy("doc_id").agg(F.min_by("row", ordered).alias("row"))
+    return kept.where("size = 1").select("row").unionByName(many.select("row")).unionByName(rows.where("doc_id is null").select("row")).select("row.*")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

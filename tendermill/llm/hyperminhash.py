@@ -39,7 +39,7 @@ came; other columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from tendermill.llm.common import join_counted, materialise, one_row_each, text_bytes
 from tendermill.llm.components import connected_components
 from tendermill.llm.passages import WordHashes
-from tendermill.llm.simhash import _stars
+from tendermill.llm.simhash import _stars, majority
 
 SHINGLE = 5
 PERCENT = 85
@@ -132,20 +132,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, BUCKETS)
 
 
-def _marks(least: int):
-    """Size, mark and registers of each text; sets under ``least`` shingles have no registers, as they cannot be linked to another set."""
+def _marks(least: int, with_prints: bool):
+    """Size, mark, fingerprint and registers of each text; sets under ``least`` shingles have no registers, as they cannot be linked to another set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            sizes, marks, regs = [], [], []
+            sizes, marks, prints, regs = [], [], [], []
             for raw in batch["raw"]:
                 found = shingle_set(raw.as_py(), hashes)
                 sizes.append(len(found))
                 marks.append(xxhash.xxh3_128_digest(found.tobytes()))
+                prints.append(majority(found) if with_prints else 0)
                 regs.append(registers(found).tobytes() if len(found) >= least else None)
-            columns = [batch["doc_id"], batch["h"], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "mark", "regs"])
+            fp = pa.array(np.array(prints, np.uint64).view(np.int64))
+            columns = [batch["doc_id"], batch["h"], pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), fp, pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "mark", "fp", "regs"])
 
     return run
 
@@ -315,10 +317,13 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return text_bytes(docs, "doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("raw").alias("h"), "raw")
 
 
-def marked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, h, n, mark, regs`` of each row with an id; equal sets have equal marks."""
+def marked(docs: DataFrame, percent: int = PERCENT, with_prints: bool = False) -> DataFrame:
+    """``doc_id, h, n, mark, fp, regs`` of each row with an id; equal sets have equal marks.
+
+    ``fp`` is the majority fingerprint of the set, if asked for.
+    """
     least = next(n for n in range(1, 101) if 100 * n >= percent * (n + 1))
-    return materialise(_hashed(docs).mapInArrow(_marks(least), "doc_id long, h long, n long, mark binary, regs binary"), "hyper-marks")
+    return materialise(_hashed(docs).mapInArrow(_marks(least, with_prints), "doc_id long, h long, n long, mark binary, fp long, regs binary"), "hyper-marks")
 
 
 def _groups(reps: DataFrame, block: int) -> DataFrame:
@@ -339,17 +344,24 @@ def _by_cell(df: DataFrame) -> DataFrame:
     return df.repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
-def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+#: From ``rep, h, n, fp, regs`` of all sets to further pairs ``u, v`` for verification.
+Proposer = Callable[[DataFrame], DataFrame]
+
+
+def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT, block: int = BLOCK, propose: Proposer | None = None) -> DataFrame:
     """Edges ``(u, v)`` between the least ids of sets; they join what all links join.  ``marks`` are those of :func:`marked`."""
-    reps = marks.where("regs is not null").groupBy("mark").agg(F.min(F.struct("doc_id", "h")).alias("r"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    reps = materialise(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), "n", "regs"), "hyper-reps")
+    firsts = [F.first(c).alias(c) for c in ("n", "fp", "regs")]
+    reps = marks.where("regs is not null").groupBy("mark").agg(F.min(F.struct("doc_id", "h")).alias("r"), *firsts)
+    reps = materialise(reps.select(F.col("r.doc_id").alias("rep"), F.col("r.h").alias("h"), "n", "fp", "regs"), "hyper-reps")
     groups = materialise(_groups(reps, block), "hyper-groups")
     known = reps.select("rep", "n", "regs")
     proposed = _by_cell(groups.join(known, "rep")).mapInArrow(_propose(percent), "u long, v long, key long, cell int, more boolean")
     proposed = materialise(proposed, "hyper-proposed")
     pairs = proposed.select("u", "v").distinct()
+    if propose:
+        pairs = materialise(pairs.unionByName(propose(reps).select("u", "v")).distinct(), "hyper-pairs")
 
-    wanted = reps.join(proposed.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "h")
+    wanted = reps.join(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "h")
     texts = _hashed(docs).withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "h"]).groupBy("rep").agg(F.first("raw").alias("raw"))
     texts = materialise(texts, "hyper-texts")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
@@ -370,17 +382,21 @@ def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT, block: int
     return found.unionByName(materialise(_by_cell(met).mapInArrow(_rest(percent), "u long, v long"), "hyper-rest"))
 
 
-def components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``."""
-    marks = marked(docs, percent)
-    sets = marks.where("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
+def components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, propose: Proposer | None = None, empty_alike: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row of ``docs``.
+
+    With ``empty_alike``, documents without shingles are copies of each other.
+    """
+    marks = marked(docs, percent, propose is not None)
+    alone = F.lit(False) if empty_alike else F.col("n") == 0
+    sets = marks.where(~alone).groupBy("mark").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
     sets = materialise(sets, "hyper-sets")
-    with_sets = join_counted(marks.where("n > 0").select("doc_id", "n", "mark"), sets, "mark").select("doc_id", "n", "rep")
-    rows = materialise(with_sets.unionByName(marks.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "hyper-rows")
+    with_sets = join_counted(marks.where(~alone).select("doc_id", "n", "mark"), sets, "mark").select("doc_id", "n", "rep")
+    rows = materialise(with_sets.unionByName(marks.where(alone).select("doc_id", "n", F.col("doc_id").alias("rep"))), "hyper-rows")
     # Rows of one id with several sets are one document.
     repeated = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("doc_id")
     same = rows.join(repeated, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    found = connected_components(links(docs, marks, percent, block).unionByName(same)).withColumnRenamed("node", "rep")
+    found = connected_components(links(docs, marks, percent, block, propose).unionByName(same)).withColumnRenamed("node", "rep")
     table = rows.groupBy("rep").agg(F.count("*").alias("members")).join(found, "rep", "left")
     table = materialise(table.select("rep", "members", F.coalesce("component", "rep").alias("component_id")), "hyper-components")
     named = join_counted(rows, table, "rep").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

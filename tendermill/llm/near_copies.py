@@ -1,20 +1,16 @@
 """Near copies for the pipeline: texts whose five-word shingles overlap by 0.8 or more.
 
-A link is a pair of texts with a Jaccard similarity of ``SIMILAR`` or more,
-counted exactly over the whole texts.  Candidates come from two sides:
+A link is a pair of texts with a Jaccard similarity of ``PERCENT`` or more,
+counted exactly over the whole sets.  Candidates come from two sides.
 
 The SimHash operator, over five-word shingles here, joins texts whose
-fingerprints differ in at most four bits by way of its covering code.  At 0.8
-two fingerprints of 64 bits differ in some ten bits, and anchors for ten bits
-would meet a constant part of all texts, so this side finds the closest copies
-only.  All others share one of ``BANDS`` groups of ``ROWS`` smallest shingle
-hashes; a pair at 0.8 shares none with a chance of (1 - 0.8 ** 4) ** 24 = 3e-6,
-a closer pair more rarely.
+fingerprints differ in at most four bits by way of its covering code.  At 0.8 two
+fingerprints of 64 bits differ in some ten bits, and anchors for ten bits would
+meet a constant part of all texts, so this side finds the closest copies only.
 
-Texts with one set of shingles travel once.  Groups with the same members are
-compared once; a group over ``block`` members is cut into blocks that meet
-pairwise.  Within a task two texts are not compared if links found already join
-them.
+The others are found by the registers and bands of the HyperMinHash operator,
+which lose a pair at 0.8 with a chance of (1 - 0.8 ** 4) ** 32 = 5e-8, a closer
+pair more rarely; that operator also verifies the pairs of both sides.
 
 Defined results: texts without words (NULL, empty, blank) are copies of each
 other; a text under five words is one shingle; rows with one id are copies too
@@ -23,156 +19,29 @@ and the smallest row stays; rows with a NULL id stay; extra columns pass through
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import materialise, one_row_each, text_bytes
-from tendermill.llm.components import connected_components
-from tendermill.llm import simhash
-from tendermill.llm.simhash import majority, shingle_hashes
-
-SHINGLE = 5
-SIMILAR = 0.8
-BANDS, ROWS = 24, 4
-BLOCK = 1024
-_RNG = np.random.default_rng(11)
-_TURN, _TIMES = (_RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
-_TIMES |= np.uint64(1)
-
-
-def shingle_set(raw: bytes) -> np.ndarray:
-    return np.unique(shingle_hashes(raw, SHINGLE))
-
-
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed number a band: a hash of its smallest shingle hashes in several orders."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        part = hashes[at : at + 4096]
-        np.minimum(least, ((part[:, None] ^ _TURN) * _TIMES).min(axis=0), out=least)
-    keys = (xxhash.xxh3_64_intdigest(row.tobytes(), n) for n, row in enumerate(least.reshape(BANDS, ROWS)))
-    return np.fromiter(keys, np.uint64, BANDS).view(np.int64).tolist()
-
-
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks, prints, keys = [], [], []
-        for raw in batch["raw"]:
-            hashes = shingle_set(raw.as_py())
-            marks.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
-            prints.append(majority(hashes))
-            keys.append(bands(hashes) if len(hashes) else [])
-        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        columns = [batch["doc_id"], batch["h"], signed(marks), signed(prints), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "mark", "fp", "bands"])
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if small < SIMILAR * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= SIMILAR * (small + large - both) - 1e-9
-
-
-def _links_within(marks: list[int], sides: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links of each text to the least mark that the links of one group join it to; blocks are compared across only, if there are two.
-
-    Groups of one family mostly have the same least mark, so that their links are the same and count once.
-    """
-    order = sorted(range(len(marks)), key=marks.__getitem__)
-    root = list(range(len(marks)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    two = len(set(sides)) == 2
-    for x in range(len(marks)):
-        for y in range(x):
-            i, j = order[x], order[y]
-            if (not two or sides[i] != sides[j]) and (a := find(x)) != (b := find(y)) and similar(sets[i], sets[j]):
-                root[max(a, b)] = min(a, b)
-    for x in range(len(marks)):
-        if (top := find(x)) != x:
-            yield marks[order[x]], marks[order[top]]
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at, marks, sides, sets = None, [], [], []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if found := list(_links_within(marks, sides, sets)):
-            u, v = zip(*found)
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    for batch in batches:
-        for key, cell, side, mark, raw in zip(*(batch[c] for c in ("key", "cell", "side", "mark", "raw"))):
-            if (here := (key.as_py(), cell.as_py())) != at:
-                yield from out()
-                at, marks, sides, sets = here, [], [], []
-            marks.append(mark.as_py())
-            sides.append(side.as_py())
-            sets.append(shingle_set(raw.as_py()))
-    yield from out()
-
+from tendermill.llm import hyperminhash, simhash
+from tendermill.llm.common import one_row_each
 
-def links(docs: DataFrame, marked: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges ``(u, v)`` between the marks of similar texts; they join what all links join."""
-    reps = marked.groupBy("mark").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    reps = materialise(reps.select("mark", "rep.doc_id", "rep.h", "fp", "bands"), "near-reps")
-    sent = reps.select(F.explode("bands").alias("key"), "mark").unionByName(_close_prints(reps))
-    members = F.sum(F.xxhash64("mark").cast("decimal(38,0)")), F.sum(F.xxhash64("mark", F.lit(1)).cast("decimal(38,0)"))
-    groups = sent.groupBy("key").agg(F.count("*").alias("size"), *(m.alias(f"m{i}") for i, m in enumerate(members))).where("size > 1")
-    groups = groups.groupBy("size", "m0", "m1").agg(F.min("key").alias("key"))
-    groups = groups.select("key", F.when(F.col("size") > block, F.ceil(F.col("size") * 2 / block).cast("int")).alias("n"))
-    cut = materialise(sent.join(groups, "key"), "near-groups")
-    own = F.pmod(F.xxhash64("mark"), F.col("n")).cast("int")
-    cells = F.when(F.col("n").isNull(), F.array(F.struct(F.lit(0).alias("cell"), F.lit(0).alias("side")))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.col("n") - 1),
-            lambda j: F.struct(
-                (F.least(own, j) * F.col("n") + F.greatest(own, j)).alias("cell"), F.when(own > j, 1).otherwise(0).alias("side")
-            ),
-        )
-    )
-    wanted = reps.select("mark", "doc_id", "h").join(cut.select("mark").distinct(), "mark", "left_semi")
-    texts = _hashed(docs).join(wanted, ["doc_id", "h"]).groupBy("mark").agg(F.first("raw").alias("raw"))
-    dealt = cut.join(texts, "mark").select("key", "mark", "raw", F.inline(cells))
-    dealt = dealt.repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(_compare, "u long, v long")
+PERCENT = 80
 
 
-def _close_prints(reps: DataFrame) -> DataFrame:
-    """``key, mark``: texts with one fingerprint, and the pairs that the SimHash operator links, for the comparison of texts."""
-    prints = reps.where(F.size("bands") > 0).select("fp", "mark")
-    same = prints.select(F.xxhash64("fp", F.lit("print")).alias("key"), "mark")
-    pairs = simhash.links(prints.groupBy("fp").agg(F.min("mark").alias("rep"))).distinct()
-    key = F.xxhash64("u", "v", F.lit("pair")).alias("key")
-    return same.unionByName(pairs.select(key, F.explode(F.array("u", "v")).alias("mark")))
+def close_prints(reps: DataFrame) -> DataFrame:
+    """``u, v``: sets with one fingerprint, and those that the SimHash operator links."""
+    prints = reps.groupBy("fp").agg(F.min("rep").alias("first"), F.count("*").alias("members"))
+    same = reps.select("fp", "rep").join(prints.where("members > 1"), "fp").where("rep != first")
+    near = simhash.links(prints.select("fp", F.col("first").alias("rep")))
+    return same.select(F.col("first").alias("u"), F.col("rep").alias("v")).unionByName(near.select("u", "v"))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``h`` (tells the texts of one id apart) and ``raw``."""
-    return text_bytes(docs, "doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("raw").alias("h"), "raw")
+def groups(docs: DataFrame, block: int = hyperminhash.BLOCK) -> DataFrame:
+    """``doc_id, component_id`` of each row."""
+    found = hyperminhash.components(docs.select("doc_id", "text"), PERCENT, block, close_prints, empty_alike=True)
+    return found.select("doc_id", "component_id")
 
 
-def drop(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def drop(docs: DataFrame, block: int = hyperminhash.BLOCK) -> DataFrame:
     """One document of each group that links join, the one with the smallest id; NULL ids stay."""
-    cols = docs.columns
-    marked = materialise(_hashed(docs).mapInArrow(_marks, "doc_id long, h long, mark long, fp long, bands array<long>"), "near-marks")
-    ids = marked.groupBy("doc_id").agg(F.min("mark").alias("v"), F.max("mark").alias("most")).where("v < most")
-    same = marked.join(ids, "doc_id").select(F.col("mark").alias("u"), "v")
-    found = connected_components(links(docs, marked, block).unionByName(same))
-    # Copies of one set of shingles are counted out first, so none of them meets in one task.
-    least = marked.groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    named = least.join(found.withColumnRenamed("node", "mark"), "mark", "left")
-    chosen = named.groupBy(F.coalesce("component", "mark").alias("group")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return one_row_each(docs, chosen)
+    return one_row_each(docs, groups(docs, block).where("doc_id = component_id").select("doc_id").distinct())

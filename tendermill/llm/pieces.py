@@ -75,9 +75,11 @@ class TextEncoder:
         return self.encode_piece(text) if len(cut) == 1 else b"".join(map(self._piece, cut))
 
     def _piece(self, piece: str) -> bytes:
-        if piece.isspace():
+        # What begins or ends with a blank of any kind is no chunk; the pattern need not take the same characters for blanks.
+        chunk = piece.removeprefix(" ")
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return self.encode_piece(piece)
-        return self.rest[piece[1:]] if piece[0] == " " else self.first[piece]
+        return self.first[piece] if chunk is piece else self.rest[chunk]
 
     def encode_text(self, text: str) -> bytes:
         if not text:

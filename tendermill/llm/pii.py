@@ -8,10 +8,12 @@ equal values to equal pseudonyms and different values to different ones, so
 records stay linked across documents without any shared table.  E-mail names
 and secrets have no number format; they get a keyed digest of fixed form.
 
-No row depends on another, so there is no shuffle.  The key comes from the
-setting ``spark.tendermill.pii.key`` or a parameter; anybody without it cannot
-invert the permutation.  Without either, a run draws a key of its own, which is
-not kept: its pseudonyms are linked within the run alone.
+No row depends on another, so there is no shuffle.  The key is the first line of
+the file that the setting ``spark.tendermill.pii.key.file`` names, or the setting
+``spark.tendermill.pii.key``, or a parameter; anybody without it cannot invert the
+permutation.  Without any, an application draws a key of its own, which it keeps
+in the shared folder: its pseudonyms are linked within the application alone.
+The key is read by a subquery where it is used, and so is in no plan or log.
 
 Left out: national phone numbers other than of three, three and four digits, and
 secrets without a name (token, password) or the prefix AKIA.
@@ -24,19 +26,22 @@ columns pass through.
 from __future__ import annotations
 
 import secrets
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tendermill.llm.common import let
+from tendermill.llm.common import let, shared_dir
 
 ROUNDS = 8
 KEY_SETTING = "spark.tendermill.pii.key"
+KEY_FILE_SETTING = "spark.tendermill.pii.key.file"
 
 #: Marks around candidates; a text's own marks are escaped before and restored after.
 MARK, ESC = "\u0001", "\u0002"
 
-EMAIL = r"[A-Za-z0-9À-ɏ._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# An address begins where a run of its characters does, or where the candidate before ends: no run is read twice.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9À-ɏ._%+-]))[A-Za-z0-9À-ɏ._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?:\d{1,3}\.){3}\d{1,3}"
 IBAN = r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}|[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?! ?[A-Z0-9])"
 # A number's groups share one separator, and none of them begins another value that follows it.
@@ -66,13 +71,13 @@ CANDIDATE = (
 )
 
 
-def _prf(key: str, *parts: Column) -> Column:
+def _prf(key: Column, *parts: Column) -> Column:
     """Keyed pseudo-random 60-bit number of ``parts``."""
-    digest = F.sha2(F.concat_ws("/", F.lit(key), *[p.cast("string") for p in parts]), 256)
+    digest = F.sha2(F.concat_ws("/", key, *[p.cast("string") for p in parts]), 256)
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
-def feistel(key: str, tag: Column, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
+def feistel(key: Column, tag: Column, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
     """Permute pairs (a, b) of ``[0, size_a) x [0, size_b)``; the inverse subtracts in reverse order.
 
     Rounds alternately add to one part a keyed function of the other.
@@ -91,7 +96,7 @@ def _pow10(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("bigint")
 
 
-def permute_digits(key: str, tag: str, digits: Column) -> Column:
+def permute_digits(key: Column, tag: str, digits: Column) -> Column:
     """Permutation of the digit strings of one length (2 to 34 digits)."""
     n = F.char_length(digits)
     left = F.floor(n / 2).cast("int")
@@ -130,7 +135,7 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, i: s + term(i))
 
 
-def card(key: str, text: Column) -> Column:
+def card(key: Column, text: Column) -> Column:
     check = lambda body: F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))) % 10, F.lit(10)).cast("string")
 
     def swapped(digits: Column) -> Column:
@@ -140,7 +145,7 @@ def card(key: str, text: Column) -> Column:
     return let(digits_of(text), swapped)
 
 
-def ip(key: str, text: Column) -> Column:
+def ip(key: Column, text: Column) -> Column:
     part = lambda i: F.get(F.split(text, r"\."), F.lit(i)).cast("int")
     valid = (part(0) < 256) & (part(1) < 256) & (part(2) < 256) & (part(3) < 256)
     size = F.lit(1 << 16)
@@ -159,14 +164,14 @@ def mod97(text: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.char_length(text)), F.lit(0), step)
 
 
-def iban(key: str, text: Column) -> Column:
+def iban(key: Column, text: Column) -> Column:
     """Grouped values get the pseudonym of the unspaced form in their own groups."""
     spaced = lambda n: F.trim(F.regexp_replace(n, "(.{4})", "$1 "))
     told = lambda p, n: F.when(n == p, text).when(text.contains(" "), spaced(n)).otherwise(n)
     return let(F.replace(text, F.lit(" "), F.lit("")), lambda p: let(_iban(key, p), lambda n: told(p, n)))
 
 
-def _iban(key: str, text: Column) -> Column:
+def _iban(key: Column, text: Column) -> Column:
     country, bban = F.substring(text, 1, 2), F.substring(text, F.lit(5), F.char_length(text) - 4)
     valid = (mod97(F.concat(bban, F.substring(text, 1, 4))) == 1) & (F.char_length(digits_of(bban)) >= 2)
     check = lambda b: F.lpad((98 - mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
@@ -174,7 +179,7 @@ def _iban(key: str, text: Column) -> Column:
     return F.when(valid, let(new, lambda b: F.concat(country, check(b), b))).otherwise(text)
 
 
-def phone(key: str, text: Column) -> Column:
+def phone(key: Column, text: Column) -> Column:
     """The country code stays; seven digits or more in all are a valid number.
 
     National numbers have ten digits; without brackets, area and exchange begin with
@@ -194,7 +199,7 @@ def phone(key: str, text: Column) -> Column:
     return F.when(text.startswith("+"), abroad).otherwise(refill(text, let(digits_of(text), national)))
 
 
-def ssn(key: str, text: Column) -> Column:
+def ssn(key: Column, text: Column) -> Column:
     area, group, serial = (F.substring(text, *x).cast("int") for x in ((1, 3), (5, 2), (8, 4)))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     rest = (group - 1) * 9999 + serial - 1
@@ -208,7 +213,7 @@ def ssn(key: str, text: Column) -> Column:
     return F.when(valid, let(pair, spelled)).otherwise(text)
 
 
-def date(key: str, text: Column, form: str) -> Column:
+def date(key: Column, text: Column, form: str) -> Column:
     """1900 to 2099 are permuted among themselves, other years within their 400-year cycle.
 
     73049 days are 17 * 4297, 146097 days are 189 * 773: no value leaves its range.
@@ -224,13 +229,13 @@ def date(key: str, text: Column, form: str) -> Column:
     return F.when(day.isNotNull() & (F.year(day) >= 400), F.date_format(new, form)).otherwise(text)
 
 
-def email(key: str, text: Column) -> Column:
-    name = F.substring(F.sha2(F.concat_ws("/", F.lit(key), F.lit("email"), F.lower(text)), 256), 1, 16)
+def email(key: Column, text: Column) -> Column:
+    name = F.substring(F.sha2(F.concat_ws("/", key, F.lit("email"), F.lower(text)), 256), 1, 16)
     return F.concat(F.lit("u"), name, F.regexp_extract(text, "@.*$", 0))
 
 
-def secret(key: str, text: Column) -> Column:
-    digest = F.sha2(F.concat_ws("/", F.lit(key), F.lit("secret"), text), 256)
+def secret(key: Column, text: Column) -> Column:
+    digest = F.sha2(F.concat_ws("/", key, F.lit("secret"), text), 256)
     head = F.regexp_extract(text, f"^{SECRET_HEAD}", 0)
     quoted = F.substring(head, -1, 1).isin('"', "'")
     tail = F.when(quoted, F.substring(head, -1, 1)).otherwise("")
@@ -249,7 +254,7 @@ def kind_of(text: Column) -> Column:
     )
 
 
-def pseudonym(key: str, kind: Column, text: Column) -> Column:
+def pseudonym(key: Column, kind: Column, text: Column) -> Column:
     dotted = F.substring(text, 3, 1) == "."
     return (
         F.when(kind.isNull(), text)
@@ -263,9 +268,25 @@ def pseudonym(key: str, kind: Column, text: Column) -> Column:
     )
 
 
+@lru_cache(maxsize=64)
+def _key_file(folder: str, application: str, key: str) -> str:
+    """File in the shared folder that holds a key, or one drawn for the application; the rows are no part of a plan."""
+    spark = SparkSession.active()
+    path = f"{folder}/pii-key-{secrets.token_hex(8)}"
+    spark.createDataFrame([(key or secrets.token_hex(32),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+def key_column(spark: SparkSession, key: str | None = None) -> Column:
+    """The key as a column that a subquery reads."""
+    path = None if key else spark.conf.get(KEY_FILE_SETTING, None)
+    if not path:
+        path = _key_file(shared_dir(spark), spark.sparkContext.applicationId, key or spark.conf.get(KEY_SETTING, None) or "")
+    return spark.read.text(path).agg(F.first("value")).scalar()
+
+
 def pseudonymise(docs: DataFrame, key: str | None = None, found: str | None = None) -> DataFrame:
     """``docs`` with a pseudonymised ``text``; ``found`` names a column for the number of replaced values."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
     if found and found in docs.columns:
         raise ValueError(f"there is a column {found} already")
     cols = docs.columns
@@ -273,10 +294,10 @@ def pseudonymise(docs: DataFrame, key: str | None = None, found: str | None = No
     text = F.col("row.text")
     safe = F.replace(F.replace(text, F.lit(ESC), F.lit(ESC + "b")), F.lit(MARK), F.lit(ESC + "a"))
     marked = F.regexp_replace(safe, CANDIDATE, f"{MARK}$0{MARK}")
-    rows = rows.withColumn("parts", F.split(marked, MARK))
+    rows = rows.select("row", F.split(marked, MARK).alias("parts"), key_column(docs.sparkSession, key).alias("key"))
     tell = lambda p, i: F.struct(F.when(i % 2 == 1, kind_of(p)).alias("kind"), p.alias("p"))
     rows = rows.withColumn("told", F.when(F.size("parts") > 1, F.transform("parts", tell)))
-    rows = rows.withColumn("new", F.coalesce(F.transform("told", lambda t: pseudonym(key, t["kind"], t["p"])), "parts"))
+    rows = rows.withColumn("new", F.coalesce(F.transform("told", lambda t: pseudonym(F.col("key"), t["kind"], t["p"])), "parts"))
     joined = F.array_join("new", "")
     clean = F.replace(F.replace(joined, F.lit(ESC + "a"), F.lit(MARK)), F.lit(ESC + "b"), F.lit(ESC))
     out = [clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in cols]

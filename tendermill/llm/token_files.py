@@ -5,7 +5,8 @@ of raw little-endian ids (16 bits if the vocabulary fits, else 32) in ascending
 order of ids, and an index file.  The index maps a document id through a
 minimal perfect hash to a slot with the key's fingerprint, the offset of its
 ids and the number of rows, so a keyed read is one probe and one read of the
-payload.  A key that is not in the shard fails the fingerprint.
+payload.  A key that is not in the shard fails the fingerprint or, rarely, the
+comparison with the stored key after it.
 
 Files are written through ``pyarrow.fs`` under the name of the attempt and then
 moved, so that a repeated task replaces its own files and readers never see a
@@ -137,8 +138,12 @@ class Shard:
         """First row and number of rows of each key; no rows for keys that are not here."""
         keys = np.asarray(keys, np.int64).view(np.uint64)
         slot = self.mph(keys)
-        here = (slot >= 0) & (self.marks[slot] == fingerprints(keys)) if len(self.marks) else np.zeros(len(keys), bool)
-        return np.where(here, self.first[slot] if len(self.first) else 0, 0).astype(np.int64), np.where(here, self.count[slot] if len(self.count) else 0, 0).astype(np.int64)
+        if not len(self.marks):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        here = (slot >= 0) & (self.marks[slot] == fingerprints(keys))
+        # The fingerprint turns nearly all foreign keys away; the stored key all others.
+        here &= self.keys[self.first[slot].astype(np.int64)].view(np.uint64) == keys
+        return np.where(here, self.first[slot], 0).astype(np.int64), np.where(here, self.count[slot], 0).astype(np.int64)
 
     def read(self, row: int, rows: int = 1) -> list[np.ndarray]:
         """Ids of ``rows`` rows from ``row`` on."""

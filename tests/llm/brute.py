@@ -5,6 +5,8 @@ import datetime
 import hashlib
 import re
 
+import regex
+
 from tendermill.llm import pii
 
 
@@ -133,7 +135,7 @@ def secret(key, text):
 
 
 def pseudonym(key, text):
-    whole = lambda p: re.fullmatch(p, text, re.A)
+    whole = lambda p: regex.fullmatch(p, text, regex.A)
     if whole(pii.SECRET):
         return secret(key, text)
     if whole(pii.EMAIL):
@@ -156,7 +158,7 @@ def pseudonym(key, text):
 
 
 def pseudonymised(key, text):
-    return None if text is None else re.sub(pii.CANDIDATE, lambda m: pseudonym(key, m[0]), text, flags=re.A)
+    return None if text is None else regex.sub(pii.CANDIDATE, lambda m: pseudonym(key, m[0]), text, flags=regex.A)
 
 
 def shingles(text, size=5):

@@ -315,9 +315,9 @@ def test_values_side_by_side_are_all_replaced(spark):
 
 def test_permutations_are_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
-    assert df.select(pii.permute_digits("k", "t", F.col("d")).alias("x")).distinct().count() == 1000
+    assert df.select(pii.permute_digits(F.lit("k"), "t", F.col("d")).alias("x")).distinct().count() == 1000
     days = spark.range(73_049).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("d"))
-    new = days.select(pii.date("k", F.col("d"), "yyyy-MM-dd").alias("x"))
+    new = days.select(pii.date(F.lit("k"), F.col("d"), "yyyy-MM-dd").alias("x"))
     assert new.distinct().count() == 73_049 and new.where("x not between '1900-01-01' and '2099-12-31'").count() == 0
 
 
