@@ -51,28 +51,9 @@ def decoded_name(name: str, utf8: bool) -> str:
     return re.sub("_+", "_", base).strip("_. ") or "fichier_sans_nom"
 
 
-def members(source: bytes, depth: int = 0) -> Iterator[tuple[int, str, bytes, str]]:
-    """``depth, name, content, warning`` of each file in an archive and those nested in it."""
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(source))
-    except zipfile.BadZipFile:
-        if not depth:
-            raise
-        yield depth, "", b"", "nested archive is damaged"
-        return
-    for info in archive.infolist():
-        parts = [p for p in re.split(r"[/\\]", info.filename) if p]
-        hidden = any(p.startswith("__MACOSX") or (p.startswith(".") and p not in (".", "..")) for p in parts)
-        if info.is_dir() or hidden or not info.file_size:
-            continue
-        name = decoded_name(info.filename, bool(info.flag_bits & 0x800))
-        suffix = name[name.rfind(".") :].lower() if "." in name else ""
-        if suffix in WARNED:
-            yield depth, name, b"", f"format {suffix} is not read"
-        elif suffix == ".zip" and depth < DEPTH:
-            yield from members(archive.read(info), depth + 1)
-        elif suffix in ALLOWED:
-            yield depth, name, archive.read(info), ""
+def is_hidden(path: str) -> bool:
+    parts = [p for p in re.split(r"[/\\]", path) if p]
+    return any(p.startswith("__MACOSX") or (p.startswith(".") and p not in (".", "..")) for p in parts)
 
 
 def _texts(element, tag: str) -> str:
@@ -170,25 +151,11 @@ def text_of(name: str, content: bytes, most_pages: int | None = None) -> tuple[s
     return "\n".join("\t".join(x) for x in rows.values()), None
 
 
-def read_archives(spark: SparkSession, path: str, most_bytes: int = 2 << 30) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, most_bytes: int | None = None) -> DataFrame:
     """``archive, depth, name, size, text, page_count, warning`` of the files in the ZIP archives under ``path``."""
+    from tendermill.sources import zip_ranges  # which reads texts as this module does
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, content in zip(frame["path"], frame["content"]):
-                try:
-                    for depth, name, data, warning in members(bytes(content)):
-                        yield pd.DataFrame([(archive, depth, name, len(data), *text_of(name, data), warning)], columns=names).astype({"page_count": "Int32"})
-                except zipfile.BadZipFile:
-                    yield pd.DataFrame([(archive, 0, "", 0, "", None, "archive is damaged")], columns=names).astype({"page_count": "Int32"})
-
-    names = ["archive", "depth", "name", "size", "text", "page_count", "warning"]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    small = files.where(F.col("length") <= most_bytes).select("path", "content")
-    read = small.mapInPandas(unpack, "archive string, depth int, name string, size long, text string, page_count int, warning string")
-    large = files.where(F.col("length") > most_bytes)
-    told = F.lit("archive is over the size limit")
-    return read.unionByName(large.select(F.col("path").alias("archive"), F.lit(0).alias("depth"), F.lit("").alias("name"), F.col("length").alias("size"), F.lit("").alias("text"), F.lit(None).cast("int").alias("page_count"), told.alias("warning")))
+    return zip_ranges.read(spark, path, most_bytes)
 
 
 def read_texts(spark: SparkSession, path: str, most_pages: int | None = None) -> DataFrame:
