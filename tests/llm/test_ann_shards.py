@@ -40,3 +40,17 @@ def test_ties_at_the_last_rank(spark):
     rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, float(np.cos(i)), float(np.sin(i))]) for i in range(1, 60)]
     got = sorted(ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard=25).where("query_id = 0").collect(), key=lambda r: r["rank"])
     assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {0.5}
+
+
+@pytest.mark.parametrize("kind", ["normal", "unit"])
+def test_beams_are_as_wide_as_the_vectors_ask_for(kind):
+    """Plain normal vectors have unequal norms and so queries far from all points."""
+    x = np.random.default_rng(7).normal(size=(3000, 64))
+    x = x / np.linalg.norm(x, axis=1)[:, None] if kind == "unit" else x
+    graph = ann.Graph.build(ann.lifted(x))
+    ef = ann.calibrated(graph, x)
+    q = x[:150]
+    exact = np.argsort(-(q @ x.T), axis=1)[:, :20]
+    found = graph.search(np.pad(q, ((0, 0), (0, 1))), 21, ef)
+    shares = [np.isin(e, f).mean() for e, f in zip(exact, found)]
+    assert np.mean(shares) >= 0.95 and (ef == ann.EF_SEARCH or kind == "normal")
