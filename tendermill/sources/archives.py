@@ -1,24 +1,27 @@
 """Archives and office files as rows.
 
 Files are read with Spark's ``binaryFile`` source, so listing and reading are
-distributed; each task unpacks the files of its partition with the standard
-library and yields rows one by one.  Legacy XLS needs a library that is not here
-and gives an empty text, as any unreadable file does.
+distributed; each task unpacks the files of its partition and yields rows one by
+one.  Unreadable files give an empty text and no cells.
 """
 
 from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tendermill.operators.lots import detection
+from tendermill.sources import xls
 from tendermill.sources.pdf import pages_of
 
 # Suffixes that are taken in, formats that only warn, and nesting depth.
@@ -121,11 +124,15 @@ def ods_cells(content: bytes) -> Iterator[tuple[str, int, int, str, bool]]:
 
 
 def cells_of(name: str, content: bytes) -> Iterator[tuple[str, int, int, str, bool]]:
-    read = ods_cells if name.lower().endswith(".ods") else xlsx_cells if name.lower().endswith((".xlsx", ".xlsm")) else None
+    low = name.lower()
+    read = ods_cells if low.endswith(".ods") else xlsx_cells if low.endswith((".xlsx", ".xlsm")) else xls.cells if low.endswith(".xls") else None
     if read:
+        # Files named after another format than their own are read as what they are.
+        if read in (xls.cells, xlsx_cells):
+            read = xls.cells if content.startswith(xls.MAGIC) else xlsx_cells
         try:
             yield from list(read(content))
-        except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+        except (zipfile.BadZipFile, KeyError, IndexError, ElementTree.ParseError, xls.Damaged, struct.error):
             return
 
 
@@ -179,13 +186,28 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
                 found = [(book, *x) for x in cells_of(book, bytes(content))]
                 yield pd.DataFrame(found, columns=["book", "sheet", "row", "col", "value", "is_text"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,ods}").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,xls,ods}").load(path)
     return files.select("path", "content").mapInPandas(unpack, "book string, sheet string, row int, col int, value string, is_text boolean")
 
 
 def locked_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """``book, d``: the pseudo-lot that stands for a workbook under a password, whose container is not the usual one."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm}").load(path)
-    locked = F.substring(F.hex(F.substring("content", 1, 8)), 1, 16) == "D0CF11E0A1B11AE1"
+    """``book, d``: the pseudo-lot that stands for a workbook under a password.
+
+    A task opens the files of its rows and reads their first sectors.
+    """
+
+    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame[[_is_locked(book) for book in frame["book"]]]
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,xlsm,xls}").load(path)
+    locked = files.select(F.col("path").alias("book")).mapInPandas(tell, "book string")
     told = F.lit("Fichier Excel protégé — ouvrez-le et renvoyez-le sans protection")
-    return files.where(locked).select(F.col("path").alias("book"), detection(F.lit("!!"), told, 0, "error").alias("d"))
+    return locked.select("book", detection(F.lit("!!"), told, 0, "error").alias("d"))
+
+
+def _is_locked(path: str) -> bool:
+    fs, at = pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    with fs.open_input_file(at) as f:
+        # A workbook of the newer format in such a container is an encrypted one, whatever else it holds.
+        return f.read(8) == xls.MAGIC and (not path.lower().endswith(".xls") or xls.is_locked(f))
