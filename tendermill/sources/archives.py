@@ -144,7 +144,7 @@ def text_of(name: str, content: bytes, most_pages: int | None = None) -> tuple[s
     if low.endswith(".pdf"):
         try:
             pages = pages_of(content, most_pages)
-        except (ValueError, IndexError, TypeError, RecursionError):
+        except (ValueError, IndexError, TypeError, KeyError, AttributeError, RecursionError, struct.error):
             return "", None
         return "\n\n".join(x for x in pages if x), len(pages) or None
     if low.endswith(".docx"):
