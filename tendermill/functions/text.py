@@ -205,12 +205,83 @@ def first_object(text: Column) -> Column:
     return F.when((found > 0) & (end > 0), F.left(tail, end))
 
 
+#: Pieces of a JSON text: whole and cut-off strings in either quotes, brackets and marks, and bare words with the blanks within.
+_JSON_PIECE = r"""(?s)"(?:[^"\\]|\\.)*(?:"|\\?\z)|'(?:[^'\\]|\\.)*(?:'(?=\s*[:,}\]])|\\?\z)|[{}\[\],:]|[^\s{}\[\],:"](?:[^{}\[\],:"\n]*[^\s{}\[\],:"])?"""
+
+
+def _json_string(piece: Column) -> Column:
+    """A string of JSON from a quoted or bare piece; line breaks and tabs within are escaped, a cut-off end is closed."""
+    quote = F.left(piece, F.lit(1))
+    quoted = quote.isin('"', "'")
+    body = F.when(quoted, F.substring(piece, F.lit(2), F.char_length(piece))).otherwise(piece)
+    body = F.when(quoted & F.endswith(body, quote) & ~body.rlike(r"(?<!\\)(?:\\\\)*\\.\z"), F.left(body, F.char_length(body) - 1)).otherwise(body)
+    body = F.regexp_replace(body, r"(?<!\\)((?:\\\\)*)\\(?:u[0-9A-Fa-f]{0,3})?\z", "$1")
+    body = F.when(quote == "'", F.regexp_replace(F.replace(body, F.lit("\\'"), F.lit("'")), '(?<!\\\\)"', '\\\\"')).otherwise(body)
+    body = F.when(quoted, body).otherwise(F.replace(body, F.lit("\\"), F.lit("\\\\")))
+    for raw, spelt in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        body = F.replace(body, F.lit(raw), F.lit(spelt))
+    return F.concat(F.lit('"'), body, F.lit('"'))
+
+
+def _json_scalar(piece: Column) -> Column:
+    low = F.lower(piece)
+    word = F.when(low.isin("true", "false", "null"), low).when(low == "none", "null")
+    return F.when(piece.rlike(r"^-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?$"), piece).otherwise(F.coalesce(word, _json_string(piece)))
+
+
+def repaired_json(text: Column) -> Column:
+    """The object that begins at the first brace, as JSON, whatever of it is there.
+
+    An automaton passes over the pieces with a stack of open brackets and what
+    it waits for next: a key, a colon, a value or a separator.  Cut-off strings
+    and open brackets are closed, bare keys and words quoted, missing colons,
+    commas and values put in (a missing value is an empty text), spare commas
+    dropped, brackets that do not match closed in order, and what follows the
+    object is left out.  NULL without a brace.
+    """
+    pieces = F.regexp_extract_all(F.substring(text, F.instr(text, "{"), F.char_length(text)), F.lit(_JSON_PIECE), 0)
+    state = lambda out, stack, wants, done: F.struct(out.alias("out"), stack.alias("stack"), wants.alias("wants"), done.alias("done"))
+    no = F.lit(False)
+
+    def whole(s: Column) -> Column:
+        """What is written so far, fit for a closing bracket."""
+        bare = F.regexp_replace(s["out"], ",$", "")
+        return F.when(s["wants"] == ":", F.concat(s["out"], F.lit(':""'))).when((s["wants"] == "v") & s["out"].endswith(":"), F.concat(s["out"], F.lit('""'))).otherwise(bare)
+
+    def closed(s: Column, opening: str, closing: str, other: str) -> Column:
+        """The nearest bracket of the kind is closed, and those opened since."""
+        last = F.char_length(s["stack"]) + 1 - F.instr(F.reverse(s["stack"]), opening)
+        out = F.concat(whole(s), F.repeat(F.lit(other), F.char_length(s["stack"]) - last), F.lit(closing))
+        return F.when(F.instr(s["stack"], opening) == 0, s).otherwise(state(out, F.left(s["stack"], last - 1), F.lit(","), last == 1))
+
+    def step(s: Column, piece: Column) -> Column:
+        wants, inside = s["wants"], F.substring(s["stack"], -1, 1)
+        after = F.when(inside == "{", "k").otherwise("v")
+        # A key or value where a separator or colon should be has that put before it.
+        missing = F.when(wants == ",", ",").when(wants == ":", ":").otherwise("")
+        place = F.when(wants == ",", after).when(wants == ":", "v").otherwise(wants)
+        before = F.concat(s["out"], missing)
+        opened = state(F.concat(before, piece), F.concat(s["stack"], piece), F.when(piece == "{", "k").otherwise("v"), no)
+        comma = F.when((wants == "v") & s["out"].endswith(":"), F.concat(s["out"], F.lit('"",'))).when(wants == ":", F.concat(s["out"], F.lit(':"",'))).when(wants == ",", F.concat(s["out"], F.lit(",")))
+        word = F.when(place == "k", _json_string(piece)).otherwise(F.when(piece.rlike("^[\"']"), _json_string(piece)).otherwise(_json_scalar(piece)))
+        return (
+            F.when(s["done"], s)
+            .when(piece.isin("{", "["), F.when((place == "k") & (F.char_length(s["stack"]) > 0), s).otherwise(opened))
+            .when(piece == "}", closed(s, "{", "}", "]")).when(piece == "]", closed(s, "[", "]", "}"))
+            .when(piece == ",", F.when(comma.isNull(), s).otherwise(state(F.coalesce(comma, s["out"]), s["stack"], after, no)))
+            .when(piece == ":", F.when(wants == ":", state(F.concat(s["out"], F.lit(":")), s["stack"], F.lit("v"), no)).otherwise(s))
+            .otherwise(state(F.concat(before, word), s["stack"], F.when(place == "k", ":").otherwise(","), no))
+        )
+
+    end = lambda s: F.when(s["done"], s["out"]).otherwise(F.concat(whole(s), F.translate(F.reverse(s["stack"]), "{[", "}]")))
+    start = state(F.lit(""), F.lit(""), F.lit("v"), no)
+    return F.when(F.instr(text, "{") > 0, F.aggregate(pieces, start, step, end))
+
+
 def lenient_json(text: Column, skeleton: str) -> Column:
-    """The first object of a text as JSON; with trailing commas taken out if it does not parse so; else the skeleton."""
-    first = first_object(text)
-    mended = F.regexp_replace(F.coalesce(first, F.concat(F.substring(text, F.instr(text, "{"), F.char_length(text)), F.lit("}"))), r",(\s*[}\]])", "$1")
+    """The first object of a text as JSON, repaired if it does not parse; the skeleton without one."""
     valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
-    return F.when(F.instr(text, "{") == 0, F.lit(skeleton)).otherwise(F.coalesce(valid(first), valid(mended), F.lit(skeleton)))
+    return F.coalesce(valid(first_object(text)), valid(repaired_json(text)), F.lit(skeleton))
 
 
 def whole_days(at: Column, now: Column) -> Column:

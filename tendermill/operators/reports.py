@@ -184,10 +184,8 @@ def enum_rank(value: Column, names) -> Column:
 
 
 def french_key(name: Column) -> Column:
-    """Sort key of French names: letters without their accents and case first, the name itself to tell equals apart."""
-    from tendermill.functions.text import without_accents
-
-    return F.struct(F.lower(without_accents(name)).alias("plain"), name.alias("name"))
+    """French names in the order of a French dictionary: letters first, then accents, then small before capital letters."""
+    return F.collate(name, "fr")
 
 
 def placed(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -58,36 +58,36 @@ _ASKED_TYPES = ["kbis", "urssaf", None, "rib"]
 
 
 def _tables(spark, sf_dir):
-    """Requirements from parts, documents of 100 projects from orders, company documents of 10 organisations from customers."""
+    """Requirements from parts (20 a project), documents from orders (keys by 300), company documents from customers (150 a company)."""
     k = c("p_partkey")
     asked = t(spark, sf_dir, "part").select(
-        k, (k % 100).alias("project_id"), (k % 10).alias("organization_id"), _pick(_ASKED, k).alias("exigence"), _pick(["candidature", "offre", "technique"], k).alias("category"),
+        k, F.floor(k / 20).alias("project_id"), F.floor(k / 200).alias("organization_id"), _pick(_ASKED, k).alias("exigence"), _pick(["candidature", "offre", "technique"], k).alias("category"),
         F.when(k % 2 == 1, "dce_template").otherwise("vault").alias("source_kind"), F.when(k % 5 != 0, _pick(["dc1_template", "dc2_template"], F.floor(k / 100))).alias("expected_template_type"),
     )
     o = c("o_orderkey")
-    documents = t(spark, sf_dir, "orders").where("o_orderkey <= 300").select(
-        o.alias("id"), (o % 60).alias("project_id"), F.when(o % 2 == 0, "dc1_template").otherwise("dc2_template").alias("type"), F.concat(F.lit("f"), o.cast("string")).alias("file_name"),
+    documents = t(spark, sf_dir, "orders").select(
+        o.alias("id"), F.floor(o / 300).alias("project_id"), F.when(o % 2 == 0, "dc1_template").otherwise("dc2_template").alias("type"), F.concat(F.lit("f"), o.cast("string")).alias("file_name"),
         (c("o_orderstatus") == "F").alias("is_user_completed"),
     )
     v = c("c_custkey")
-    vault = t(spark, sf_dir, "customer").where("c_custkey <= 40").select(
-        v.alias("id"), (v % 10).alias("organization_id"), F.when(v % 3 == 0, "Kbis").when(v % 3 == 1, "urssaf").alias("type"), _pick(["valid", "expired", "expiring_soon"], v).alias("status"),
+    vault = t(spark, sf_dir, "customer").select(
+        v.alias("id"), F.floor(v / 150).alias("organization_id"), F.when(v % 3 == 0, "Kbis").when(v % 3 == 1, "urssaf").alias("type"), _pick(["valid", "expired", "expiring_soon"], v).alias("status"),
         F.when(v % 4 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (v % 9).cast("int"))).alias("expiry_date"), F.when(v % 11 == 0, F.lit("2020-01-01").cast("timestamp_ntz")).alias("deleted_at"),
     )
     return asked, documents, vault
 
 
 _BUILD_SQL = f"""
-WITH a AS (SELECT p_partkey, p_partkey % 100 AS project_id, p_partkey % 10 AS org, {_pick_sql(_ASKED, 'p_partkey')} AS exigence, p_partkey % 2 = 1 AS tpl,
+WITH a AS (SELECT p_partkey, p_partkey // 20 AS project_id, p_partkey // 200 AS org, {_pick_sql(_ASKED, 'p_partkey')} AS exigence, p_partkey % 2 = 1 AS tpl,
     CASE WHEN p_partkey % 5 <> 0 THEN {_pick_sql(['dc1_template', 'dc2_template'], '(p_partkey // 100)')} END AS want, {_pick_sql(_ASKED_TYPES, 'p_partkey')} AS vtype
   FROM part WHERE p_partkey % 3 <> 2),
-d AS (SELECT o_orderkey % 60 AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'dc1_template' ELSE 'dc2_template' END AS type,
-    min(o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS blank, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders WHERE o_orderkey <= 300 GROUP BY ALL),
-v AS (SELECT * FROM (SELECT c_custkey AS id, c_custkey % 10 AS org, coalesce(['kbis', 'urssaf', 'autre'][(c_custkey % 3)::INTEGER + 1], 'autre') AS type,
+d AS (SELECT o_orderkey // 300 AS project_id, CASE WHEN o_orderkey % 2 = 0 THEN 'dc1_template' ELSE 'dc2_template' END AS type,
+    min(o_orderkey) FILTER (WHERE o_orderstatus <> 'F') AS blank, min(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY ALL),
+v AS (SELECT * FROM (SELECT c_custkey AS id, c_custkey // 150 AS org, coalesce(['kbis', 'urssaf', 'autre'][(c_custkey % 3)::INTEGER + 1], 'autre') AS type,
     ['valid', 'expired', 'expiring_soon'][(c_custkey % 3)::INTEGER + 1] AS status, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 9 END AS expiry
-  FROM customer WHERE c_custkey <= 40 AND c_custkey % 11 <> 0)
+  FROM customer WHERE c_custkey % 11 <> 0)
   QUALIFY row_number() OVER (PARTITION BY org, type ORDER BY status = 'expired', expiry DESC NULLS FIRST, id) = 1)
-SELECT p_partkey % 100 AS project_id, exigence, CASE WHEN tpl THEN coalesce(want, 'autre') ELSE coalesce(vtype, 'autre') END AS document_type_required,
+SELECT p_partkey // 20 AS project_id, exigence, CASE WHEN tpl THEN coalesce(want, 'autre') ELSE coalesce(vtype, 'autre') END AS document_type_required,
   CASE WHEN tpl THEN 'dce_template' ELSE 'vault' END AS source_kind, v.id AS linked_document_id, blank AS template_project_doc_id, CASE WHEN blank IS NOT NULL THEN done END AS completed_project_doc_id,
   CASE WHEN blank IS NOT NULL AND done IS NOT NULL THEN 'present' WHEN v.id IS NULL THEN 'manquant' WHEN status = 'expired' THEN 'expire' WHEN status = 'expiring_soon' THEN 'expiration_proche' ELSE 'present' END AS status,
   CASE WHEN NOT tpl THEN exigence WHEN want IS NULL THEN exigence || ' — type de template DCE non précisé par l''IA.'
@@ -103,8 +103,8 @@ def checklist_build(spark, sf_dir):
 
 
 @query("""
-SELECT c_custkey % 10 AS organization_id, coalesce(['kbis', 'urssaf', 'autre'][(c_custkey % 3)::INTEGER + 1], 'autre') AS type, list(c_custkey ORDER BY c_custkey) AS ids
-FROM customer WHERE c_custkey <= 40 GROUP BY ALL""")
+SELECT c_custkey // 150 AS organization_id, coalesce(['kbis', 'urssaf', 'autre'][(c_custkey % 3)::INTEGER + 1], 'autre') AS type, list(c_custkey ORDER BY c_custkey) AS ids
+FROM customer GROUP BY ALL""")
 def vault_index(spark, sf_dir):
     return checklist.vault_index(_tables(spark, sf_dir)[2])
 
@@ -144,10 +144,10 @@ def checklist_patch(spark, sf_dir):
 @query(f"""
 SELECT l_orderkey AS project_id, l_linenumber AS n, coalesce(id, l_partkey) AS linked_document_id,
   CASE WHEN id IS NULL THEN {_STATUS_SQL} WHEN status = 'expired' THEN 'expire' WHEN status = 'expiring_soon' THEN 'expiration_proche' ELSE 'present' END AS status
-FROM lineitem LEFT JOIN (SELECT c_custkey AS id, c_custkey % 10 AS org, ['valid', 'expired', 'expiring_soon'][(c_custkey % 3)::INTEGER + 1] AS status FROM customer WHERE c_custkey <= 40)
-ON l_linenumber % 2 = 0 AND id = l_partkey % 40 AND org = l_orderkey % 10""")
+FROM lineitem LEFT JOIN (SELECT c_custkey AS id, c_custkey // 150 AS org, ['valid', 'expired', 'expiring_soon'][(c_custkey % 3)::INTEGER + 1] AS status FROM customer)
+ON l_linenumber % 2 = 0 AND id = l_partkey AND org = l_orderkey % 10""")
 def checklist_link(spark, sf_dir):
-    asked = _items(spark, sf_dir).withColumn("link_to", c("linked_document_id") % 40)
+    asked = _items(spark, sf_dir).withColumn("link_to", c("linked_document_id"))
     return checklist.linked_item(asked, _tables(spark, sf_dir)[2]).select("project_id", "n", "linked_document_id", "status")
 
 
@@ -175,8 +175,8 @@ def checklist_category(spark, sf_dir):
 @query(f"""
 WITH v AS (SELECT c_custkey AS id, coalesce(['kbis', 'urssaf', 'autre'][(c_custkey % 3)::INTEGER + 1], 'autre') AS type FROM customer)
 SELECT s_suppkey, sum((type = want OR want IN ('autre', ''))::INTEGER)::BIGINT AS candidates, sum((type <> want)::INTEGER)::BIGINT AS others
-FROM (SELECT s_suppkey, ['kbis', 'autre', ''][(s_suppkey % 3)::INTEGER + 1] AS want FROM supplier), v WHERE v.id <= 40 AND contains(v.id::VARCHAR, '1') GROUP BY s_suppkey""")
+FROM (SELECT s_suppkey, ['kbis', 'autre', ''][(s_suppkey % 3)::INTEGER + 1] AS want FROM supplier), v WHERE contains(v.id::VARCHAR, '1') GROUP BY s_suppkey""")
 def vault_picker(spark, sf_dir):
-    vault = t(spark, sf_dir, "customer").where("c_custkey <= 40").select(F.when(c("c_custkey") % 3 == 0, "kbis").when(c("c_custkey") % 3 == 1, "urssaf").otherwise("autre").alias("type"), c("c_custkey").cast("string").alias("file_name"))
+    vault = t(spark, sf_dir, "customer").select(F.when(c("c_custkey") % 3 == 0, "kbis").when(c("c_custkey") % 3 == 1, "urssaf").otherwise("autre").alias("type"), c("c_custkey").cast("string").alias("file_name"))
     asked = t(spark, sf_dir, "supplier").select("s_suppkey", _pick(["kbis", "autre", ""], c("s_suppkey")).alias("want"))
     return checklist.picker(vault, asked, "want", "1").groupBy("s_suppkey").agg(F.sum("candidates").alias("candidates"), F.sum("others").alias("others"))

@@ -231,10 +231,10 @@ def latest_first(spark, sf_dir):
 
 @query(f"""
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN 9999 ELSE date_diff('day', DATE '{ORDERS_ASOF}', o_orderdate::DATE) END, o_orderkey)::INTEGER AS by_deadline,
-  row_number() OVER (PARTITION BY o_custkey ORDER BY ['ecole', 'eglise', 'elan', 'zoo'][(o_orderkey % 4)::INTEGER + 1], ['École', 'église', 'Élan', 'zoo'][(o_orderkey % 4)::INTEGER + 1], o_orderkey)::INTEGER AS by_name FROM orders""")
+  row_number() OVER (PARTITION BY o_custkey ORDER BY ['École', 'ecole', 'Élan', 'Ecole', 'zoo', 'été', 'école', 'Zoo'][(o_orderkey // 3 % 8)::INTEGER + 1] COLLATE fr, o_orderkey)::INTEGER AS by_name FROM orders""")
 def project_sorts(spark, sf_dir):
     days = F.coalesce(F.when(c("o_orderstatus") != "P", F.datediff(c("o_orderdate").cast("date"), F.lit(ORDERS_ASOF).cast("date"))), F.lit(9999))
-    name = F.element_at(F.array(*map(F.lit, ("École", "église", "Élan", "zoo"))), (c("o_orderkey") % 4 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("École", "ecole", "Élan", "Ecole", "zoo", "été", "école", "Zoo"))), (F.floor(c("o_orderkey") / 3) % 8 + 1).cast("int"))
     rows = reports.placed(t(spark, sf_dir, "orders"), ["o_custkey"], days, c("o_orderkey")).withColumnRenamed("place", "by_deadline")
     return reports.placed(rows, ["o_custkey"], reports.french_key(name), c("o_orderkey")).withColumnRenamed("place", "by_name").select("o_custkey", "o_orderkey", "by_deadline", "by_name")
 

@@ -268,12 +268,12 @@ def semi_linked(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey FROM part WHERE lower(trim(p_name)) NOT IN (SELECT lower(trim(p_name)) FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 45)""")
+SELECT p_partkey FROM part WHERE lower(trim(p_name)) || ' ' || p_size NOT IN (SELECT lower(trim(p_name)) || ' ' || p_size FROM part JOIN lineitem ON l_partkey = p_partkey WHERE l_quantity > 49)""")
 def anti_new(spark, sf_dir):
     """Files whose name no known file has, without regard to case and blanks at the ends."""
-    key = F.lower(F.trim("p_name")).alias("key")
+    key = F.concat_ws(" ", F.lower(F.trim("p_name")), c("p_size").cast("string")).alias("key")
     parts = t(spark, sf_dir, "part").select("p_partkey", key)
-    known = parts.join(t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(c("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("key")
+    known = parts.join(t(spark, sf_dir, "lineitem").where("l_quantity > 49").select(c("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("key")
     return parts.join(known, "key", "left_anti").select("p_partkey")
 
 

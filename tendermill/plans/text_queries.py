@@ -63,12 +63,17 @@ def disposition(spark, sf_dir):
     return dealt(spark, sf_dir, ["a b.pdf", "été.pdf"]).select("p_partkey", text.disposition(c("x0")).alias("header"))
 
 
-_RAW = ['Voici : {"a": {"b": "x}"}} et {"c": 1}', "rien", '{"a": [1, 2,],}', '{"a": "non fermé', '{"q": "\\"}", "n": 2} fin']
-
-
-@query(expected("json", [('{"a": {"b": "x}"}}',), ('{"a":0}',), ('{"a": [1, 2]}',), ('{"a":0}',), ('{"q": "\\"}", "n": 2}',)]))
+@query("""
+SELECT event_id, props AS whole, CAST(json_extract_string(props, '$.k') AS INTEGER) AS cut_off, 'x' || event_id AS unclosed FROM events""")
 def json_first_object(spark, sf_dir):
-    return dealt(spark, sf_dir, _RAW).select("p_partkey", text.lenient_json(c("x0"), '{"a":0}').alias("json"))
+    """Objects within a text, and objects cut off before a bracket or within a string."""
+    props = c("props")
+    whole = text.lenient_json(F.concat(F.lit("Voici : "), props, F.lit(' et {"c": 1}')), "{}")
+    cut_off = text.lenient_json(F.concat(F.lit("Voici : "), F.left(props, F.char_length(props) - 1)), "{}")
+    unclosed = text.lenient_json(F.concat(F.left(props, F.char_length(props) - 1), F.lit(', "s": "x'), c("event_id").cast("string")), "{}")
+    return t(spark, sf_dir, "events").select(
+        "event_id", whole.alias("whole"), F.get_json_object(cut_off, "$.k").cast("int").alias("cut_off"), F.get_json_object(unclosed, "$.s").alias("unclosed")
+    )
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN c_name ELSE 'défaut' END AS historique, CASE c_custkey % 3 WHEN 0 THEN 'intro' || chr(10) || chr(10) || 'a2' ELSE 'b1' END AS flat FROM customer")
