@@ -16,12 +16,14 @@ each with the least id as its owner.
 
 *Compile.*  Owners hand in the words of their passages.  Passages are dealt to
 shards by home, and each shard becomes an Aho-Corasick automaton
-(pyahocorasick) whose patterns are the anchor phrases, with the passages around
-them.
+(pyahocorasick) whose patterns are the anchor phrases, with a table of the
+windows of its passages beside it.
 
 *Stream.*  Stretches go to the shards of their homes and are streamed through
-the automata.  A hit is extended to both sides word by word; ``window`` or more
-common words are an occurrence, to be removed if its owner has a smaller id.
+the automata.  The windows around a hit are looked up in the table, each once, and
+compared with the passage word by word; one whose owner has a smaller id is an
+occurrence.  So the work is in proportion to the text, however often a phrase
+recurs within it.
 A shard with many passages is cut into several automata and one with many
 stretches into several tasks, which meet each other, so neither a passage that
 a third of all documents share nor a phrase with many passages around it
@@ -218,7 +220,7 @@ def _passages(window: int):
 
 
 class Automaton:
-    """Anchor phrases of a shard's passages.
+    """Anchor phrases and windows of a shard's passages.
 
     A word is three letters of three alphabets, so that a node has few children
     and phrases begin at words only; passages have one letter a word.
@@ -232,20 +234,24 @@ class Automaton:
         self.spelt: dict[bytes, str] = {}
         self.texts: list[str] = []
         passages = sorted(passages, key=lambda p: (p[0], -len(p[1])))
-        self.owners = [owner for owner, _ in passages]
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        hashes = WordHashes()
-        for n, (_, raw) in enumerate(passages):
-            r = Reading([raw], hashes, window)
+        self.hashes, windows = WordHashes(), []
+        for _, raw in passages:
+            r = Reading([raw], self.hashes, window)
             words = r.words[0]
             self.texts.append("".join([self.letters.get(w) or self._letter(w) for w in words]))
-            phrases = _rolling(r.h, self.size)
-            for at in np.flatnonzero(np.isin(phrases, r.anchor)).tolist():
-                phrase = "".join([self.spelt[w] for w in words[at : at + self.size]])
-                if (places := self.machine.get(phrase, None)) is None:
-                    self.machine.add_word(phrase, places := [])
-                places.append((n, at))
+            _, first = np.unique(phrases := _rolling(r.h, self.size), return_index=True)
+            for at in first[np.isin(phrases[first], r.anchor)].tolist():
+                self.machine.add_word("".join([self.spelt[w] for w in words[at : at + self.size]]), True)
+            windows.append(_rolling(r.h, window))
         self.machine.make_automaton()
+        # Each window once, with the least owner that has it: passages are in the order of owners, and the first of equals counts.
+        every = np.concatenate(windows) if windows else np.empty(0, np.uint64)
+        sizes = np.fromiter(map(len, windows), np.int64, len(windows))
+        self.known, first = np.unique(every, return_index=True)
+        self.passage = np.repeat(np.arange(len(sizes)), sizes)[first]
+        self.place = first - (np.cumsum(sizes) - sizes)[self.passage]
+        self.owner = np.array([owner for owner, _ in passages], np.int64)[self.passage] if passages else np.empty(0, np.int64)
 
     def _letter(self, word: bytes) -> str:
         n = len(self.letters) + 1
@@ -255,49 +261,45 @@ class Automaton:
         self.letters[word] = chr(n if n < 0xD800 else n + 0x800)
         return self.letters[word]
 
-    def occurrences(self, words: list[bytes], doc_id: int) -> list[tuple[int, int]]:
-        """Intervals of ``words`` that passages with smaller owners cover."""
-        letters, spelt, n = self.letters, self.spelt, len(words)
-        text = "".join([letters.get(w, "\0") for w in words])
-        done: dict[tuple[int, int], int] = {}
-        covered = bytearray(n)
-        for end, places in self.machine.iter("".join([spelt.get(w, "\0\0\0") for w in words])):
-            at = (end + 1) // 3 - self.size
-            for passage, place in places:
-                if self.owners[passage] >= doc_id:
-                    break  # places are in the order of owners
-                first, last = max(0, at - place), min(n, at - place + len(self.texts[passage]))
-                # Nothing to gain where all that the passage can reach is covered, or from an alignment that is known.
-                if last - first < self.window or covered.find(0, first, last) < 0 or done.get((passage, at - place), -1) > at:
-                    continue
-                s, e = self._extend(text, at, self.texts[passage], place)
-                done[passage, at - place] = e
-                if e - s >= self.window:
-                    covered[s:e] = b"\1" * (e - s)
-        bounds = np.flatnonzero(np.diff(np.frombuffer(covered, np.int8), prepend=0, append=0))
+    def occurrences(self, raw: bytes, doc_id: int) -> list[tuple[int, int]]:
+        """Intervals of the words of ``raw`` that windows with smaller owners cover."""
+        r = Reading([raw], self.hashes, self.window)
+        words, n = r.words[0], len(r.at)
+        if not n or not len(self.known):
+            return []
+        hits = [end for end, _ in self.machine.iter("".join([self.spelt.get(w, "\0\0\0") for w in words]))]
+        if not hits:
+            return []
+        # Windows that hold a hit.
+        at = (np.array(hits) + 1) // 3 - self.size
+        near = np.zeros(n + 1, np.int64)
+        np.add.at(near, np.clip(at + self.size - self.window, 0, n), 1)
+        np.add.at(near, np.clip(at + 1, 0, n), -1)
+        mine = _rolling(r.h, self.window)
+        row = np.minimum(np.searchsorted(self.known, mine), len(self.known) - 1)
+        found = np.flatnonzero((self.known[row] == mine) & (self.owner[row] < doc_id) & (np.cumsum(near[:n]) > 0))
+        if not len(found):
+            return []
+        row = row[found]
+        passage, place = self.passage[row], self.place[row]
+        new = np.flatnonzero((np.diff(found) != 1) | (np.diff(passage) != 0) | (np.diff(place) != 1)) + 1
+        text = "".join([self.letters.get(w, "\0") for w in words])
+        covered = np.zeros(len(words) + 1, np.int64)
+        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(found)]):
+            self._compare(text, covered, int(found[s]), int(passage[s]), int(place[s]), e - s)
+        bounds = np.flatnonzero(np.diff(np.cumsum(covered) > 0, prepend=False, append=False))
         return list(zip(bounds[::2].tolist(), bounds[1::2].tolist()))
 
-    def _extend(self, text: str, at: int, passage: str, place: int) -> tuple[int, int]:
-        """The longest common run around a common phrase."""
-        after, most = self.size, min(len(text) - at, len(passage) - place)
-        while after < most:
-            step = min(after, most - after)
-            if text[at + after : at + after + step] == passage[place + after : place + after + step]:
-                after += step
-                continue
-            while text[at + after] == passage[place + after]:
-                after += 1
-            break
-        before, most = 0, min(at, place)
-        while before < most:
-            step = min(before + 16, most - before)
-            if text[at - before - step : at - before] == passage[place - before - step : place - before]:
-                before += step
-                continue
-            while text[at - before - 1] == passage[place - before - 1]:
-                before += 1
-            break
-        return at - before, at + after
+    def _compare(self, text: str, covered: np.ndarray, start: int, passage: int, place: int, windows: int) -> None:
+        """Mark the words of ``windows`` windows that follow each other in text and passage; if their words differ somewhere, those windows that are equal."""
+        size = windows + self.window - 1
+        if text[start : start + size] == self.texts[passage][place : place + size]:
+            covered[start] += 1
+            covered[start + size] -= 1
+        elif windows > 1:
+            half = windows // 2
+            self._compare(text, covered, start, passage, place, half)
+            self._compare(text, covered, start + half, passage, place + half, windows - half)
 
 
 FOUND = pa.schema([("home", pa.int64()), ("sid", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
@@ -310,7 +312,7 @@ def _locate(window: int):
         machine = Automaton(list(zip(passages["owner"].to_pylist(), passages["text"].to_pylist())), window)
         rows, cuts = [], []
         for i, (owner, raw) in enumerate(zip(stretches["owner"], stretches["text"])):
-            found = machine.occurrences(raw.as_py().split(), owner.as_py())
+            found = machine.occurrences(raw.as_py(), owner.as_py())
             cuts += found
             rows += [i] * len(found)
         rows, (s, e) = pa.array(rows, pa.int64()), zip(*cuts) if cuts else ((), ())
