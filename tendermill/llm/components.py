@@ -16,7 +16,7 @@ from tendermill.llm.common import materialise, new_path, remove
 
 
 #: Neighbours of a hub at least, and hubs at most: their table is broadcast.
-HUB, HUBS = 1000, 1_000_000
+HUB, HUBS = 100_000, 100_000
 
 
 def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
@@ -24,8 +24,11 @@ def _with_least(edges: DataFrame, least: DataFrame, n_edges: int) -> DataFrame:
 
     Nodes with very many edges meet theirs by broadcast where these lie; as the
     edges are counted at the start of a round, and a star has no more than it was
-    made of, there are no more such nodes than ``HUBS``.
+    made of, there are no more such nodes than ``HUBS``.  Fewer edges than one hub
+    has meet by a plain join.
     """
+    if 2 * n_edges <= HUB:
+        return edges.join(least.select("u", "m"), "u")
     hubs = F.broadcast(least.where(F.col("n") > max(HUB, 2 * n_edges // HUBS)).select("u", "m"))
     others = edges.join(hubs.select("u"), "u", "left_anti").join(least.select("u", "m"), "u")
     return edges.join(hubs, "u").unionByName(others)

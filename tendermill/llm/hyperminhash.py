@@ -379,7 +379,9 @@ def links(docs: DataFrame, marks: DataFrame, percent: int = PERCENT, block: int
     left = materialise(left, "hyper-left")
     several = left.groupBy("key", "cell").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key", "cell")
     met = left.join(several, ["key", "cell"], "left_semi").join(known, "rep").join(texts, "rep")
-    return found.unionByName(materialise(_by_cell(met).mapInArrow(_rest(percent), "u long, v long"), "hyper-rest"))
+    between = materialise(_by_cell(met).mapInArrow(_rest(percent), "u long, v long"), "hyper-rest")
+    # The groups so far are stars, which join what their links joined.
+    return grouped.select(F.col("rep").alias("u"), F.col("component").alias("v")).unionByName(between)
 
 
 def components(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, propose: Proposer | None = None, empty_alike: bool = False) -> DataFrame:
