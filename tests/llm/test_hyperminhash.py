@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from tendermill.llm import hyperminhash, queries
+from tendermill.llm import components, hyperminhash, queries
 from tendermill.llm.passages import WordHashes
 
 SCHEMA = "doc_id long, text string, n long, mark string, rep string, h string, members string"
@@ -124,3 +124,16 @@ def test_shingles_are_lower_cased_words():
     h = WordHashes()
     assert (hyperminhash.shingle_set(b"A b\tC d e F", h) == hyperminhash.shingle_set(b"a B c\x0bd E f", h)).all()
     assert len(hyperminhash.shingle_set(b"x y z", h)) == 1 and not len(hyperminhash.shingle_set(b" \n", h))
+
+
+@pytest.mark.parametrize("hub", [1, 1000])
+def test_components_with_and_without_hubs(spark, monkeypatch, hub):
+    monkeypatch.setattr(components, "HUB", hub)
+    rng = np.random.default_rng(4)
+    edges = [(0, i) for i in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(60, 160, (70, 2))] + [(i, i + 1) for i in range(200, 240)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    found = components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.component for r in found} == {n: root[n] for e in edges if e[0] != e[1] for n in e if root[n] != n}
