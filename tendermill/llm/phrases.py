@@ -31,7 +31,6 @@ languages without candidates have no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +50,7 @@ SCALE = 2_000_000
 SHARDS = 4
 BITS = 1 << 26
 #: Bytes of text that are counted together before partial counts go out.
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 #: Best rows are picked by so many hash groups of a language first.
 PICKED = 64
 WITHOUT_LANGUAGE = "und"
@@ -62,39 +61,45 @@ _CLEAN = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _BREAK * 10 + b" ")
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept within a bound; the break between pieces is 0."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _MIX
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        found = self[word] = 0 if word == _BREAK else xxhash.xxh3_64_intdigest(word) or 1
-        return found
 
+class Words:
+    """Lower-cased words of a text: the distinct ones, and of each place the number of its word; breaks between pieces are words here."""
 
-def tokens_of(raw: bytes) -> list[bytes]:
-    """Lower-cased words in order, with breaks between pieces."""
-    return raw.lower().translate(_CLEAN).replace(_BREAK, b" \xff ").split()
+    def __init__(self, raw: bytes):
+        letters = np.frombuffer(raw.lower().translate(_CLEAN).replace(_BREAK, b" \xff "), np.uint8)
+        inside = letters != 32
+        edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        ends = np.concatenate(([0], np.cumsum(edges[1::2] - edges[::2]))).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters[inside])]).dictionary_encode()
+        _, ends, letters = words.dictionary.buffers()
+        at, held = np.frombuffer(ends, np.int32)[: len(words.dictionary) + 1].tolist(), letters.to_pybytes() if letters else b""
+        self.distinct = [held[s:e] for s, e in zip(at, at[1:])]
+        self.number = words.indices.to_numpy().astype(np.int64)
+        #: A break is 0, and no word is.
+        self.hashes = np.fromiter((0 if w == _BREAK else word_hash(w) for w in self.distinct), np.uint64, len(self.distinct))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _MIX
-    return x ^ (x >> np.uint64(29))
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) or 1
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[bytes]]]:
-    """Language, shard and words of some documents of one language and shard at a time."""
-    held: dict[tuple[str, int], list[bytes]] = {}
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, Words]]:
+    """Language, shard, mark of both, and words of some documents of one language and shard at a time."""
+    held: dict[tuple[str, int, int], list[bytes]] = {}
     size = 0
 
-    def out() -> Iterator[tuple[str, int, list[bytes]]]:
-        for (lang, shard), raws in held.items():
-            yield lang, shard, tokens_of(b"\n".join(raws))
+    def out() -> Iterator[tuple[str, int, int, Words]]:
+        for of, raws in held.items():
+            yield *of, Words(b"\n".join(raws))
 
     for batch in batches:
-        for lang, shard, raw in zip(batch["lang"].to_pylist(), batch["shard"].to_pylist(), batch["raw"]):
+        for *of, raw in zip(*(batch[c].to_pylist() for c in ("lang", "shard", "part")), batch["raw"]):
             text = raw.as_py()
-            held.setdefault((lang, shard), []).append(text)
+            held.setdefault(tuple(of), []).append(text)
             size += len(text)
             if size >= CHUNK:
                 yield from out()
@@ -104,15 +109,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words; those of a shard's words have no word."""
-    for lang, shard, tokens in _chunks(batches):
-        counts = Counter(tokens)
-        counts.pop(_BREAK, None)
-        words, n = list(counts), list(counts.values())
-        columns = [
-            pa.array([lang] * (len(words) + 1), pa.string()), pa.array([None] * len(words) + [shard], pa.int32()),
-            pa.array([*words, None], pa.binary()).cast(pa.string()), pa.array([*n, sum(n)], pa.int64()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "shard", "phrase", "f"])
+    for lang, shard, _, words in _chunks(batches):
+        n = np.bincount(words.number, minlength=len(words.distinct))
+        real = np.flatnonzero(words.hashes)
+        spelt = pa.array([words.distinct[i] for i in real.tolist()], pa.binary()).cast(pa.string())
+        for phrases, counts, of in ((spelt, n[real], None), (pa.nulls(1, pa.string()), n[real].sum(keepdims=True), shard)):
+            columns = [pa.repeat(pa.scalar(lang), len(counts)), pa.repeat(pa.scalar(of, pa.int32()), len(counts)), phrases, pa.array(counts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "shard", "phrase", "f"])
 
 
 def _lang_hash(lang: str) -> np.uint64:
@@ -122,10 +125,10 @@ def _lang_hash(lang: str) -> np.uint64:
 class _Grams:
     """Hashes of the phrases that begin at each word, and which of them may be frequent."""
 
-    def __init__(self, lang: str, tokens: list[bytes], hashes: _Hashes, words: np.ndarray):
-        self.h = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-        self.hash = [_mixed(self.h ^ _lang_hash(lang))]
-        self.may = [(self.h != 0) & _known(words, self.hash[0])]
+    def __init__(self, lang: str, words: Words, frequent: np.ndarray):
+        first = _mixed(words.hashes ^ _lang_hash(lang))
+        self.h, self.hash = words.hashes[words.number], [first[words.number]]
+        self.may = [((words.hashes != 0) & _known(frequent, first))[words.number]]
 
     def extend(self) -> None:
         """Phrases of one word more; both phrases of one word less must be possible."""
@@ -147,10 +150,9 @@ def _mine(words, pairs):
     """Partial counts of the phrases of each shard: pairs, or with ``pairs`` known the longer ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, of_words = _Hashes(), _bits(words)
-        of_pairs = None if pairs is None else _bits(pairs)
-        for lang, shard, tokens in _chunks(batches):
-            g = _Grams(lang, tokens, hashes, of_words)
+        of_words, of_pairs = _bits(words), None if pairs is None else _bits(pairs)
+        for lang, _, part, chunk in _chunks(batches):
+            g = _Grams(lang, chunk, of_words)
             g.extend()
             found = [g.hash[1][g.may[1]]]
             if of_pairs is not None:
@@ -161,8 +163,8 @@ def _mine(words, pairs):
                     found.append(g.hash[-1][g.may[-1]])
             for x in found:
                 keys, n = np.unique(x, return_counts=True)
-                columns = [pa.array([lang] * len(keys), pa.string()), pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "shard", "key", "f"])
+                columns = [pa.repeat(pa.scalar(part, pa.int64()), len(keys)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "key", "f"])
 
     return run
 
@@ -171,13 +173,11 @@ def _count_exactly(words, pairs, longer):
     """Partial counts of the candidates by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, of_words, of_pairs, of_longer = _Hashes(), _bits(words), _bits(pairs), _bits(longer)
-        for lang, _, tokens in _chunks(batches):
-            g = _Grams(lang, tokens, hashes, of_words)
-            numbers: dict[bytes, int] = {}
-            number = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
+        of_words, of_pairs, of_longer = _bits(words), _bits(pairs), _bits(longer)
+        for lang, _, _, chunk in _chunks(batches):
+            g, words_of, number = _Grams(lang, chunk, of_words), chunk.distinct, chunk.number
             # Equal phrases of the chunk get one number, made of that of the phrase without its last word and that word's.
-            at, same = np.arange(len(tokens)), number
+            at, same = np.arange(len(number)), number
             for size in range(2, LONGEST + 1):
                 g.extend()
                 g.keep(of_pairs if size == 2 else of_longer)
@@ -185,11 +185,8 @@ def _count_exactly(words, pairs, longer):
                 before = np.searchsorted(at, here)
                 _, first, same, n = np.unique((same[before] << 32) | number[here + size - 1], return_index=True, return_inverse=True, return_counts=True)
                 at = here
-                phrases = [b" ".join(tokens[i : i + size]) for i in here[first].tolist()]
-                columns = [
-                    pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                    pa.array(np.full(len(phrases), size, np.int32)), pa.array(n.astype(np.int64)),
-                ]
+                phrases = [b" ".join([words_of[w] for w in x]) for x in number[here[first][:, None] + np.arange(size)].tolist()]
+                columns = [pa.repeat(pa.scalar(lang), len(phrases)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.repeat(pa.scalar(size, pa.int32()), len(phrases)), pa.array(n.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "size", "f"])
 
     return run
@@ -203,10 +200,9 @@ def _phrase_key(rows: DataFrame) -> DataFrame:
     """``key`` of the words of ``rows(lang, phrase)``, as :class:`_Grams` has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
             langs, words = batch["lang"].to_pylist(), batch["phrase"].to_pylist()
-            h = np.fromiter((hashes[w.encode()] for w in words), np.uint64, len(words))
+            h = np.fromiter((word_hash(w.encode()) for w in words), np.uint64, len(words))
             of_lang = {x: _lang_hash(x) for x in set(langs)}
             keys = _mixed(h ^ np.fromiter((of_lang[x] for x in langs), np.uint64, len(langs)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
@@ -228,7 +224,8 @@ def texts(docs: DataFrame, shards: int) -> DataFrame:
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     shard = F.pmod(F.xxhash64("doc_id", raw), F.lit(shards)).cast("int")
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(WITHOUT_LANGUAGE))
-    return docs.select(lang.alias("lang"), shard.alias("shard"), raw.alias("raw"))
+    rows = docs.select(lang.alias("lang"), shard.alias("shard"), raw.alias("raw"))
+    return rows.withColumn("part", F.xxhash64("lang", "shard"))
 
 
 def candidates(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -240,14 +237,14 @@ def candidates(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, bi
     totals = of_shards.groupBy("lang").agg(F.sum("f").alias("n"))
     # A row a language and shard: the least number of occurrences that is this shard's share.
     share = F.ceil((F.col("f").cast("decimal(38,0)") * support) / F.col("n")).cast("long")
-    least = of_shards.select("lang", "shard", "f").join(totals, "lang").select("lang", "shard", F.greatest(share, F.lit(1)).alias("least"))
+    least = of_shards.select("lang", "shard", "f").join(totals, "lang").select(F.xxhash64("lang", "shard").alias("part"), F.greatest(share, F.lit(1)).alias("least"))
 
     def locally_frequent(mined: DataFrame, name: str) -> DataFrame:
-        sums = mined.groupBy("lang", "shard", "key").agg(F.sum("f").alias("f"))
-        frequent = sums.join(least, ["lang", "shard"]).where("f >= least").select("key").distinct()
+        sums = mined.groupBy("part", "key").agg(F.sum("f").alias("f"))
+        frequent = sums.join(least, "part").where("f >= least").select("key").distinct()
         return materialise(frequent, name)
 
-    schema = "lang string, shard int, key long, f long"
+    schema = "part long, key long, f long"
     of_words = bitmap(_phrase_key(words), bits)
     of_pairs = bitmap(locally_frequent(rows.mapInArrow(_mine(of_words, None), schema), "phrase-pairs"), bits)
     of_longer = bitmap(locally_frequent(rows.mapInArrow(_mine(of_words, of_pairs), schema), "phrase-longer"), bits)
