@@ -26,7 +26,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near copies are texts with a five-word overlap of 0.8 or more, counted exactly.
     SimHash anchors propose the closest pairs; pairs at 0.8 are out of their reach,
-    as the README says, and are proposed by least shingle hashes.
+    as the README says, so bands of HyperMinHash registers do most of the work.
+    NULL ids stay, texts without words are copies of each other.
     """
     return near_copies.drop(docs)
 
