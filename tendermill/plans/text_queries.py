@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tendermill.functions import classify, text
 from tendermill.operators import context, relational, reports, scoring
-from tendermill.plans.base import c, dealt, expected, query, t
+from tendermill.plans.base import c, dealt, expected, query, spread, t
 from tendermill.streaming import events
 
 _SEARCHED = [
@@ -71,7 +71,7 @@ def json_first_object(spark, sf_dir):
     whole = text.lenient_json(F.concat(F.lit("Voici : "), props, F.lit(' et {"c": 1}')), "{}")
     cut_off = text.lenient_json(F.concat(F.lit("Voici : "), F.left(props, F.char_length(props) - 1)), "{}")
     unclosed = text.lenient_json(F.concat(F.left(props, F.char_length(props) - 1), F.lit(', "s": "x'), c("event_id").cast("string")), "{}")
-    return t(spark, sf_dir, "events").select(
+    return spread(t(spark, sf_dir, "events").select("event_id", "props"), "event_id").select(
         "event_id", whole.alias("whole"), F.get_json_object(cut_off, "$.k").cast("int").alias("cut_off"), F.get_json_object(unclosed, "$.s").alias("unclosed")
     )
 

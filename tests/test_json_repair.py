@@ -42,3 +42,37 @@ def test_every_prefix_of_an_object_parses_and_keeps_what_is_whole(spark, step):
     sizes = [len(json.dumps(got[n])) for n in sorted(got)]
     assert all(b >= a - 12 for a, b in zip(sizes, sizes[1:]))
     assert all(got[n]["criteres"][0] == WHOLE["criteres"][0] for n in got if n > raw.index('"Délai' if not step else '"D\\u00e9lai'))
+
+
+def _closed(raw: str) -> str | None:
+    """The first object by walking over each character."""
+    at = raw.find("{")
+    depth, quoted, escaped = 0, False, False
+    for i in range(at, len(raw)) if at >= 0 else ():
+        ch = raw[i]
+        if ch == '"' and not escaped:
+            quoted = not quoted
+        elif not quoted and ch in "{}":
+            depth += 1 if ch == "{" else -1
+            if depth == 0:
+                return raw[at : i + 1]
+        escaped = quoted and not escaped and ch == "\\"
+    return None
+
+
+def test_first_objects_equal_a_walk_over_characters(spark):
+    import random
+
+    draw = random.Random(3)
+    texts = ["".join(draw.choice('{}{}""\\a,:\n[]é😀 \'') for _ in range(draw.randrange(40))) for _ in range(3000)] + ['x {"a": "' + "b" * 200_000 + '"} }', "{" * 300 + "}" * 300 + "}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.o for r in df.select("i", text.first_object(F.col("t")).alias("o")).collect()}
+    assert [texts[i] for i in got if got[i] != _closed(texts[i])] == []
+
+
+def test_long_strings_are_closed(spark):
+    """Strings of any length take no stack: before, some thousand characters overflowed it."""
+    long = "mot 'cité' " * 20_000
+    df = spark.createDataFrame([(0, '{"a": "' + long), (1, '{"a": "' + long + '", "b": [1'), (2, "{'a': '" + "x\\'" * 60_000)], "i int, t string")
+    got = {r.i: json.loads(r.j) for r in df.select("i", text.lenient_json(F.col("t"), "{}").alias("j")).collect()}
+    assert got == {0: {"a": long}, 1: {"a": long, "b": [1]}, 2: {"a": "x'" * 60_000}}
