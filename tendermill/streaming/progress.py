@@ -10,9 +10,11 @@ results repeat.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -89,26 +91,49 @@ def progress(state: dict, now: float) -> tuple[str, str, int, int]:
     return active or state["status"], label, min(percent, 100), round(remaining)
 
 
+def _step(state: dict | None, signal: dict) -> tuple[dict | None, tuple | None]:
+    """The state after a signal, and the snapshot; missing numbers are no values."""
+    state = advance(state, {k: None if v != v else v for k, v in signal.items()})
+    return state, None if state is None else progress(state, math.nan if signal["at"] is None else signal["at"])
+
+
 def _fold(project: str, state: dict | None, signals: pd.DataFrame) -> tuple[dict | None, list]:
     out = []
     for s in signals.sort_values("seq").to_dict("records"):
-        known = {k: None if pd.isna(v) else v for k, v in s.items()}
-        state = advance(state, known)
-        if state is not None:
-            out.append((project, s["seq"], *progress(state, s["at"])))
+        state, shown = _step(state, {k: None if pd.isna(v) else v for k, v in s.items()})
+        if shown is not None:
+            out.append((project, s["seq"], *shown))
     return state, out
 
 
 _COLUMNS = ["project", "seq", "status", "step", "progress", "remaining"]
+_SCHEMA = pa.schema([("project", pa.string()), ("seq", pa.int64()), ("status", pa.string()), ("step", pa.string()), ("progress", pa.int32()), ("remaining", pa.int32())])
+_USED = ("project", "seq", "at", "kind", "step", "ratio")
 
 
 def track_batch(signals: DataFrame) -> DataFrame:
-    """A snapshot after each signal; a group is one project's signals, which its pipeline bounds."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(key[0], None, frame)[1], columns=_COLUMNS)
-
-    return signals.groupBy("project").applyInPandas(run, SNAPSHOT)
+    """A snapshot after each signal.
+
+    Signals of a project lie together and in order, and pass by in batches: a
+    task holds the state of one project and one batch, whatever their number.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, state, begun = None, None, False
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(_USED)))):
+                if not begun or row[0] != project:
+                    project, state, begun = row[0], None, True
+                state, shown = _step(state, dict(zip(_USED[1:], row[1:])))
+                if shown is not None:
+                    out.append((project, row[1], *shown))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
+
+    typed = signals.select(F.col("project").cast("string").alias("project"), F.col("seq").cast("long").alias("seq"), *_USED[2:])
+    dealt = typed.repartition("project").sortWithinPartitions("project", F.col("seq").asc_nulls_last())
+    return dealt.mapInArrow(run, SNAPSHOT)
 
 
 def track_stream(signals: DataFrame) -> DataFrame:
