@@ -25,7 +25,8 @@ NO_HEADER = "En-têtes de prix non détectés — vérification partielle"
 
 def sheet_rows(cells: DataFrame) -> DataFrame:
     """One line a row after the header: its label and amount, or for sheets without a header its largest number."""
-    one = Window.partitionBy("book", "sheet")
+    # Ordered by row, so that the grouping by row after it finds its order and sorts no more; the frame is the whole sheet.
+    one = Window.partitionBy("book", "sheet").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cells = cells.withColumns({"t": F.trim("value"), "number": to_number(F.col("value"))})
     is_text = F.col("is_text") if "is_text" in cells.columns else F.col("number").isNull()
     cells = cells.withColumn("named", is_text & (F.col("t") != ""))

@@ -437,22 +437,28 @@ def transitions(spark, sf_dir):
 
 
 def _sheet_cells(spark, sf_dir, two=False):
-    """Orders as workbooks: a heading, a row a line item and a displayed total; on one sheet, or on one for odd and one for even lines."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = t(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(order))
-    amount = F.when(c("l_linenumber") % 5 == 4, "").otherwise(F.regexp_replace(F.format_string("%.2f", c("l_extendedprice")), r"\.", ","))
-    cell = lambda row, col, value: F.struct(row.cast("int").alias("row"), F.lit(col).alias("col"), value.alias("value"))
-    side = F.when(c("l_linenumber") % 2 == 0, "s2").otherwise("s1") if two else F.lit("s1")
-    body = lines.select(
-        c("l_orderkey").alias("book"), side.alias("sheet"), F.explode(F.array(cell(c("n"), 0, F.concat(F.lit("poste "), c("l_partkey").cast("string"))), cell(c("n"), 1, amount))).alias("x")
-    )
-    head = [cell(F.lit(0), 0, F.lit("Désignation")), cell(F.lit(0), 1, F.lit("Montant HT"))]
-    shown = [cell(F.lit(99), 0, F.lit("Total HT")), cell(F.lit(99), 1, F.format_string("%.2f", c("o_totalprice")))]
-    orders = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("book"), "o_totalprice")
-    ends = orders.select("book", F.lit("s1").alias("sheet"), F.explode(F.array(*head, *shown)).alias("x"))
-    if two:
-        ends = ends.unionByName(orders.select("book", F.lit("s2").alias("sheet"), F.explode(F.array(*head)).alias("x")))
-    return body.unionByName(ends).select("book", "sheet", "x.*")
+    """Orders as workbooks: a heading, a row a line item and a displayed total; on one sheet, or on one for odd and one for even lines.
+
+    Line items and orders are dealt by order once, as narrow rows, and become
+    cells where they lie; what groups cells by workbook needs no further exchange.
+    """
+    price = c("l_extendedprice")
+    lines = t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("book"), c("l_linenumber").alias("no"), "l_partkey", "l_suppkey", price.alias("price"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("no", "int"), ("l_partkey", "long"), ("l_suppkey", "long"))]
+    orders = t(spark, sf_dir, "orders").select(c("o_orderkey").alias("book"), *none, c("o_totalprice").alias("price"))
+    both = lines.withColumn("item", F.lit(True)).unionByName(orders.withColumn("item", F.lit(False)))
+    # A fixed number: joined by their narrow bytes, few tasks would make and sort all the cells.
+    both = both.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "book")
+    order = Window.partitionBy("book", "item").orderBy("no", "l_partkey", "l_suppkey", "price")
+    both = both.withColumn("n", F.row_number().over(order))
+    sheet = F.when(c("no") % 2 == 0, "s2").otherwise("s1") if two else F.lit("s1")
+    shown = F.format_string("%.2f", c("price"))
+    amount = F.when(c("no") % 5 == 4, "").otherwise(F.replace(shown, F.lit("."), F.lit(",")))
+    cell = lambda sheet, row, col, value: F.struct(sheet.alias("sheet"), row.cast("int").alias("row"), F.lit(col).alias("col"), value.alias("value"))
+    head = lambda sheet: [cell(F.lit(sheet), F.lit(0), 0, F.lit("Désignation")), cell(F.lit(sheet), F.lit(0), 1, F.lit("Montant HT"))]
+    ends = [*head("s1"), cell(F.lit("s1"), F.lit(99), 0, F.lit("Total HT")), cell(F.lit("s1"), F.lit(99), 1, shown), *(head("s2") if two else [])]
+    body = [cell(sheet, c("n"), 0, F.concat(F.lit("poste "), c("l_partkey").cast("string"))), cell(sheet, c("n"), 1, amount)]
+    return both.select("book", F.inline(F.when(c("item"), F.array(*body)).otherwise(F.array(*ends))))
 
 
 _SHEET_SQL = """
