@@ -229,8 +229,8 @@ SELECT doc_id, line, word FROM (
   FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS line FROM (
     SELECT doc_id, CASE WHEN lang = 'en' THEN string_split(text, chr(10)) [:500] ELSE string_split(text, chr(10)) [:200] END AS l FROM documents)))""")
 def inline_mentions(spark, sf_dir):
-    """Lines searched are bounded by the kind of document, here its language: the operator's own limits."""
-    most = F.when(c("lang") == "en", lots.RULES_LINES).otherwise(lots.OTHER_LINES)
+    """Lines searched are bounded by the kind of document, here its language."""
+    most = F.when(c("lang") == "en", 500).otherwise(200)
     lines = t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), F.lit(1), most)).alias("i", "x"))
     found = F.explode(F.regexp_extract_all("x", F.lit(r"\bth[a-z]{4,8}\b"), F.lit(0)))
     return lines.select("doc_id", (c("i") + 1).cast("long").alias("line"), found.alias("word"))
